@@ -1,0 +1,5 @@
+"""No operator here needs a stream: nothing in the scope is defined over event time or watermarks.
+
+The counters of ``plumbline.operators.profile`` are ordinary mergeable aggregates and work as they are
+inside a ``foreachBatch`` callback.
+"""
