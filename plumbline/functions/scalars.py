@@ -93,6 +93,11 @@ def cut_middle(text: Column, limit: int = MAX_LOG_CHARS) -> Column:
     ).otherwise(text)
 
 
+def strip(text: Column) -> Column:
+    """Drops white space of any kind, line breaks included, from both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def fenced_blocks(text: Column, none_words: Sequence[str] = NO_DEPENDENCY_WORDS) -> Column:
     """``struct(dependencies, code, files_in, files_out, error)`` from a text with four fenced blocks.
 
@@ -108,23 +113,23 @@ def fenced_blocks(text: Column, none_words: Sequence[str] = NO_DEPENDENCY_WORDS)
     }
 
     def lines(name: str) -> Column:
-        return F.filter(F.transform(F.split(body[name], "\n", -1), F.trim), lambda s: s != "")
+        return F.filter(F.transform(F.split(body[name], "\n", -1), strip), lambda s: s != "")
 
     dependencies = F.filter(
-        F.transform(F.split(body["DEPENDENCIES"], "\n", -1), lambda s: F.trim(F.replace(s, F.lit("pip install"), F.lit("")))),
+        F.transform(F.split(body["DEPENDENCIES"], "\n", -1), lambda s: strip(F.replace(s, F.lit("pip install"), F.lit("")))),
         lambda s: s != "",
     )
     bad = F.filter(dependencies, lambda s: ~F.rlike(s, F.lit(DEPENDENCY_PATTERN)))
     no_dependencies = (F.size(dependencies) == 1) & F.lower(F.get(dependencies, F.lit(0))).isin(*none_words)
     error = F.lit(None).cast("string")
-    error = F.when(F.trim(body["CODE"]) == "", "code block is empty").otherwise(error)
+    error = F.when(strip(body["CODE"]) == "", "code block is empty").otherwise(error)
     error = F.when(F.size(bad) > 0, F.concat(F.lit("bad dependency name: "), F.get(bad, F.lit(0)))).otherwise(error)
     for name in ("FILES_OUT", "FILES_IN", "CODE", "DEPENDENCIES"):
         error = F.when(~found[name], f"no {name} block").otherwise(error)
     empty = F.array().cast("array<string>")
     return F.struct(
         F.when(no_dependencies, empty).otherwise(dependencies).alias("dependencies"),
-        F.trim(body["CODE"]).alias("code"),
+        strip(body["CODE"]).alias("code"),
         lines("FILES_IN").alias("files_in"),
         lines("FILES_OUT").alias("files_out"),
         error.alias("error"),

@@ -223,18 +223,19 @@ def empty_columns(df: DataFrame) -> DataFrame:
     return missing_counts(df).where(F.col("missing") == F.col("rows")).select("column", "rows")
 
 
-def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def correlations(df: DataFrame, columns: Sequence[str] | None = None, against: str | None = None) -> DataFrame:
     """Pearson correlation of every unordered pair ``(i, j, feature_1, feature_2, r)``, pairwise complete.
 
-    A constant side gives null. Narrow tables use JVM aggregates; wide ones add up block products per batch.
+    With ``against`` only the pairs that include that column. A constant side gives null. Narrow tables use JVM aggregates; wide ones add up block products per batch.
     """
     columns = list(columns if columns is not None else numeric_columns(df))
     names = ["i", "j", "feature_1", "feature_2", "r"]
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    pairs = [(i, j) for i, j in pairs if against is None or against in (columns[i], columns[j])]
     if not pairs:
         return constants(df, [], names, ["int", "int", "string", "string", "double"])
     if len(columns) > GRAM_WIDTH:
-        return _gram_correlations(df, columns)
+        return _gram_correlations(df, columns, pairs)
     v = [q(c).cast("double") for c in columns]
     parts = []
     for part in chunks(pairs, EXPRESSIONS_PER_AGG // 4):
@@ -257,11 +258,11 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return union_all(parts)
 
 
-def _gram_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+def _gram_correlations(df: DataFrame, columns: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
     """Per batch: X'X, X'M, (X*X)'M and M'M for values X and presence mask M; sums are merged by Spark."""
     centre = df.agg(*[F.avg(q(c).cast("double")).alias(f"_{i}") for i, c in enumerate(columns)]).first()
     means = np.array([m if m is not None else 0.0 for m in centre], dtype="float64")
-    upper_i, upper_j = np.triu_indices(len(columns), k=1)
+    upper_i, upper_j = np.array(pairs).T
 
     def block_sums(batches):
         total = None
