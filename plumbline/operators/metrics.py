@@ -37,6 +37,9 @@ METRICS = {
     "performance": ("linear_model", "mlp", "xgb", "feat_rank_distance"),
     "privacy": ("delta-presence", "k-anonymization", "k-map", "distinct l-diversity", "identifiability_score"),
 }
+# (family, one-row frame, its metric columns)
+Scored = tuple[str, DataFrame, Sequence[str]]
+
 AUGMENTATION_METRICS = ("xgb_augmentation", "linear_model_augmentation", "mlp_augmentation")
 
 
@@ -382,23 +385,10 @@ def evaluate(
 ) -> DataFrame:
     """``(family, metric, value)`` for all sanity, fidelity and privacy metrics that the arguments allow."""
     numbers = [c for c in (columns if columns is not None else numeric_columns(real)) if c != key]
-    described = [c for c in real.columns if c != key]
-    plain_real, plain_syn = real.select(*[q(c) for c in described]), syn.select(*[q(c) for c in described])
-    parts: list[tuple[str, DataFrame, Sequence[str]]] = [
-        ("sanity", data_mismatch(plain_real, plain_syn), ["data_mismatch"]),
-        ("sanity", common_rows(plain_real, plain_syn), ["common_rows_proportion"]),
-    ]
-    histogram = histogram_distances(plain_real, plain_syn)
-    means = ["jensenshannon_dist", "inv_kl_divergence"]
-    parts.append(
-        ("stats", histogram.agg(*[F.avg(m).alias(m) for m in means], F.avg("p_value").alias("chi_squared_test")), [*means, "chi_squared_test"])
-    )
+    parts: list[Scored] = _marginal_parts(real, syn, key, numbers)
     if numbers:
-        ranks = ["ks_test", "wasserstein_dist"]
         parts += [
             ("sanity", neighbour_sanity(real, syn, numbers, key), METRICS["sanity"][2:]),
-            ("stats", correlation_distance(real, syn, numbers), ["feature_corr"]),
-            ("stats", distribution_distances(real, syn, numbers).agg(*[F.avg(m).alias(m) for m in ranks]), ranks),
             ("stats", mean_discrepancy(real, syn, numbers), ["max_mean_discrepancy"]),
             ("stats", prdc(real, syn, numbers, key, k), ["precision", "recall", "density", "coverage"]),
             ("stats", alpha_precision(real, syn, numbers, key), ["alpha_precision", "beta_recall", "authenticity"]),
@@ -411,6 +401,37 @@ def evaluate(
             ("privacy", class_privacy(syn, quasi, sensitive), ["k_anonymity", "distinct_l_diversity"]),
             ("privacy", linkage_privacy(real, syn, quasi), ["delta_presence", "k_map"]),
         ]
+    return _stacked(parts)
+
+
+def evaluate_marginals(real: DataFrame, syn: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """The part of ``evaluate`` that needs no neighbour search: a few aggregates per table."""
+    numbers = [c for c in (columns if columns is not None else numeric_columns(real)) if c != key]
+    return _stacked(_marginal_parts(real, syn, key, numbers))
+
+
+def _marginal_parts(real: DataFrame, syn: DataFrame, key: str, numbers: Sequence[str]) -> list[Scored]:
+    described = [c for c in real.columns if c != key]
+    plain_real, plain_syn = real.select(*[q(c) for c in described]), syn.select(*[q(c) for c in described])
+    means = ["jensenshannon_dist", "inv_kl_divergence"]
+    averaged = histogram_distances(plain_real, plain_syn).agg(
+        *[F.avg(m).alias(m) for m in means], F.avg("p_value").alias("chi_squared_test")
+    )
+    parts: list[Scored] = [
+        ("sanity", data_mismatch(plain_real, plain_syn), ["data_mismatch"]),
+        ("sanity", common_rows(plain_real, plain_syn), ["common_rows_proportion"]),
+        ("stats", averaged, [*means, "chi_squared_test"]),
+    ]
+    if numbers:
+        ranks = ["ks_test", "wasserstein_dist"]
+        parts += [
+            ("stats", correlation_distance(real, syn, numbers), ["feature_corr"]),
+            ("stats", distribution_distances(real, syn, numbers).agg(*[F.avg(m).alias(m) for m in ranks]), ranks),
+        ]
+    return parts
+
+
+def _stacked(parts: Sequence[Scored]) -> DataFrame:
     frames = []
     for family, frame, names in parts:
         rows = [(F.lit(family), F.lit(n), F.col(n).cast("double")) for n in names]
