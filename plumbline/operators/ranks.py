@@ -2,22 +2,31 @@
 
 ``running`` gives running totals over an ordered column. Groups proven small by a count use a plain
 window; larger ones are range-partitioned, totalled per range and shifted by the totals of the ranges
-before them, so no task ever holds a whole group. ``quantiles`` brackets each quantile with a mergeable
-sketch and counts exactly inside the bracket only.
+before them, so no task ever holds a whole group. ``quantiles`` brackets each quantile with a
+sample and counts exactly inside the bracket only.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from plumbline.operators.common import EXPRESSIONS_PER_AGG, chunks, constants, long_rows, q, union_all
+from plumbline.operators.common import EXPRESSIONS_PER_AGG, chunks, constants, long_rows, melt, q, union_all
 from plumbline.session import materialize, small_rows
 
-SKETCH_ACCURACY = 10000
+# Up to this many cells the built-in exact percentile, which merges all distinct values in one task, is the cheaper way.
+BUILTIN_CELLS = 1_000_000
+# More quantiles than this come from a full ranking instead of brackets.
+FEW_QUANTILES = 10
+SAMPLE_ROWS = 50_000
+CANDIDATES = 1_000_000
+BRACKET_ROUNDS = 4
 
 
 def running(
@@ -66,104 +75,177 @@ def running(
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles as ``(column, prob, value)``; nulls are ignored."""
+    """Exact linear-interpolation quantiles as ``(column, prob, value)``; nulls are ignored.
+
+    Small tables use the built-in aggregate. A few quantiles of a large one are bracketed by samples, a long grid
+    of them comes from one distributed ranking of the distinct values.
+    """
+    columns, probs = list(columns), [float(p) for p in probs]
     if not columns:
         return constants(df, [], ["column", "prob", "value"], ["string", "double", "double"])
-    if df.count() <= small_rows(df.sparkSession):
-        return union_all([_builtin_quantiles(df, part, probs) for part in chunks(list(columns), EXPRESSIONS_PER_AGG)])
-    return _bracketed_quantiles(df, list(columns), list(probs))
+    rows = df.count()
+    if rows <= small_rows(df.sparkSession) and rows * len(columns) <= BUILTIN_CELLS:
+        return union_all([_builtin_quantiles(df, part, probs) for part in chunks(columns, EXPRESSIONS_PER_AGG)])
+    return _bracketed_quantiles(df, columns, probs, rows) if len(probs) <= FEW_QUANTILES else _ranked_quantiles(df, columns, probs)
 
 
 def _builtin_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     wide = df.agg(*[F.percentile(q(c).cast("double"), wanted).alias(f"_{i}") for i, c in enumerate(columns)])
-    rows = [
-        (F.lit(c), F.lit(float(p)), F.try_element_at(F.col(f"_{i}"), F.lit(j + 1)))
-        for i, c in enumerate(columns)
-        for j, p in enumerate(probs)
+    # an all-null column yields no array; it still gets its rows
+    none = F.array_repeat(F.lit(None).cast("double"), len(probs))
+    rows = [(F.lit(c), F.coalesce(F.col(f"_{i}"), none)) for i, c in enumerate(columns)]
+    per_column = long_rows(wide, rows, ["column", "values"])
+    return per_column.select("column", F.inline(F.arrays_zip(wanted.alias("prob"), F.col("values").alias("value")))).toDF(
+        "column", "prob", "value"
+    )
+
+
+@dataclass
+class _Bracket:
+    """A quantile that is known to lie in ``[low, high]``, with ``below`` smaller values and ``inside`` values there."""
+
+    column: int
+    prob: float
+    position: float
+    low: float
+    high: float
+    below: int
+    inside: int
+
+    def holds(self, value: Column) -> Column:
+        return (value >= F.lit(self.low)) & (value <= F.lit(self.high))
+
+    def covers(self, low_count: int, up_to_count: int) -> bool:
+        """Ranks are zero-based; both neighbours of the position must lie between the counts."""
+        return low_count <= math.floor(self.position) and math.ceil(self.position) < up_to_count
+
+
+def _bracketed_quantiles(df: DataFrame, columns: list[str], probs: list[float], rows: int) -> DataFrame:
+    """Selection by repeated bracketing: a sample of bounded size proposes narrow brackets, a counting scan accepts those
+    that certainly hold their target, and only the values inside are ranked. The result does not depend on the samples,
+    and every scan returns a few numbers per task.
+    """
+    values = [q(c).cast("double") for c in columns]
+    present = df.agg(*[F.count(v).alias(f"_{i}") for i, v in enumerate(values)]).first()
+    brackets = [
+        _Bracket(i, p, p * (present[i] - 1), -math.inf, math.inf, 0, present[i])
+        for i in range(len(columns)) if present[i] for p in probs
     ]
-    return long_rows(wide, rows, ["column", "prob", "value"])
-
-
-def _bracketed_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    eps = 2.0 / SKETCH_ACCURACY
-    edges = [e for p in probs for e in (max(0.0, p - eps), min(1.0, p + eps))]
-    brackets: list[tuple[int, int, float, float, int]] = []
-    for part in chunks(list(enumerate(columns)), EXPRESSIONS_PER_AGG // 4):
-        sketch = df.agg(
-            *[
-                F.percentile_approx(q(c).cast("double"), [float(e) for e in edges], SKETCH_ACCURACY).alias(f"s{i}")
-                for i, c in part
-            ],
-            *[F.count(q(c)).alias(f"n{i}") for i, c in part],
-        ).first()
-        checks = []
-        for i, c in part:
-            for j in range(len(probs)):
-                if sketch[f"n{i}"]:
-                    low, high = sketch[f"s{i}"][2 * j], sketch[f"s{i}"][2 * j + 1]
-                    value = q(c).cast("double")
-                    checks.append(F.count_if(value < F.lit(low)).alias(f"b{i}_{j}"))
-                    checks.append(F.count_if(value <= F.lit(high)).alias(f"u{i}_{j}"))
-        counted = df.agg(*checks).first() if checks else None
-        for i, _ in part:
-            n = sketch[f"n{i}"]
-            for j, p in enumerate(probs):
-                if not n:
-                    continue
-                low, high = sketch[f"s{i}"][2 * j], sketch[f"s{i}"][2 * j + 1]
-                below, upto = counted[f"b{i}_{j}"], counted[f"u{i}_{j}"]
-                position = p * (n - 1)
-                # ranks are zero-based; both neighbours of the position must lie in the bracket
-                if not (below <= int(position) and min(int(position) + 1, n - 1) < upto):
-                    low, high, below = float("-inf"), float("inf"), 0
-                brackets.append((i, j, low, high, below))
-    names = {i: c for i, c in enumerate(columns)}
-    cells = F.inline(
-        F.array(
-            *[
-                F.when(
-                    q(names[i]).cast("double").between(F.lit(low), F.lit(high)),
-                    F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), q(names[i]).cast("double").alias("v")),
-                )
-                for i, j, low, high, _ in brackets
-            ]
-        )
+    for attempt in range(BRACKET_ROUNDS):
+        wide = [b for b in brackets if b.inside > CANDIDATES and b.low < b.high]
+        if not wide and attempt:
+            break
+        for part in chunks(wide or brackets, EXPRESSIONS_PER_AGG // 2):
+            _narrow(df, values, list(part), rows, attempt)
+    settled = constants(
+        df,
+        [(columns[b.column], b.prob, b.low) for b in brackets if b.low == b.high]
+        + [(columns[i], p, None) for i in range(len(columns)) if not present[i] for p in probs],
+        ["column", "prob", "value"], ["string", "double", "double"],
+    )
+    open_ones = [(k, b) for k, b in enumerate(brackets) if b.low < b.high]
+    if not open_ones:
+        return settled
+    inside = [b.holds(values[b.column]) for _, b in open_ones]
+    cells = [
+        F.when(hit, F.struct(F.lit(k).alias("k"), values[b.column].alias("v"))) for hit, (k, b) in zip(inside, open_ones)
+    ]
+    # most rows lie in no bracket and are dropped before they are taken apart
+    counts = (
+        df.where(reduce(lambda x, y: x | y, inside)).select(F.inline(F.array(*cells))).where("k is not null")
+        .groupBy("k", "v").agg(F.count("*").alias("n"))
     )
-    counts = df.select(cells).where("i is not null").groupBy("i", "j", "v").agg(F.count("*").alias("n"))
-    ordered = running(materialize(counts), ["i", "j"], ["v"], ["n"])
-    sizes = {i: None for i, *_ in brackets}
-    totals = df.agg(*[F.count(q(names[i])).alias(f"n{i}") for i in sizes]).first() if sizes else None
     target = constants(
-        df,
-        [(i, j, probs[j] * (totals[f"n{i}"] - 1), below) for i, j, _, _, below in brackets],
-        ["i", "j", "position", "below"],
-        ["int", "int", "double", "long"],
+        df, [(k, columns[b.column], b.prob, b.position - b.below) for k, b in open_ones],
+        ["k", "column", "prob", "position"], ["int", "string", "double", "double"],
     )
-    picked = (
-        ordered.join(F.broadcast(target), ["i", "j"])
-        .withColumn("last", F.col("below") + F.col("cum_n") - 1)
-        .withColumn("first", F.col("last") - F.col("n") + 1)
-        .groupBy("i", "j")
-        .agg(
-            F.max(F.when(F.floor("position").between(F.col("first"), F.col("last")), F.col("v"))).alias("lo"),
-            F.max(F.when(F.ceil("position").between(F.col("first"), F.col("last")), F.col("v"))).alias("hi"),
-            F.first(F.col("position") - F.floor("position")).alias("w"),
-        )
+    return settled.unionByName(_picked(running(materialize(counts), ["k"], ["v"], ["n"]), target, ["k"]))
+
+
+def _narrow(df: DataFrame, values: list[Column], brackets: list[_Bracket], rows: int, seed: int) -> None:
+    """One sample and one count; brackets that pass the count are replaced in place."""
+    expected = sum(b.inside for b in brackets) / len(brackets)
+    fraction = min(1.0, SAMPLE_ROWS / max(expected, 1))
+    # brackets over the same stretch of a column share one aggregate
+    edges: dict[tuple, list[float]] = {}
+    slots = []
+    for b in brackets:
+        points = max(b.inside * fraction, 1.0)
+        at = (b.position - b.below) / max(b.inside - 1, 1)
+        reach = 6 * math.sqrt(max(at * (1 - at), 1 / points) / points)
+        wanted = edges.setdefault((b.column, b.low, b.high), [])
+        slots.append((list(edges).index((b.column, b.low, b.high)), len(wanted)))
+        wanted += [max(at - reach, 0.0), min(at + reach, 1.0)]
+    holders = {(b.column, b.low, b.high): b.holds(values[b.column]) for b in brackets}
+    proposals = [
+        F.percentile(F.when(holders[key], values[key[0]]), F.array(*[F.lit(e) for e in wanted])).alias(f"_{i}")
+        for i, (key, wanted) in enumerate(edges.items())
+    ]
+    some = reduce(lambda x, y: x | y, holders.values())
+    pool = df if all(b.low == -math.inf for b in brackets) else df.where(some)
+    sampled = pool.sample(fraction=fraction, seed=seed).agg(*proposals).first()
+    proposed = [sampled[i][at : at + 2] if sampled[i] is not None else None for i, at in slots]
+    checks = []
+    for k, b in enumerate(brackets):
+        if proposed[k] is not None:
+            low, high = proposed[k]
+            checks.append(F.count_if(values[b.column] < F.lit(low)).alias(f"b{k}"))
+            checks.append(F.count_if(values[b.column] <= F.lit(high)).alias(f"u{k}"))
+    counted = df.agg(*checks).first() if checks else None
+    for k, b in enumerate(brackets):
+        if proposed[k] is not None and b.covers(counted[f"b{k}"], counted[f"u{k}"]):
+            b.low, b.high = proposed[k]
+            b.below, b.inside = counted[f"b{k}"], counted[f"u{k}"] - counted[f"b{k}"]
+
+
+def _ranked_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """All quantiles of a long grid from one ranking of the distinct values per column."""
+    counts = materialize(
+        melt(df, columns, as_type="double").where("value is not null")
+        .groupBy("column", F.col("value").alias("v")).agg(F.count("*").alias("n"))
     )
-    labels = constants(
-        df,
-        [(i, j, c, float(p)) for i, c in enumerate(columns) for j, p in enumerate(probs)],
-        ["i", "j", "column", "prob"],
-        ["int", "int", "string", "double"],
+    sizes = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+    target = constants(
+        df, [(c, p, p * (sizes[c] - 1)) for c in columns if c in sizes for p in probs],
+        ["column", "prob", "position"], ["string", "double", "double"],
     )
-    return labels.join(F.broadcast(picked), ["i", "j"], "left").select(
-        "column", "prob", (F.col("lo") + F.col("w") * (F.col("hi") - F.col("lo"))).alias("value")
+    empty = constants(
+        df, [(c, p, None) for c in columns if c not in sizes for p in probs], ["column", "prob", "value"], ["string", "double", "double"]
+    )
+    # each distinct value carries its own grid points, so the grid is joined once per column, not per row
+    grids = target.groupBy("column").agg(F.collect_list(F.struct("prob", "position")).alias("grid"))
+    ordered = running(counts, ["column"], ["v"], ["n"]).join(F.broadcast(grids), "column")
+    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
+    touched = F.filter(
+        "grid",
+        lambda g: ((F.floor(g["position"]) >= first) & (F.floor(g["position"]) <= last))
+        | ((F.ceil(g["position"]) >= first) & (F.ceil(g["position"]) <= last)),
+    )
+    hits = ordered.select("column", "v", "n", "cum_n", F.inline(touched))
+    return _interpolated(hits, ["column", "prob"]).unionByName(empty)
+
+
+def _picked(ordered: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    return _interpolated(ordered.join(F.broadcast(target), keys), [*keys, "column", "prob"])
+
+
+def _interpolated(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """From values with running counts and a position each to the value at the position."""
+    first, last, at = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1, F.col("position")
+    return (
+        hits.groupBy(*keys)
+        .agg(
+            F.max(F.when(F.floor(at).between(first, last), F.col("v"))).alias("lo"),
+            F.max(F.when(F.ceil(at).between(first, last), F.col("v"))).alias("hi"),
+            F.max(at - F.floor(at)).alias("w"),
+        )
+        .select("column", "prob", (F.col("lo") + F.col("w") * (F.col("hi") - F.col("lo"))).alias("value"))
     )
 
 
 def quantile_map(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
-    """Quantiles on the driver: one number per column and probability."""
+    """Exact quantiles on the driver: one number per column and probability."""
     found = {(r["column"], r["prob"]): r["value"] for r in quantiles(df, columns, probs).collect()}
     return {c: [found.get((c, float(p))) for p in probs] for c in columns}
 

@@ -62,7 +62,7 @@ def knn_shapley(
         raise ValueError("no test rows")
     n_test, n_train = s.count(), t.count()
     # the test side travels in slices that each fit the broadcast budget
-    slices = -(-n_test * (width["d"] + 2) * 8 // broadcast_bytes(train.sparkSession))
+    slices = min(n_test, -(-n_test * (width["d"] + 2) * 8 // max(broadcast_bytes(train.sparkSession), 1)))
     rankings = [_distances(t, s, i, slices, kind, label_kind) for i in range(slices)]
     pairs = union_all(rankings).withColumn("one", F.lit(1))
     bound = n_test * n_train

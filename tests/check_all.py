@@ -1,4 +1,7 @@
-"""Run the named queries against their SQL: ``python tests/check_all.py [folder] [name ...]``."""
+"""Run the named queries against their SQL: ``python tests/check_all.py [--distributed] [folder] [name ...]``.
+
+``--distributed`` sets the small-table bounds to zero, so that every operator takes the way it takes at scale.
+"""
 
 from __future__ import annotations
 
@@ -12,14 +15,18 @@ sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).
 from oracle import compare, connect  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
-from plumbline.session import local_session  # noqa: E402
+from plumbline.session import BROADCAST_BYTES_CONF, SMALL_ROWS_CONF, local_session  # noqa: E402
 
 
 def main() -> None:
-    folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    only = sys.argv[2:]
+    arguments = [a for a in sys.argv[1:] if a != "--distributed"]
+    folder = arguments[0] if arguments else "/root/testdata/sf0.01"
+    only = arguments[1:]
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
+    if "--distributed" in sys.argv:
+        spark.conf.set(SMALL_ROWS_CONF, "0")
+        spark.conf.set(BROADCAST_BYTES_CONF, "0")
     con = connect(folder)
     sql = entry.oracle_sql()
     bad = 0
