@@ -16,6 +16,8 @@ from plumbline.operators.ranks import running
 
 HIGH_MISSING_PCT = 80.0
 SMALL_SAMPLE_ROWS = 50
+GLANCE_ROWS = 1000
+REPAIR_TYPES = ("bigint", "double", "timestamp_ntz")
 # Units in which a duration can be expressed.
 DURATION_UNITS = ("SECOND", "MINUTE", "HOUR", "DAY", "WEEK", "MONTH", "QUARTER", "YEAR")
 
@@ -83,29 +85,36 @@ def sample_size_check(df: DataFrame, minimum: int = SMALL_SAMPLE_ROWS) -> DataFr
     return df.agg(F.count("*").alias("rows")).withColumn("too_small", F.col("rows") < minimum)
 
 
+def parses(text: Column, kind: str) -> Column:
+    """Whether text reads as the type, null for null text; short digit runs are not dates."""
+    parsed = F.trim(text).try_cast(kind).isNotNull()
+    if kind == "timestamp_ntz":
+        parsed = (F.length(F.trim(text)) >= 8) & parsed
+    return F.when(text.isNotNull(), parsed)
+
+
+def possible_types(df: DataFrame, columns: Sequence[str], kinds: Sequence[str]) -> dict[str, list[str]]:
+    """Types not ruled out by a glance at the first rows: one unreadable value is enough to rule a type out."""
+    aggs = [
+        F.coalesce(F.bool_and(parses(q(c), kind)), F.lit(True)).alias(f"_{i}_{k}")
+        for i, c in enumerate(columns) for k, kind in enumerate(kinds)
+    ]
+    seen = df.select(*[q(c) for c in columns]).limit(GLANCE_ROWS).agg(*aggs).first()
+    return {c: [kind for k, kind in enumerate(kinds) if seen[f"_{i}_{k}"]] for i, c in enumerate(columns)}
+
+
 def type_suggestions(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, suggested)`` for text columns whose every value parses as long, double or timestamp."""
     columns = list(columns if columns is not None else string_columns(df))
-    aggs = []
-    for i, c in enumerate(columns):
-        text = F.trim(q(c))
-        aggs += [
-            F.count(q(c)).alias(f"n{i}"),
-            F.count(text.try_cast("bigint")).alias(f"l{i}"),
-            F.count(text.try_cast("double")).alias(f"d{i}"),
-            F.count(F.when(F.length(text) >= 8, text.try_cast("timestamp_ntz"))).alias(f"t{i}"),
-        ]
-    rows = []
+    likely = possible_types(df, columns, REPAIR_TYPES)
+    aggs, rows = [], []
     for i, c in enumerate(columns):
-        n = F.col(f"n{i}")
-        kind = (
-            F.when(n == 0, "string")
-            .when(F.col(f"l{i}") == n, "bigint")
-            .when(F.col(f"d{i}") == n, "double")
-            .when(F.col(f"t{i}") == n, "timestamp_ntz")
-            .otherwise("string")
-        )
-        rows.append((F.lit(c), kind))
+        aggs.append(F.count(q(c)).alias(f"n{i}"))
+        suggested = F.lit("string")
+        for kind in reversed(likely[c]):
+            aggs.append(F.bool_and(parses(q(c), kind)).alias(f"_{i}_{kind}"))
+            suggested = F.when(F.col(f"_{i}_{kind}"), kind).otherwise(suggested)
+        rows.append((F.lit(c), F.when(F.col(f"n{i}") == 0, "string").otherwise(suggested)))
     return long_rows(df.agg(*aggs), rows, ["column", "suggested"])
 
 

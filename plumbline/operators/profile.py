@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from plumbline.operators.common import (
@@ -113,9 +114,22 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 _QUARTILES = (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))
 
 
+def _typed_counts(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
+    """``(column, value, n)`` per storage class, so that numbers are grouped as numbers and not as text."""
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        kind = df.schema[c].dataType
+        name = "bigint" if isinstance(kind, T.IntegralType) else "double" if isinstance(kind, (T.FloatType, T.DoubleType)) else "string"
+        kinds.setdefault(name, []).append(c)
+    return [
+        melt(df, group, as_type=name).where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
+        for name, group in kinds.items()
+    ]
+
+
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, value, n)`` over all non-null cells; values as text."""
-    return melt(df, columns).where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
+    return union_all([counts.withColumn("value", F.col("value").cast("string")) for counts in _typed_counts(df, columns)])
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
@@ -123,7 +137,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact:
     columns = list(columns if columns is not None else df.columns)
     if exact:
         named = constants(df, [(c,) for c in columns], ["column"], ["string"])
-        seen = value_counts(df, columns).groupBy("column").agg(F.count("*").alias("nunique"))
+        seen = union_all([c.groupBy("column").agg(F.count("*").alias("nunique")) for c in _typed_counts(df, columns)])
         return named.join(seen, "column", "left").select("column", F.coalesce("nunique", F.lit(0)).alias("nunique"))
     wide = df.agg(*[F.approx_count_distinct(q(c)).alias(f"_{i}") for i, c in enumerate(columns)])
     return long_rows(wide, [(F.lit(c), F.col(f"_{i}")) for i, c in enumerate(columns)], ["column", "nunique"])

@@ -83,10 +83,11 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
     columns, probs = list(columns), [float(p) for p in probs]
     if not columns:
         return constants(df, [], ["column", "prob", "value"], ["string", "double", "double"])
-    rows = df.count()
+    counted = df.agg(F.count("*").alias("rows"), *[F.count(q(c)).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    rows, present = counted["rows"], list(counted)[1:]
     if rows <= small_rows(df.sparkSession) and rows * len(columns) <= BUILTIN_CELLS:
         return union_all([_builtin_quantiles(df, part, probs) for part in chunks(columns, EXPRESSIONS_PER_AGG)])
-    return _bracketed_quantiles(df, columns, probs, rows) if len(probs) <= FEW_QUANTILES else _ranked_quantiles(df, columns, probs)
+    return _bracketed_quantiles(df, columns, probs, present) if len(probs) <= FEW_QUANTILES else _ranked_quantiles(df, columns, probs)
 
 
 def _builtin_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -121,13 +122,12 @@ class _Bracket:
         return low_count <= math.floor(self.position) and math.ceil(self.position) < up_to_count
 
 
-def _bracketed_quantiles(df: DataFrame, columns: list[str], probs: list[float], rows: int) -> DataFrame:
+def _bracketed_quantiles(df: DataFrame, columns: list[str], probs: list[float], present: list[int]) -> DataFrame:
     """Selection by repeated bracketing: a sample of bounded size proposes narrow brackets, a counting scan accepts those
     that certainly hold their target, and only the values inside are ranked. The result does not depend on the samples,
     and every scan returns a few numbers per task.
     """
     values = [q(c).cast("double") for c in columns]
-    present = df.agg(*[F.count(v).alias(f"_{i}") for i, v in enumerate(values)]).first()
     brackets = [
         _Bracket(i, p, p * (present[i] - 1), -math.inf, math.inf, 0, present[i])
         for i in range(len(columns)) if present[i] for p in probs
@@ -137,7 +137,7 @@ def _bracketed_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         if not wide and attempt:
             break
         for part in chunks(wide or brackets, EXPRESSIONS_PER_AGG // 2):
-            _narrow(df, values, list(part), rows, attempt)
+            _narrow(df, values, list(part), attempt)
     settled = constants(
         df,
         [(columns[b.column], b.prob, b.low) for b in brackets if b.low == b.high]
@@ -163,7 +163,7 @@ def _bracketed_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     return settled.unionByName(_picked(running(materialize(counts), ["k"], ["v"], ["n"]), target, ["k"]))
 
 
-def _narrow(df: DataFrame, values: list[Column], brackets: list[_Bracket], rows: int, seed: int) -> None:
+def _narrow(df: DataFrame, values: list[Column], brackets: list[_Bracket], seed: int) -> None:
     """One sample and one count; brackets that pass the count are replaced in place."""
     expected = sum(b.inside for b in brackets) / len(brackets)
     fraction = min(1.0, SAMPLE_ROWS / max(expected, 1))

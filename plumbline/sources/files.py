@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import human_size
+from plumbline.operators.clean import parses, possible_types
 from plumbline.operators.common import q
 
 # Text that stands for a missing cell in a delimited file.
@@ -50,21 +51,18 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def _inferred(df: DataFrame) -> dict[str, Column]:
+    likely = possible_types(df, df.columns, ("bigint", "double"))
     aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(df.columns):
-        aggs += [
-            F.count(q(c)).alias(f"n{i}"),
-            F.count(F.trim(q(c)).try_cast("bigint")).alias(f"l{i}"),
-            F.count(F.trim(q(c)).try_cast("double")).alias(f"d{i}"),
-            F.count_if(F.lower(q(c)).isin("true", "false")).alias(f"b{i}"),
-        ]
-    seen = df.agg(*aggs).first()
+        aggs += [F.count(q(c)).alias(f"n{i}"), F.count_if(F.lower(q(c)).isin("true", "false")).alias(f"b{i}")]
+        aggs += [F.coalesce(F.bool_and(parses(q(c), kind)), F.lit(True)).alias(f"{kind}{i}") for kind in likely[c]]
+    seen = df.agg(*aggs).first().asDict()
     out = {}
     for i, c in enumerate(df.columns):
         n, gaps = seen[f"n{i}"], seen[f"n{i}"] < seen["rows"]
-        if n and seen[f"l{i}"] == n and not gaps:
+        if n and not gaps and seen.get(f"bigint{i}"):
             out[c] = F.trim(q(c)).cast("bigint")
-        elif n == 0 or seen[f"d{i}"] == n:
+        elif seen.get(f"double{i}"):
             out[c] = F.trim(q(c)).cast("double")
         elif seen[f"b{i}"] == n and not gaps:
             out[c] = F.lower(q(c)).cast("boolean")
