@@ -6,11 +6,11 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import AFTSurvivalRegression, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -24,7 +24,7 @@ from plumbline.operators.common import constants, numeric_columns, q, string_col
 from plumbline.operators.ranks import quantile_map, running
 from plumbline.session import materialize
 
-FEATURES, LABEL, PREDICTION, PROBABILITY = "_features", "_label", "_prediction", "_probability"
+FEATURES, SCALED, LABEL, PREDICTION, PROBABILITY = "_features", "_scaled", "_label", "_prediction", "_probability"
 MAX_LEVELS = 200
 # Fixed value: default miscoverage of prediction sets and intervals.
 ALPHA = 0.1
@@ -81,9 +81,11 @@ def classifier(name: str, classes: int, width: int, seed: int):
     if name == "forest":
         return RandomForestClassifier(**common, probabilityCol=PROBABILITY, numTrees=20, seed=seed, maxBins=MAX_LEVELS + 2)
     if name == "mlp":
-        return MultilayerPerceptronClassifier(
-            **common, probabilityCol=PROBABILITY, layers=[width, 16, classes], maxIter=60, seed=seed
+        scaler = StandardScaler(inputCol=FEATURES, outputCol=SCALED, withMean=True)
+        network = MultilayerPerceptronClassifier(
+            **{**common, "featuresCol": SCALED}, probabilityCol=PROBABILITY, layers=[width, 16, classes], maxIter=40, seed=seed
         )
+        return Pipeline(stages=[scaler, network])
     boosted = GBTClassifier(**common, maxIter=10, seed=seed, maxBins=MAX_LEVELS + 2)
     if classes == 2:
         return boosted.setProbabilityCol(PROBABILITY)

@@ -8,6 +8,7 @@ from plumbline.operators import balance, impute, metrics, models, synth
 from plumbline.plans.clean_queries import fresh_path
 from plumbline.plans.profile_queries import GAPS, lineitem_with_gaps
 from plumbline.plans.registry import query, rounded, table
+from plumbline.session import materialize
 from plumbline.sources import files
 
 # imputation
@@ -300,7 +301,7 @@ def _(spark, folder):
     for method in ("marginals", "gaussian_copula"):
         for repeat in range(3):
             made = synth.GENERATORS[method][1](real.drop("c_custkey"), real.count(), seed=repeat)
-            made = made.withColumnRenamed("syn_id", "c_custkey")
+            made = materialize(made.withColumnRenamed("syn_id", "c_custkey"))
             family = metrics.evaluate_marginals(real, made, "c_custkey")
             parts.append(family.select(F.lit(method).alias("generator"), F.lit(repeat).alias("repeat"), "*"))
     scores = parts[0]
@@ -312,7 +313,8 @@ def _(spark, folder):
 def utility_tables(spark, folder):
     train, test = (frame.drop("effort") for frame in order_features(spark, folder))
     made = synth.sample_trees(train.drop("o_orderkey"), train.count(), seed=1).withColumnRenamed("syn_id", "o_orderkey")
-    return train, made, test
+    # the studies read their tables several times, so the generated one is written once
+    return train, materialize(made), test
 
 
 @query("synthetic_utility_orders")
@@ -325,10 +327,13 @@ def _(spark, folder):
 def _(spark, folder):
     train, test = (frame.drop("effort") for frame in order_features(spark, folder))
     extra = balance.fairness_augmentation(train.drop("o_orderkey"), "expensive", synth.group_generator("gaussian_copula"))
-    return models.augmentation_performance(train, extra, test, "expensive", exclude=["o_orderkey"])
+    return models.augmentation_performance(train, materialize(extra), test, "expensive", exclude=["o_orderkey"])
 
 
-@query("synthetic_sink_customer")
+@query(
+    "synthetic_sink_customer",
+    """select generator, 0 as repeat, (select count(*) from customer) as rows from (values ('marginals'), ('dp_marginals')) t(generator)""",
+)
 def _(spark, folder):
     made = synth.generate(real_customers(spark, folder), "marginals,dp_marginals", repeats=1)
     path = files.save_by_generator(made, fresh_path(spark, "synthetic"), ["generator", "repeat"])
