@@ -77,8 +77,12 @@ def _(spark, folder):
 
 @query(
     "detected_category_values_lineitem",
-    """select 'l_linenumber' as "column", cast(l_linenumber as double) as value,
- cast(row_number() over (order by l_linenumber) - 1 as integer) as code from lineitem group by l_linenumber""",
+    each(
+        """select '{c}' as "column", v as value, cast(row_number() over (order by v) - 1 as integer) as code from
+ (select distinct cast({c} as double) as v from lineitem) where (select bool_and({c} = floor({c}))
+ and count(distinct {c}) <= least(20, 0.05 * count(*)) from lineitem)""",
+        LINE_NUMBERS,
+    ),
 )
 def _(spark, folder):
     df = table(spark, folder, "lineitem")
