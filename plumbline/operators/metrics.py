@@ -246,7 +246,7 @@ def prdc(real: DataFrame, syn: DataFrame, columns: Sequence[str], key: str, k: i
 def alpha_precision(
     real: DataFrame, syn: DataFrame, columns: Sequence[str], key: str, steps: int = 20
 ) -> DataFrame:
-    """Alpha-precision, beta-recall and authenticity (Alaa et al. 2022) with balls around the centroids.
+    """Alpha-precision, beta-recall and authenticity with balls around the centroids.
 
     The first two are ``1 - 2 * mean |share(a) - a|`` over a grid of quantile levels; authenticity is the share of
     synthetic rows farther from their nearest real row than that row is from its nearest other real row.
@@ -344,7 +344,7 @@ def entropy_weights(df: DataFrame, columns: Sequence[str], bins: int = BINS) ->
 def identifiability(
     real: DataFrame, syn: DataFrame, columns: Sequence[str], key: str, weights: dict[str, float] | None = None
 ) -> DataFrame:
-    """Share of real rows that are nearer to a synthetic row than to any other real row (Yoon et al. 2020)."""
+    """Share of real rows that are nearer to a synthetic row than to any other real row."""
     scale = min_max(real, columns)
     if weights is not None:
         scale = {c: (low, (span if span > 0 else 1.0) / weights.get(c, 1.0)) for c, (low, span) in scale.items()}

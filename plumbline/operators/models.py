@@ -28,7 +28,7 @@ FEATURES, SCALED, LABEL, PREDICTION, PROBABILITY = "_features", "_scaled", "_lab
 MAX_LEVELS = 200
 # Fixed value: default miscoverage of prediction sets and intervals.
 ALPHA = 0.1
-# Confidence limits that separate easy and hard samples (Seedat et al. 2022).
+# Confidence limits that separate easy and hard samples.
 EASY_CONFIDENCE, HARD_CONFIDENCE = 0.75, 0.25
 
 
@@ -474,7 +474,8 @@ def drop_unselected(selection: DataFrame, *frames: DataFrame) -> list[DataFrame]
 def sample_hardness(
     df: DataFrame, target: str, key: str, exclude: Sequence[str] = (), checkpoints: int = 10, seed: int = 0
 ) -> DataFrame:
-    """``(key, confidence, aleatoric, hardness)`` after Data-IQ (Seedat et al. 2022).
+    """``(key, confidence, aleatoric, hardness)``: mean probability of the true class and mean
+    ``p (1 - p)`` over training checkpoints.
 
     The growing ensembles of a boosted model are the training checkpoints. With several classes one model per class is
     fitted and the one of the true class is used.
@@ -537,7 +538,7 @@ def weak_regions(
     train: DataFrame, test: DataFrame, key: str, columns: Sequence[str] | None = None, alpha: float = ALPHA, seed: int = 0
 ) -> DataFrame:
     """``(key, violations, width)``: test rows ranked by how many features fall outside conformal intervals predicted from
-    the other features (after Data-SUITE, Seedat et al. 2022), then by the mean relative interval width."""
+    the other features, then by the mean relative interval width."""
     columns = [c for c in (columns if columns is not None else numeric_columns(train)) if c != key]
     filled = train.agg(*[F.avg(q(c)).alias(c) for c in columns]).first()
     spread = train.agg(*[F.stddev_pop(q(c).cast("double")).alias(f"_{i}") for i, c in enumerate(columns)]).first()

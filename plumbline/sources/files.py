@@ -23,7 +23,7 @@ STAGES = {
     "merged": "_merged",
     "user_columns": "_user_cols",
     "missing_normalised": "_nan",
-    "imputed": "_hyperimputed",
+    "imputed": "_imputed",
     "features_selected": "_selected_features",
     "valued_samples": "_data_valuation_samples",
     "filtered": "_filtered",
