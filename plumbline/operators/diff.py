@@ -130,20 +130,19 @@ def similar_rows(before: DataFrame, after: DataFrame, threshold: float = SIMILAR
     b = before.select(*[q(c) for c in common]).distinct()
     a = after.select(*[q(c) for c in common]).distinct()
 
+    left_out = ";".join(
+        ",".join(map(str, cells)) for j in range(m + 1) for cells in combinations(range(len(common)), j)
+    )
+
     def keyed(frame: DataFrame, side: str) -> DataFrame:
-        """One row per family: the family number and the row with the left-out cells blanked."""
-        options = []
-        number = 0
-        for j in range(m + 1):
-            for left_out in combinations(range(len(common)), j):
-                cells = [
-                    (F.lit(None).cast(frame.schema[c].dataType) if i in left_out else q(c)).alias(f"k{i}")
-                    for i, c in enumerate(common)
-                ]
-                options.append(F.struct(F.lit(number).alias("family"), F.lit(j).alias("different"), *cells))
-                number += 1
+        """One row per family: the cells that are left out, and the row with those cells blanked."""
         whole = F.struct(*[q(c) for c in common]).alias(side)
-        return frame.select(whole, F.inline(F.array(*options)))
+        families = frame.select(whole, F.explode(F.split(F.lit(left_out), ";")).alias("family"))
+        blank = families.withColumn("_out", F.filter(F.split("family", ","), lambda i: i != "").cast("array<int>"))
+        cells = [
+            F.when(~F.array_contains("_out", F.lit(i)), F.col(side).getField(c)).alias(f"k{i}") for i, c in enumerate(common)
+        ]
+        return blank.select(side, "family", F.size("_out").alias("different"), *cells)
 
     keys = ["family", "different", *[f"k{i}" for i in range(len(common))]]
     representative = keyed(b, "b").groupBy(*keys).agg(F.min("b").alias("b"))
