@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.jaccard import jaccard_components
+from plumbline.llm.mixture import mix_sources
+from plumbline.llm.rules import quality_rules
+from plumbline.llm.tiles import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,3 +47,98 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 )
 def _op5(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
+
+
+def _seats(frame: str, group: str, item: str, weight: str) -> str:
+    """SQL of the apportionment: all quotients down to well below the last that can win."""
+    return f"""(select x.*, coalesce(s.seats, 0) as seats from {frame} x left join (
+        select {group}, {item}, count(*) as seats from (
+          select {group}, {item}, total, row_number() over (partition by {group} order by {weight} / (2 * nth + 1) desc, {item}, nth) as r
+          from (select *, unnest(range(0, cast(ceil({weight} * total / sum({weight}) over (partition by {group})) as bigint) + 30)) as nth from {frame} where {weight} > 0))
+        where r <= total group by 1, 2) s on s.{group} = x.{group} and s.{item} = x.{item})"""
+
+
+@query(
+    "op6_mix_sources",
+    rf"""with sizes as (
+      select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+        cast('0x' || substr(md5('0:' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as turn from documents),
+    p as (select source, sum(size)::bigint as source_size, count(*) as n, row_number() over (order by source nulls last) as k from sizes group by source),
+    p2 as (select *, [1, 2, 3][(k - 1) % 3 + 1] as w, 3 * source_size as cap from p),
+    p3 as (select *, cap / w <= ((select sum(source_size) from p2) - coalesce(sum(cap) over e, 0)) / ((select sum(w) from p2) - coalesce(sum(w) over e, 0)) as whole
+      from p2 window e as (order by cap / w, k rows between unbounded preceding and 1 preceding)),
+    src as materialized (select source, k, source_size, 1 as g,
+        case when whole then cap::double else ((select sum(source_size) - sum(case when whole then cap else 0 end) from p3) * w)::double / (select sum(case when whole then 0 else w end) from p3) end as target,
+        greatest(1, ceil(source_size / 262144), ceil(n / 4096))::bigint as shards from p3),
+    src2 as (select *, round(sum(target) over () / 64)::bigint as total from src),
+    src3 as materialized (select * from {_seats("src2", "g", "k", "target")}),
+    placed as materialized (select doc_id, size, turn, k, source_size, target, turn % shards as shard from sizes join src3 on sizes.source is not distinct from src3.source),
+    sh as (select placed.k, shard, sum(size)::double as weight, any_value(seats) as total from placed join src3 on src3.k = placed.k group by 1, 2 having sum(size) > 0),
+    sh2 as materialized (select k, shard, weight::bigint as shard_size, least(seats * 64, 3 * weight::bigint) as need from {_seats("sh", "k", "shard", "weight")}),
+    o as (select placed.*, shard_size, need, coalesce(sum(size) over (partition by placed.k, placed.shard order by turn, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before
+      from placed left join sh2 on sh2.k = placed.k and sh2.shard = placed.shard)
+    select doc_id, size::bigint as size, source_size, target,
+      coalesce(need // shard_size * size + greatest(0, least(size, need - need // shard_size * shard_size - before)), 0)::bigint as taken from o""",
+)
+def _op6(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents"))
+
+
+def _limits(keys: str, least: int) -> str:
+    """SQL of the limits of one level of sketches."""
+    on = ", ".join(x for x in (keys, "metric") if x)
+    group = f"group by {keys}" if keys else ""
+    lead = f"{keys}," if keys else ""
+    return f"""(select {lead} max(total) as group_docs,
+        max(case when metric = 'symbols' then q2 + greatest(30, 4 * (q3 - q2)) end) as symbols_high,
+        max(case when metric = 'dup_lines' then q2 + greatest(200, 4 * (q3 - q2)) end) as dup_high,
+        max(case when metric = 'repeats' then q2 + greatest(150, 4 * (q3 - q2)) end) as repeats_high,
+        max(case when metric = 'word_length' then q2 + greatest(150, 4 * (q3 - q2)) end) as length_high,
+        max(case when metric = 'word_length' then q2 - greatest(150, 4 * (q2 - q1)) end) as length_low
+      from (select {on}, max(total) as total, min(case when 4 * upto >= total then bucket end) as q1, min(case when 4 * upto >= 2 * total then bucket end) as q2,
+          min(case when 4 * upto >= 3 * total then bucket end) as q3
+        from (select {on}, bucket, sum(n) over (partition by {on} order by bucket) as upto, sum(n) over (partition by {on}) as total
+          from (select {on}, bucket, sum(n) as n from h group by {on}, bucket)) group by {on}) {group} having max(total) >= {least})"""
+
+
+@query(
+    "op8_quality_rules",
+    rf"""with w as (select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as l from documents),
+    t as (select doc_id, i, array_to_string(w[i:i + 2], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w where len(w) >= 3)),
+    d as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as c from t) where c > 1),
+    r as (select doc_id, count(distinct i + k) as n from d, (select unnest([0, 1, 2]) as k) group by doc_id),
+    b as (select w.doc_id, lang, source, len(w)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+        coalesce(r.n, 0)::bigint as n_repeat_words from w left join r on r.doc_id = w.doc_id),
+    m as materialized (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+        case when word_chars > 0 then 1000 * n_symbols // word_chars else 0 end as symbols, case when n_lines > 0 then 1000 * n_dup_lines // n_lines else 0 end as dup_lines,
+        case when n_words > 0 then 1000 * n_repeat_words // n_words else 0 end as repeats, case when n_words > 0 then 100 * word_chars // n_words else 0 end as word_length from b),
+    h as materialized (select lang, source, metric, x - x % (case when x < 1000 then 1 else (10 ** (length(cast(x as varchar)) - 3))::bigint end) as bucket, count(*) as n
+      from (unpivot (select lang, source, symbols, dup_lines, repeats, word_length from m where not base_failed) on symbols, dup_lines, repeats, word_length into name metric value x) group by all),
+    l0 as {_limits("lang, source", 30)}, l1 as {_limits("lang", 30)}, l2 as {_limits("", 0)},
+    a as (select m.*, case when l0.group_docs is not null then l0 else null end as x0, case when l1.group_docs is not null then l1 else null end as x1, l2 as x2
+      from m left join l0 on l0.lang is not distinct from m.lang and l0.source is not distinct from m.source left join l1 on l1.lang is not distinct from m.lang left join l2 on true),
+    f as (select *, coalesce(x0.group_docs, x1.group_docs, x2.group_docs)::bigint as group_docs, coalesce(x0.symbols_high, x1.symbols_high, x2.symbols_high) as a1, coalesce(x0.dup_high, x1.dup_high, x2.dup_high) as a2,
+        coalesce(x0.repeats_high, x1.repeats_high, x2.repeats_high) as a3, coalesce(x0.length_high, x1.length_high, x2.length_high) as a4, coalesce(x0.length_low, x1.length_low, x2.length_low) as a5 from a)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, group_docs,
+      not base_failed and coalesce(symbols <= a1 and dup_lines <= a2 and repeats <= a3 and word_length <= a4 and word_length >= a5, false) as kept from f""",
+)
+def _op8(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(table(spark, folder, "documents"))
+
+
+@query(
+    "op10_embedding_near_dedup",
+    """with recursive v as materialized (select vec_id, embedding::double[64] as e from embeddings
+      where len(embedding) = 64 and not list_contains(list_transform(embedding, lambda x: x is null or not isfinite(x)), true) and list_dot_product(embedding::double[], embedding::double[]) > 0),
+    l as materialized (select x.vec_id as a, y.vec_id as b from v x join v y on x.vec_id <> y.vec_id where array_cosine_similarity(x.e, y.e) >= 0.95),
+    r as (select a as vec_id, b as other from l union select r.vec_id, l.b from r join l on l.a = r.other),
+    c as (select vec_id, min(other) as least from r group by vec_id),
+    n as (select a as vec_id, count(*) as n from l group by a),
+    f as (select e.vec_id, coalesce(n.n, 0) as n_links, coalesce(least(c.least, e.vec_id), e.vec_id) as component_id
+      from embeddings e left join n on n.vec_id = e.vec_id left join c on c.vec_id = e.vec_id)
+    select *, vec_id = component_id as kept from f""",
+)
+def _op10(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
