@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.compression import quality
+from plumbline.llm.encoding import encoding_digest
+from plumbline.llm.hyperdimensional import languages
 from plumbline.llm.jaccard import jaccard_components
+from plumbline.llm.lengths import length_histogram, suffix_sums, token_lengths
+from plumbline.llm.licences import COPYRIGHT_LINE, NOTICES, SPELLINGS, known_licences, scan_licences
 from plumbline.llm.mixture import mix_sources
 from plumbline.llm.rules import quality_rules
 from plumbline.llm.tiles import near_vectors
+from plumbline.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TOKENIZERS = os.environ.get("PLUMBLINE_TOKENIZERS", "/opt/tokenizers")  # folder of the vocabulary files, the same on every executor
+BYTE_RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -31,6 +42,43 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_token_length_histogram")
+def _op1(spark: SparkSession, folder: str) -> DataFrame:
+    lengths = token_lengths(table(spark, folder, "documents"), BYTE_RANKS, keep=["lang"])
+    return suffix_sums(length_histogram(lengths, ["lang"]), ["lang"])
+
+
+def _canonical(x: str) -> str:
+    """SQL of the canonical form of a licence text."""
+    out = f"' ' || trim(regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    for old, new in SPELLINGS:
+        out = f"replace({out}, ' {old} ', ' {new} ')"
+    return f"trim({out})"
+
+
+@query(
+    "op2_licence_scan",
+    f"""with k as materialized (select d, min(licence) as licence from (select sha256({_canonical("t")}) as d, licence from (values {", ".join(f"('{n}', '{t}')" for n, t in NOTICES)}) v(licence, t)) group by d),
+    w as (select doc_id, {_canonical("text")} as c from documents),
+    l as (select doc_id, {_canonical("l")} as c from (select doc_id, unnest(string_split(text, chr(10))) as l from documents)),
+    h as (select doc_id, count(*) as n, list_sort(list(distinct licence)) as notices from l join k on k.d = sha256(l.c) where c <> '' group by doc_id)
+    select w.doc_id, case when c <> '' then sha256(c) end as digest, k.licence, coalesce(h.n, 0)::bigint as n_notices, coalesce(h.notices, []) as notices
+    from w left join k on c <> '' and k.d = sha256(c) left join h on h.doc_id = w.doc_id""",
+)
+def _op2(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licences(table(spark, folder, "documents"), known_licences(spark))
+
+
+@query("op3_quality_classifier")
+def _op3(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_sentencepiece")
+def _op4(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding_digest(table(spark, folder, "documents"), PIECE_MODEL)
+
+
 @query(
     "op5_ngram_jaccard_join",
     r"""with recursive w as (
@@ -84,6 +132,12 @@ def _op6(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"))
 
 
+@query("op7_toxicity")
+def _op7(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+
 def _limits(keys: str, least: int) -> str:
     """SQL of the limits of one level of sketches."""
     on = ", ".join(x for x in (keys, "metric") if x)
@@ -128,6 +182,11 @@ def _op8(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents"))
 
 
+@query("op9_language_id")
+def _op9(spark: SparkSession, folder: str) -> DataFrame:
+    return languages(table(spark, folder, "documents"))
+
+
 @query(
     "op10_embedding_near_dedup",
     """with recursive v as materialized (select vec_id, embedding::double[64] as e from embeddings
