@@ -1,28 +1,86 @@
 """A corpus pipeline: quality, language, near duplicates, mixture, encoding.
 
-Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before kept.
+Each stage takes ``(spark, docs, sf_dir)``, works on all that the stage before kept and, but for the last, returns the columns of
+``docs``. Extra columns pass through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch
+from plumbline.llm.common import Scratch, small_side
+from plumbline.llm.compression import learn_quality, quality_score
+from plumbline.llm.encoding import encode
+from plumbline.llm.hyperdimensional import NONE, language_of, learn_languages
 from plumbline.llm.jaccard import jaccard_components
+from plumbline.llm.mixture import mix_sources
+from plumbline.llm.queries import PIECE_MODEL
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+QUALITY = 0.3  # least probability of good quality
+LANGUAGE = 0.5  # least score: below, no language is closer than the mean of all
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier takes for good stay; null and empty texts get its score without evidence."""
+    model = learn_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(quality_score(model)("text") >= QUALITY)
+
+
+def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learnt stay; those without a letter, or far from all languages, go."""
+    found = language_of(learn_languages(docs))("text")
+    return docs.where((found["lang_pred"] != NONE) & (found["score"] >= LANGUAGE))
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
-    found = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi")
+    """One document of each group of near duplicates stays: the smallest id, once. Rows without an id stay."""
+    found = jaccard_components(docs)
+    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    kept = docs.join(small_side(gone, gone.count(), 16), "doc_id", "left_anti").select(*docs.columns)
+    ids = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = ids.count()
+    if repeated:
+        # the rows of these ids are moved, no others
+        again = kept.join(small_side(ids, repeated, 16), "doc_id", "left_semi").select(*docs.columns)
+        order = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"]))
+        once = again.withColumn("_order", order).where("_order = 1").drop("_order")
+        kept = kept.join(small_side(ids, repeated, 16), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return kept
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: once per full pass, and once more if it takes at least half of the words again.
+
+    Documents without words go. Rows that share an id, or have none, share the largest number.
+    """
+    taken = mix_sources(docs).where("size > 0")
+    copies = F.floor(F.col("taken") / F.col("size")) + (2 * (F.col("taken") % F.col("size")) >= F.col("size")).cast("int")
+    times = taken.groupBy("doc_id").agg(F.max(copies).cast("int").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
+    with Scratch(spark) as scratch:
+        times = scratch.keep(times, release=True)
+    wordy = docs.where(F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)))
+    joined = wordy.join(small_side(times, times.count(), 24), docs["doc_id"].eqNullSafe(times["_id"]))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, ids, lang, source, n_tokens)`` of every row of the mixture."""
+    return encode(docs, PIECE_MODEL, keep=["lang", "source"]).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
-STAGES: list[tuple[str, Stage]] = [("near_duplicates", near_duplicates)]
-ORACLE_SQL = None  # compressed sizes and random vectors are beyond SQL; tests/llm/test_pipeline.py has a brute-force version
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_filter", quality_filter),
+    ("language_filter", language_filter),
+    ("near_duplicates", near_duplicates),
+    ("mixture", mixture),
+    ("encoding", encoding),
+]
+ORACLE_SQL = None  # compressed sizes, random vectors and BPE are beyond SQL; tests/llm/test_pipeline.py has a plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

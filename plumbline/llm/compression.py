@@ -79,18 +79,17 @@ def fit_compression(train: list[tuple[str, int]], rest: list[tuple[str, int]], p
     return CompressionModel(good, bad, slopes, offset)
 
 
-def compression_scores(docs: DataFrame, model: CompressionModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, score)`` of every row from its whole text; null and empty texts have no difference and get the curve's value at 0."""
-    given = columns(docs, doc_id=doc_id, text=text).select("doc_id", F.col("text").cast("binary").alias("text"))
+def quality_score(model: CompressionModel):
+    """A column function ``text -> score``: from the whole text; null and empty texts have no difference and get the curve's value at 0."""
     good_bytes, bad_bytes, slopes, offset = model.good, model.bad, model.slopes, model.offset
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pair = compressor(good_bytes), compressor(bad_bytes)
-        for batch in batches:
-            found = np.array([features(memoryview(t.as_buffer()) if t.is_valid else b"", *pair) for t in batch.column(1)]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(found @ slopes + offset))], names=["doc_id", "score"])
+        for part in parts:
+            found = np.array([features(memoryview(t.as_buffer()) if t.is_valid else b"", *pair) for t in part.cast(pa.binary())]).reshape(-1, 2)
+            yield pa.array(sigmoid(found @ slopes + offset))
 
-    return given.mapInArrow(run, given.select("doc_id", F.lit(0.0).alias("score")).schema)
+    return F.arrow_udf(run, "double")
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, sample: int = SAMPLE, calibration: int = CALIBRATION, longest: int = LONGEST) -> CompressionModel:
@@ -110,6 +109,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus:
 
     A null id is not held out.
     """
-    scored = compression_scores(docs, learn_quality(docs, labels, modulus, held, **bounds))
+    model = learn_quality(docs, labels, modulus, held, **bounds)
+    scored = columns(docs, doc_id="doc_id", text="text").select("doc_id", quality_score(model)("text").alias("score"))
     held_out = F.coalesce(crc_mod(F.col("doc_id"), modulus) == held, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

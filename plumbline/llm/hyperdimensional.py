@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.llm.common import columns, crc_mod
 from plumbline.llm.shingles import mix
@@ -155,20 +154,20 @@ def learn_languages(docs: DataFrame, modulus: int = 3, held: int = 1, sample: in
     return fit_profiles(rows)
 
 
-def language_scores(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """``(doc_id, lang_pred, score)`` of every row of ``docs (doc_id, text)``, from the whole text."""
-    given = columns(docs, doc_id="doc_id", text="text")
-    schema = T.StructType([T.StructField("doc_id", given.schema["doc_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def language_of(profiles: Profiles):
+    """A column function ``text -> struct(lang_pred, score)``, from the whole text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = letter_table()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 8 * BLOCK):
-                part = batch.slice(start, 8 * BLOCK)
-                names, scores = predict(part.column(1).to_pylist(), profiles, table)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
+        for part in parts:
+            names, scores = [], [np.zeros(0)]
+            for start in range(0, len(part), BLOCK):
+                some, score = predict(part.slice(start, BLOCK).to_pylist(), profiles, table)
+                names += some
+                scores.append(score)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], names=["lang_pred", "score"])
 
-    return given.mapInArrow(run, schema)
+    return F.arrow_udf(run, "lang_pred string, score double")
 
 
 def languages(docs: DataFrame, modulus: int = 3, held: int = 1, **bounds: int) -> DataFrame:
@@ -177,6 +176,7 @@ def languages(docs: DataFrame, modulus: int = 3, held: int = 1, **bounds: int) -
     Null texts and texts without a letter are ``und`` with score 0, and so is everything if no language was learnt. A null id is
     not held out.
     """
-    scored = language_scores(docs, learn_languages(docs, modulus, held, **bounds))
+    profiles = learn_languages(docs, modulus, held, **bounds)
+    scored = columns(docs, doc_id="doc_id", text="text").select("doc_id", language_of(profiles)("text").alias("found")).select("doc_id", "found.*")
     held_out = F.coalesce(crc_mod(F.col("doc_id"), modulus) == held, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

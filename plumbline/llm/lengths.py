@@ -94,7 +94,7 @@ def at_limits(sums: DataFrame, limits: Sequence[int], by: Sequence[str] = ()) ->
 
     The smallest length above the limit says how many documents are cut and how many tokens they have.
     """
-    table = sums.withColumn("limit", F.explode(F.array(*[F.lit(int(x)) for x in limits])).cast("long"))
+    table = sums.withColumn("limit", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits])))
     over = F.when(F.col("n_tokens") > F.col("limit"), F.struct("n_tokens", "docs_from", "tokens_from"))
     found = table.groupBy(*by, "limit").agg(F.min(over).alias("over"), F.max("tokens_all").alias("all"))
     cut = F.coalesce(F.col("over.docs_from"), F.lit(0))

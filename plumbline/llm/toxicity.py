@@ -161,19 +161,17 @@ def fit_toxicity(train: list[tuple[str, int]], rest: list[tuple[str, int]], prio
     return SubwordModel(weight, *fit_logistic(features, np.array([y for _, y in rest], dtype=np.int64), priors))
 
 
-def toxicity_scores(docs: DataFrame, model: SubwordModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, score)`` of every row; null and blank texts get the score of a text without evidence."""
-    given = columns(docs, doc_id=doc_id, text=text)
+def toxicity_score(model: SubwordModel):
+    """A column function ``text -> score``; null and blank texts get the score of a text without evidence."""
     weight, slopes, offset = model.weight.astype(np.float32), model.slopes, model.offset
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = weight.astype(np.float64)
-        for batch in batches:
-            scores = [window_scores(table, data, bounds) for _, _, data, bounds in slices(batch.column(1))]
-            score = sigmoid(np.concatenate(scores) @ slopes + offset) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
+        for part in parts:
+            scores = [window_scores(table, data, bounds) for _, _, data, bounds in slices(part)]
+            yield pa.array(sigmoid(np.concatenate(scores) @ slopes + offset) if scores else np.zeros(0))
 
-    return given.mapInArrow(run, given.select("doc_id", F.lit(0.0).alias("score")).schema)
+    return F.arrow_udf(run, "double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus: int = 4, held: int = 2, sample: int = SAMPLE, calibration: int = CALIBRATION, longest: int = LONGEST) -> DataFrame:
@@ -190,6 +188,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus
         cut = max(len(own) * sample // (sample + calibration), 1)
         train, rest = train + own[:cut], rest + own[cut:]
     model = fit_toxicity(train, rest, priors)
-    scored = toxicity_scores(docs.select("doc_id", "text"), model)
+    scored = columns(docs, doc_id="doc_id", text="text").select("doc_id", toxicity_score(model)("text").alias("score"))
     held_out = F.coalesce(crc_mod(F.col("doc_id"), modulus) == held, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
