@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-SLICE_BYTES = 1 << 20  # texts are hashed in slices of about this size, so arrays stay in the cache; a longer text is a slice
-LONG_BYTES = 4 * SLICE_BYTES  # a longer text is hashed in pieces
+SLICE_BYTES = 1 << 18  # texts are hashed in slices of about this size, so arrays stay in the cache; a longer text is a slice
+LONG_BYTES = 8 * SLICE_BYTES  # a longer text is hashed in pieces
 
 _RNG = np.random.Generator(np.random.PCG64(20240613))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
