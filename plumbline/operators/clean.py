@@ -17,6 +17,7 @@ from plumbline.operators.ranks import running
 HIGH_MISSING_PCT = 80.0
 SMALL_SAMPLE_ROWS = 50
 GLANCE_ROWS = 1000
+NUMBER = r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(nan|inf|infinity)$"
 REPAIR_TYPES = ("bigint", "double", "timestamp_ntz")
 # Units in which a duration can be expressed.
 DURATION_UNITS = ("SECOND", "MINUTE", "HOUR", "DAY", "WEEK", "MONTH", "QUARTER", "YEAR")
@@ -88,6 +89,9 @@ def sample_size_check(df: DataFrame, minimum: int = SMALL_SAMPLE_ROWS) -> DataFr
 def parses(text: Column, kind: str) -> Column:
     """Whether text reads as the type, null for null text; short digit runs are not dates."""
     parsed = F.trim(text).try_cast(kind).isNotNull()
+    if kind == "double":
+        # the cast also takes type suffixes: codes such as 10D or 12F are not numbers
+        parsed &= F.regexp_like(F.trim(text), F.lit(NUMBER))
     if kind == "timestamp_ntz":
         parsed = (F.length(F.trim(text)) >= 8) & parsed
     return F.when(text.isNotNull(), parsed)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,17 @@ def long_rows(df: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[s
     return df.select(F.inline(F.array(*structs)))
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the result has each key once."""
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    other = right.select(*[q(c).alias(names.get(c, c)) for c in right.columns])
+    on = [q(k).eqNullSafe(F.col(name)) for k, name in names.items()]
+    joined = left.join(other, reduce(lambda x, y: x & y, on), how)
+    if how in ("full_outer", "right_outer"):
+        joined = joined.withColumns({k: F.coalesce(q(k), F.col(name)) for k, name in names.items()})
+    return joined.drop(*names.values())
+
+
 def chunks(items: Sequence, size: int) -> Iterable[Sequence]:
     for start in range(0, len(items), size):
         yield items[start : start + size]

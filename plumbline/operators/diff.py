@@ -15,8 +15,9 @@ from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from plumbline.operators.common import constants, q, union_all
+from plumbline.operators.common import constants, join_on, q, union_all
 
 SIMILARITY = 0.8
 MAX_KEY_FAMILIES = 5000
@@ -42,11 +43,18 @@ def exact_matches(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def _keyed(before: DataFrame, after: DataFrame, key: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Full outer join on the key; cells as ``b`` and ``a`` structs, null when the row is absent."""
+    """Full outer join on the key; cells as ``b`` and ``a`` structs, null when the row is absent.
+
+    NULL equals NULL in a key. Rows that repeat a key are numbered in the order of their cells and matched by number, so a
+    table compared with itself has no changes and no key is multiplied out.
+    """
     common = _common(before, after, key)
-    b = before.select(*[q(k) for k in key], F.struct(*[q(c) for c in common], F.lit(True).alias("_here")).alias("b"))
-    a = after.select(*[q(k) for k in key], F.struct(*[q(c) for c in common], F.lit(True).alias("_here")).alias("a"))
-    return b.join(a, on=list(key), how="full_outer"), common
+
+    def side(frame: DataFrame, name: str) -> DataFrame:
+        copy = F.row_number().over(W.partitionBy(*[q(k) for k in key]).orderBy(*[q(c) for c in common]))
+        return frame.select(*[q(k) for k in key], F.struct(*[q(c) for c in common], F.lit(True).alias("_here")).alias(name), copy.alias("_copy"))
+
+    return join_on(side(before, "b"), side(after, "a"), [*key, "_copy"], "full_outer").drop("_copy"), common
 
 
 def _cell(side: str, c: str) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window as W
 
 from plumbline.operators.balance import uniform
 from plumbline.operators.clean import drop_worst
-from plumbline.operators.common import constants, numeric_columns, q, string_columns, union_all
+from plumbline.operators.common import constants, join_on, numeric_columns, q, string_columns, union_all
 from plumbline.operators.ranks import quantile_map, running
 from plumbline.session import materialize
 
@@ -125,7 +125,10 @@ def classification_study(
     train: DataFrame, test: DataFrame, target: str, mode: str = "all", exclude: Sequence[str] = (),
     minimum: float | None = None, folds: int = 3, seed: int = 0, candidates: Sequence[str] | None = None,
 ) -> Study:
-    """Cross-validated candidates, scored on the test rows by accuracy, F1 and log loss. Below ``minimum`` F1 the study fails."""
+    """Cross-validated candidates, scored on the test rows by accuracy, F1 and log loss. Below ``minimum`` F1 the study fails.
+
+    Test rows of classes without a training row count as wrong; only the AUC, which ranks two known classes, leaves them out.
+    """
     train, test = train.where(q(target).isNotNull()), test.where(q(target).isNotNull())
     features = fit_features(train, [target, *exclude])
     label = StringIndexer(inputCol=target, outputCol=LABEL, handleInvalid="keep", stringOrderType="alphabetAsc").fit(train)
@@ -135,7 +138,8 @@ def classification_study(
     ready = label.transform(prepared(features, train)).select(FEATURES, LABEL)
     metric = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol=PREDICTION, metricName="f1")
     models, found = {}, []
-    check = materialize(label.transform(prepared(features, test)).where(F.col(LABEL) < classes).select(FEATURES, LABEL))
+    # classes that no training row has get a label of their own, which no prediction can match
+    check = materialize(label.transform(prepared(features, test)).select(FEATURES, LABEL))
     ready = materialize(ready)
     for name in names:
         fitted, cross = _fit(classifier(name, classes, width, seed), ready, metric, folds, seed)
@@ -147,7 +151,8 @@ def classification_study(
         if PROBABILITY in scored.columns:
             rows["log_loss"] = _log_loss(scored)
             if classes == 2:
-                rows["auc"] = auc(scored.withColumn("_s", vector_to_array(F.col(PROBABILITY))[1]), "_s", LABEL)
+                known = scored.where(F.col(LABEL) < classes)
+                rows["auc"] = auc(known.withColumn("_s", vector_to_array(F.col(PROBABILITY))[1]), "_s", LABEL)
         found += [(name, m, float(v)) for m, v in rows.items()]
     return _study(train, features, label, models, found, "f1", max, minimum)
 
@@ -324,7 +329,7 @@ def classification_by_subgroup(
         F.try_divide(tp, tp + F.col("fp")).alias("precision"), F.try_divide(tp, tp + F.col("fn")).alias("recall"),
         F.try_divide(2 * tp, 2 * tp + F.col("fp") + F.col("fn")).alias("f1"),
     )
-    return out if score is None else out.join(auc_by_group(df, group, score, truth), group)
+    return out if score is None else join_on(out, auc_by_group(df, group, score, truth), [group])
 
 
 def regression_by_subgroup(df: DataFrame, group: str, label: str, prediction: str) -> DataFrame:

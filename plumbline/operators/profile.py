@@ -33,7 +33,6 @@ TOP_PAIRS = 10
 # Above this estimate a column certainly has more than MAX_CATEGORIES distinct values.
 SURELY_MANY = 100
 GRAM_WIDTH = 4
-GLANCE_ROWS = 1000
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -45,59 +44,34 @@ def column_types(df: DataFrame) -> DataFrame:
     return constants(df, rows, ["position", "column", "type"], ["int", "string", "string"])
 
 
-def _power_sums(c: str, centre: float) -> dict[str, Column]:
-    """Plain sums of powers of the distance to a nearby centre: cheap to update, and well conditioned near it."""
+MOMENTS = ("n", "mean", "std", "skew", "kurt", "min", "max")
+
+
+def _moments_of(c: str) -> dict[str, Column]:
+    """Mergeable central moments: exact to rounding wherever the values lie and in whatever order they come."""
     v = q(c).cast("double")
-    d = v - F.lit(centre)
-    square = d * d
-    return {
-        "n": F.count(v), "mean": F.avg(v), "s1": F.sum(d), "s2": F.sum(square), "s3": F.sum(square * d), "s4": F.sum(square * square),
-        "min": F.min(v), "max": F.max(v),
-    }
+    return {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "skew": F.skewness(v), "kurt": F.kurtosis(v), "min": F.min(v), "max": F.max(v)}
 
 
-def _from_power_sums(sums: DataFrame) -> DataFrame:
-    """One row of power sums per column to ``(column, count, mean, std, min, max, skew, kurt)``.
+def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``(column, count, mean, std, min, max, skew, kurt)`` from a single scan.
 
     Skewness and kurtosis are bias-corrected; a constant column gives 0.
     """
-    n = F.col("n")
-    means = sums.withColumns({f"m{k}": F.try_divide(F.col(f"s{k}"), n) for k in (1, 2, 3, 4)})
-    m1, m2, m3, m4 = (F.col(f"m{k}") for k in (1, 2, 3, 4))
-    central = means.withColumns(
-        {
-            "v2": F.when(F.col("min") < F.col("max"), F.greatest(m2 - m1 * m1, F.lit(0.0))).otherwise(0.0),
-            "v3": m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1,
-            "v4": m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1,
-        }
-    )
-    g1 = F.try_divide(F.col("v3"), F.pow(F.col("v2"), F.lit(1.5)))
-    g2 = F.try_divide(F.col("v4"), F.col("v2") * F.col("v2")) - 3
-    flat = F.col("min") == F.col("max")
-    skew = F.when(n < 3, None).when(flat, 0.0).otherwise(g1 * F.try_divide(F.sqrt(n * (n - 1)), n - 2))
-    kurt = F.when(n < 4, None).when(flat, 0.0).otherwise(F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
-    return central.select(
-        "column", n.alias("count"), "mean",
-        F.sqrt(F.try_divide(F.col("v2") * n, n - 1)).alias("std"), "min", "max", skew.alias("skew"), kurt.alias("kurt"),
-    )
-
-
-def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column, count, mean, std, min, max, skew, kurt)`` from a single scan, centred on a glance at the first rows."""
     columns = list(columns if columns is not None else numeric_columns(df))
     if not columns:
         names = ["column", "count", "mean", "std", "min", "max", "skew", "kurt"]
         return constants(df, [], names, ["string"] + ["double"] * 7)
-    glance = df.select(*[q(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).limit(GLANCE_ROWS)
-    found = glance.agg(*[F.avg(f"_{i}").alias(f"_{i}") for i in range(len(columns))]).first()
-    centres = [found[f"_{i}"] or 0.0 for i in range(len(columns))]
-    fields = ["n", "mean", "s1", "s2", "s3", "s4", "min", "max"]
     parts = []
-    for part in chunks(list(enumerate(columns)), EXPRESSIONS_PER_AGG // 8):
-        wide = df.agg(*[e.alias(f"_{i}_{s}") for i, c in part for s, e in _power_sums(c, centres[i]).items()])
-        rows = [(F.lit(c), *[F.col(f"_{i}_{s}").cast("double") for s in fields]) for i, c in part]
-        parts.append(long_rows(wide, rows, ["column", *fields]))
-    return _from_power_sums(union_all(parts))
+    for part in chunks(list(enumerate(columns)), EXPRESSIONS_PER_AGG // len(MOMENTS)):
+        wide = df.agg(*[e.alias(f"_{i}_{s}") for i, c in part for s, e in _moments_of(c).items()])
+        rows = [(F.lit(c), *[F.col(f"_{i}_{s}").cast("double") for s in MOMENTS]) for i, c in part]
+        parts.append(long_rows(wide, rows, ["column", *MOMENTS]))
+    n, flat = F.col("n"), F.col("min") == F.col("max")
+    skew = F.when(n < 3, None).when(flat, 0.0).otherwise(F.col("skew") * F.try_divide(F.sqrt(n * (n - 1)), n - 2))
+    kurt = F.when(n < 4, None).when(flat, 0.0).otherwise(F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("kurt") + 6))
+    std = F.when(n >= 2, F.when(flat, 0.0).otherwise(F.col("std")))
+    return union_all(parts).select("column", n.alias("count"), "mean", std.alias("std"), "min", "max", skew.alias("skew"), kurt.alias("kurt"))
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

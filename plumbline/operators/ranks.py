@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from plumbline.operators.common import EXPRESSIONS_PER_AGG, chunks, constants, long_rows, melt, q, union_all
+from plumbline.operators.common import EXPRESSIONS_PER_AGG, chunks, constants, join_on, long_rows, melt, q, union_all
 from plumbline.session import materialize, small_rows
 
 # Up to this many cells the built-in exact percentile, which merges all distinct values in one task, is the cheaper way.
@@ -66,7 +66,8 @@ def running(
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     shifted = ranged.withColumns(
         {**{f"_c_{s}": F.sum(s).over(upto) for s in sums}, "_lead": F.lead(order[0]).over(inside)}
-    ).join(offsets, on=[*by, "_range"])
+    )
+    shifted = join_on(shifted, offsets, [*by, "_range"])
     return shifted.select(
         *[q(c) for c in df.columns],
         *[(F.col(f"_c_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums],

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.common import q
+from plumbline.operators.common import join_on, q
 from plumbline.operators.ranks import running
 
 
@@ -31,7 +31,7 @@ def _survival(times: DataFrame, by: list[str]) -> DataFrame:
     totals = times.groupBy(*by).agg(F.sum("n").alias("total"))
     at_risk = (F.col("total") - F.col("cum_n") + F.col("n")).alias("at_risk")
     if by:
-        joined = counted.join(totals, by)
+        joined = join_on(counted, totals, by)
     else:
         joined = counted.withColumn("total", times.agg(F.sum("n").alias("total")).scalar())
     died_out = F.col("events") >= F.col("at_risk")

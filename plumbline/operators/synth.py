@@ -30,6 +30,7 @@ from plumbline.session import materialize
 MAX_LEVELS = 200
 GRID = 200
 TREE_BINS = 16
+DELTA = 1e-6
 ID = "syn_id"
 
 
@@ -90,6 +91,7 @@ class TableModel:
     source: DataFrame
     types: dict[str, str]
     order: list[str]
+    withheld: list[str] = field(default_factory=list)
 
 
 def describe_table(
@@ -130,6 +132,49 @@ def describe_table(
     return TableModel(models, free, df.select(*[q(c) for c in free]) if free else df, dict(df.dtypes), names)
 
 
+def private_table(
+    df: DataFrame, exclude: Sequence[str], epsilon: float, delta: float, bounds: dict[str, tuple[float, float]],
+    levels: dict[str, Sequence[str]], rng: np.random.Generator,
+) -> TableModel:
+    """A table model that holds nothing of the rows but noisy counts.
+
+    Numbers need public ``bounds`` and get equal-width bins over them. Texts take public ``levels``; without them a level enters only if
+    its noisy count passes the threshold of an ``(epsilon, delta)`` stability histogram, so values of single rows stay out. All
+    other columns are withheld and come out as NULL. Weights and missing shares come from noisy counts in which the missing
+    cells are one more cell. ``epsilon`` is split evenly over the columns, and a text without public levels spends half of its part on them.
+    """
+    names = [c for c in df.columns if c not in exclude]
+    numbers = [c for c in names if c in numeric_columns(df)]
+    texts = [c for c in names if c in string_columns(df)]
+    unknown = [c for c in numbers if c not in bounds]
+    if unknown:
+        raise ValueError(f"private generators need public bounds of {unknown}, or leave these columns out")
+    part = epsilon / max(len(numbers) + len(texts), 1)
+    models = []
+    for c in numbers:
+        low, high = bounds[c]
+        edges = np.linspace(low, high if high > low else low + 1.0, TREE_BINS + 1)
+        models.append(ColumnModel(c, "number", isinstance(df.schema[c].dataType, T.IntegralType), edges))
+    open_texts = [c for c in texts if c not in levels]
+    found: dict[str, list[str]] = {c: sorted(levels[c]) for c in texts if c in levels} | {c: [] for c in open_texts}
+    least = 1 + 4 / part * np.log(2 / delta)
+    if open_texts:
+        # the counts stay in Spark until they are near the threshold; a far rarer level passes with a chance below delta
+        likely = value_counts(df, open_texts).where(F.col("n") >= max(1.0, least / 2)).orderBy("column", "value")
+        for r in likely.collect():
+            if r["n"] + rng.laplace(0.0, 4 / part) >= least:
+                found[r["column"]].append(r["value"])
+    models += [ColumnModel(c, "text", levels=found[c]) for c in texts if found[c]]
+    for m, (seen, gaps) in zip(models, marginal_counts(df, models)):
+        scale = 2 / (part / 2 if m.name in open_texts else part)
+        noisy = np.clip(np.append(seen, gaps) + rng.laplace(0.0, scale, m.size + 1), 0.0, None)
+        total = noisy.sum()
+        m.missing = float(noisy[-1] / total) if total > 0 else 0.0
+        m.weights = noisy[:-1] / noisy[:-1].sum() if noisy[:-1].sum() > 0 else np.full(m.size, 1.0 / m.size)
+    have = {m.name for m in models}
+    return TableModel(models, [], df, dict(df.dtypes), names, [c for c in names if c not in have])
+
+
 def _rows(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).withColumnRenamed("id", ID)
 
@@ -142,6 +187,7 @@ def _finish(model: TableModel, sampled: DataFrame, seed: int) -> DataFrame:
         if m.missing > 0:
             value = F.when(uniform(seed + 7919 + i, ID) >= F.lit(m.missing), value)
         out[m.name] = value
+    out |= {c: F.lit(None).cast(model.types[c]) for c in model.withheld}
     done = sampled.withColumns(out) if out else sampled
     if model.free:
         done = with_drawn_rows(done, model.source, model.free, seed)
@@ -317,27 +363,29 @@ def _binned(model: TableModel) -> None:
 
 def sample_network(
     df: DataFrame, n: int, seed: int = 0, exclude: Sequence[str] = (), epsilon: float | None = None,
-    bounds: dict[str, tuple[float, float]] | None = None,
+    bounds: dict[str, tuple[float, float]] | None = None, levels: dict[str, Sequence[str]] | None = None, delta: float = DELTA,
 ) -> DataFrame:
-    """Chow-Liu tree on binned columns. With ``epsilon`` the counts carry Laplace noise (after Zhang et al. 2014):
-    half the budget picks the tree, half fills its tables; bins are then equal-width over ``bounds``."""
-    model = describe_table(df, exclude, bins=TREE_BINS if epsilon else None, bounds=bounds)
+    """Chow-Liu tree on binned columns. With ``epsilon`` the counts carry Laplace noise (after Zhang et al. 2014): a third of the
+    budget each describes the columns (``private_table`` says how), picks the tree and fills its tables."""
+    rng = np.random.default_rng(seed)
     if epsilon is None:
+        model = describe_table(df, exclude)
         _binned(model)
+    else:
+        model = private_table(df, exclude, epsilon / 3, delta, bounds or {}, levels or {}, rng)
     columns = model.columns
     k = len(columns)
     if not k:
         return _finish(model, _sampler(model, n, seed, df.sparkSession, lambda u: {}), seed)
     counts = pair_counts(df, columns)
-    rng = np.random.default_rng(seed)
 
     def noisy(table: np.ndarray, budget: float | None) -> np.ndarray:
         return table if budget is None else np.clip(table + rng.laplace(0.0, 2.0 / budget, table.shape), 0.0, None)
 
-    picking = None if epsilon is None else epsilon / 2 / max(len(counts), 1)
+    picking = None if epsilon is None else epsilon / 3 / max(len(counts), 1)
     information = {p: mutual_information(noisy(t, picking)) for p, t in counts.items() if p[0] != p[1]}
     tree = spanning_tree(information, k)
-    filling = None if epsilon is None else epsilon / 2 / max(k - 1, 1)
+    filling = None if epsilon is None else epsilon / 3 / max(k - 1, 1)
     tables: dict[int, np.ndarray] = {}
     for node, parent in tree[1:]:
         pair = (max(node, parent), min(node, parent))
@@ -374,19 +422,14 @@ def sample_network(
 
 def sample_private_marginals(
     df: DataFrame, n: int, seed: int = 0, exclude: Sequence[str] = (), epsilon: float = 1.0,
-    bounds: dict[str, tuple[float, float]] | None = None,
+    bounds: dict[str, tuple[float, float]] | None = None, levels: dict[str, Sequence[str]] | None = None, delta: float = DELTA,
 ) -> DataFrame:
-    """Independent columns from histograms with Laplace noise (Dwork 2006), the budget split evenly over the columns.
+    """Independent columns from histograms with Laplace noise (Dwork 2006); ``private_table`` says what enters them.
 
-    Bin edges come from ``bounds``; without them the observed range is used, which is itself not private.
+    The guarantee holds as long as the seed stays secret.
     """
-    model = describe_table(df, exclude, bins=TREE_BINS, bounds=bounds)
+    model = private_table(df, exclude, epsilon, delta, bounds or {}, levels or {}, np.random.default_rng(seed))
     columns = model.columns
-    rng = np.random.default_rng(seed)
-    counts = marginal_counts(df, columns)
-    for i, m in enumerate(columns):
-        noisy = np.clip(counts[i] + rng.laplace(0.0, 2.0 * len(columns) / epsilon, m.size), 0.0, None)
-        m.weights = noisy / noisy.sum() if noisy.sum() > 0 else np.full(m.size, 1.0 / m.size)
 
     def draw(u: np.ndarray) -> dict[str, np.ndarray]:
         return {m.name: m.value_at(u[:, i]) for i, m in enumerate(columns)}
@@ -394,22 +437,24 @@ def sample_private_marginals(
     return _finish(model, _sampler(model, n, seed, df.sparkSession, draw), seed)
 
 
-def marginal_counts(df: DataFrame, columns: Sequence[ColumnModel]) -> list[np.ndarray]:
+def marginal_counts(df: DataFrame, columns: Sequence[ColumnModel]) -> list[tuple[np.ndarray, int]]:
+    """Per column the counts of its bins or levels, and the number of cells in none of them."""
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = [np.zeros(m.size, dtype="int64") for m in columns]
+        tables = [np.zeros(m.size + 1, dtype="int64") for m in columns]
         for batch in batches:
             for i, m in enumerate(columns):
                 code = m.codes(batch[m.name])
-                tables[i] += np.bincount(code[code >= 0], minlength=m.size)
+                tables[i] += np.bincount(np.where(code < 0, m.size, code), minlength=m.size + 1)
         for i, t in enumerate(tables):
             yield pd.DataFrame({"i": i, "cell": np.arange(len(t)), "n": t})
 
-    out = [np.zeros(m.size) for m in columns]
+    out = [np.zeros(m.size + 1) for m in columns]
     if columns:
         sums = df.select(*[q(m.name) for m in columns]).mapInPandas(count, "i int, cell long, n long")
         for r in sums.groupBy("i", "cell").agg(F.sum("n").alias("n")).collect():
             out[r["i"]][r["cell"]] = r["n"]
-    return out
+    return [(t[:-1], int(t[-1])) for t in out]
 
 
 # sequential trees
@@ -476,7 +521,7 @@ GENERATORS: dict[str, tuple[str, Callable[..., DataFrame]]] = {
     "bayesian_network": ("generic", sample_network),
     "sequential_trees": ("generic", sample_trees),
     "dp_marginals": ("privacy", sample_private_marginals),
-    "privbayes": ("privacy", lambda df, n, seed=0, exclude=(), epsilon=1.0: sample_network(df, n, seed, exclude, epsilon)),
+    "privbayes": ("privacy", lambda df, n, seed=0, exclude=(), epsilon=1.0, **public: sample_network(df, n, seed, exclude, epsilon, **public)),
 }
 REPEATS = 3
 
@@ -498,21 +543,25 @@ def method_names(methods: str | Sequence[str]) -> list[str]:
 
 
 def generate(
-    df: DataFrame, methods: str | Sequence[str], count: int | None = None, repeats: int = REPEATS, exclude: Sequence[str] = ()
+    df: DataFrame, methods: str | Sequence[str], count: int | None = None, repeats: int = REPEATS, exclude: Sequence[str] = (),
+    options: dict[str, dict] | None = None,
 ) -> DataFrame:
-    """``(generator, repeat, syn_id, columns...)``; as many rows per repeat as the table unless ``count`` is given."""
+    """``(generator, repeat, syn_id, columns...)``; as many rows per repeat as the table unless ``count`` is given.
+
+    ``options`` holds further arguments by generator; private ones need ``bounds`` of all numbers. Every repeat of a private one spends its ``epsilon``.
+    """
     n = df.count() if count is None else count
     parts = []
     for name in method_names(methods):
         for repeat in range(repeats):
-            made = GENERATORS[name][1](df, n, seed=repeat + 1, exclude=exclude)
+            made = GENERATORS[name][1](df, n, seed=repeat + 1, exclude=exclude, **(options or {}).get(name, {}))
             parts.append(made.select(F.lit(name).alias("generator"), F.lit(repeat).alias("repeat"), "*"))
     return union_all(parts)
 
 
-def group_generator(method: str, exclude: Sequence[str] = ()) -> Callable[[DataFrame, int, int], DataFrame]:
+def group_generator(method: str, exclude: Sequence[str] = (), **options) -> Callable[[DataFrame, int, int], DataFrame]:
     """A per-group generator for ``balance.fairness_augmentation``."""
-    return lambda df, n, seed: GENERATORS[method][1](df, n, seed=seed, exclude=exclude).drop(ID)
+    return lambda df, n, seed: GENERATORS[method][1](df, n, seed=seed, exclude=exclude, **options).drop(ID)
 
 
 def projection(real: DataFrame, syn: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

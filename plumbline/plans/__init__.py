@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-MODULES = ("profile_queries", "clean_queries", "score_queries", "model_queries")
+MODULES = ("profile_queries", "clean_queries", "score_queries", "model_queries", "edge_queries")
 
 
 def load_all() -> ModuleType:

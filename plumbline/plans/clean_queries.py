@@ -83,11 +83,6 @@ def _(spark, folder):
     return spark.read.csv(target, header=True)
 
 
-@query("file_inventory")
-def _(spark, folder):
-    return files.newest_files(files.list_files(spark, folder))
-
-
 @query("preview_lineitem", "select * from lineitem order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice limit 5")
 def _(spark, folder):
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]

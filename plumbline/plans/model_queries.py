@@ -282,8 +282,10 @@ def synthetic(method: str, **options):
     return run
 
 
-for _method in synth.GENERATORS:
-    query(f"synthetic_{_method}_customer")(synthetic(_method))
+PUBLIC = {"bounds": {"c_nationkey": (0.0, 24.0), "c_acctbal": (-1000.0, 10000.0)}}
+
+for _method, (_category, _) in synth.GENERATORS.items():
+    query(f"synthetic_{_method}_customer")(synthetic(_method, **(PUBLIC if _category == "privacy" else {})))
 
 
 @query("synthetic_projection_customer")
@@ -335,6 +337,6 @@ def _(spark, folder):
     """select generator, 0 as repeat, (select count(*) from customer) as rows from (values ('marginals'), ('dp_marginals')) t(generator)""",
 )
 def _(spark, folder):
-    made = synth.generate(real_customers(spark, folder), "marginals,dp_marginals", repeats=1)
+    made = synth.generate(real_customers(spark, folder), "marginals,dp_marginals", repeats=1, options={"dp_marginals": PUBLIC})
     path = files.save_by_generator(made, fresh_path(spark, "synthetic"), ["generator", "repeat"])
     return spark.read.parquet(path).groupBy("generator", "repeat").agg(F.count("*").alias("rows"))

@@ -35,9 +35,12 @@ FILE_CATEGORIES = {"image": ("png", "jpg", "jpeg"), "data": ("csv",), "model": (
 MODEL_NAME = r"^model(_[a-zA-Z]+)?"
 
 
-def read_text_table(spark: SparkSession, paths: str | Sequence[str], sep: str = ",") -> DataFrame:
-    """Header row, all columns as text, missing-cell tokens as NULL."""
-    raw = spark.read.csv(paths, sep=sep, header=True, escape='"', multiLine=False)
+def read_text_table(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """Header row, all columns as text, missing-cell tokens as NULL.
+
+    Quoted cells may hold line breaks, for which a file is read by one task; ``multi_line=False`` lets Spark split large files that have none.
+    """
+    raw = spark.read.csv(paths, sep=sep, header=True, escape='"', multiLine=multi_line)
     return raw.select(*[F.when(~q(c).isin(*NA_TOKENS), q(c)).alias(c) for c in raw.columns])
 
 
@@ -71,13 +74,13 @@ def _inferred(df: DataFrame) -> dict[str, Column]:
     return out
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str], sep: str = ",") -> DataFrame:
-    return infer_types(read_text_table(spark, paths, sep))
+def read_csv(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", multi_line: bool = True) -> DataFrame:
+    return infer_types(read_text_table(spark, paths, sep, multi_line))
 
 
-def read_many(spark: SparkSession, paths: Sequence[str], sep: str = ",") -> DataFrame:
+def read_many(spark: SparkSession, paths: Sequence[str], sep: str = ",", multi_line: bool = True) -> DataFrame:
     """Several files in one scan, each row with the ``file_name`` it came from."""
-    raw = spark.read.csv(list(paths), sep=sep, header=True, escape='"')
+    raw = spark.read.csv(list(paths), sep=sep, header=True, escape='"', multiLine=multi_line)
     cells = [F.when(~q(c).isin(*NA_TOKENS), q(c)).alias(c) for c in raw.columns]
     text = raw.select(*cells, F.col("_metadata.file_name").alias("file_name"))
     types = _inferred(text)
@@ -92,7 +95,7 @@ def is_loaded(df: DataFrame) -> bool:
 def read_any_separator(spark: SparkSession, path: str, separators: Sequence[str] = SEPARATORS) -> tuple[DataFrame, str]:
     """The first separator under which the file loads; the check reads two rows."""
     for sep in separators:
-        if is_loaded(spark.read.csv(path, sep=sep, header=True, escape='"')):
+        if is_loaded(spark.read.csv(path, sep=sep, header=True, escape='"', multiLine=True)):
             return read_csv(spark, path, sep), sep
     raise ValueError(f"no separator of {separators!r} gives more than one column and row")
 

@@ -125,18 +125,18 @@ def test_mean_discrepancy_close_to_exact(spark, scored):
     assert got == pytest.approx(kernel(x, x) + kernel(y, y) - 2 * kernel(x, y), abs=2e-3)
 
 
-def test_imputation_contract(spark, missing_frame):
+def test_imputation_contract(spark, gaps_frame):
     from plumbline.operators.common import nan_to_null
 
-    table = nan_to_null(spark.createDataFrame(missing_frame))
+    table = nan_to_null(spark.createDataFrame(gaps_frame))
     filled = impute.impute_iterative(table, "id", rounds=2).toPandas().sort_values("id", ignore_index=True)
-    assert filled["single"][500] == pytest.approx(500, rel=0.1)
-    for c in ("several", "category"):
-        assert filled[c].mean() == pytest.approx(missing_frame[c].mean(), rel=0.01)
-        assert filled[c].std() == pytest.approx(missing_frame[c].std(), rel=0.1)
-    for c in ("single", "several", "category"):
-        known = missing_frame[c].notna()
-        assert (filled[c][known] == missing_frame[c][known]).all()
+    assert filled["rising"][470] == pytest.approx(1417, rel=0.1)
+    for c in ("balance", "nation"):
+        assert filled[c].mean() == pytest.approx(gaps_frame[c].mean(), rel=0.01)
+        assert filled[c].std() == pytest.approx(gaps_frame[c].std(), rel=0.1)
+    for c in ("rising", "balance", "nation"):
+        known = gaps_frame[c].notna()
+        assert (filled[c][known] == gaps_frame[c][known]).all()
     assert impute.still_missing(spark.createDataFrame(filled)).count() == 0
 
 
@@ -168,19 +168,32 @@ def people(spark):
 def test_generators(people, method):
     category, generator = synth.GENERATORS[method]
     # at the default budget the noise drowns a table of 800 rows; a loose one keeps the shape
-    make = partial(generator, epsilon=50.0) if category == "privacy" else generator
+    make = partial(generator, epsilon=50.0, bounds={"x": (-4.0, 4.0), "n": (-15.0, 15.0)}) if category == "privacy" else generator
     made = make(people, 1200, seed=3).cache()
     assert made.count() == 1200
     assert dict(made.drop("syn_id").dtypes) == dict(people.dtypes)
     assert made.exceptAll(make(people, 1200, seed=3)).count() == 0
     real, syn = people.agg(F.avg("x"), F.stddev("x")).first(), made.agg(F.avg("x"), F.stddev("x")).first()
     assert syn[0] == pytest.approx(real[0], abs=0.35) and syn[1] == pytest.approx(real[1], rel=0.4)
-    assert {r["s"] for r in made.select("s").distinct().collect()} <= {"hi", "lo"}
-    assert made.join(people, "name", "left_anti").count() == 0
+    assert {r["s"] for r in made.select("s").distinct().collect()} <= ({"hi", "lo", None} if category == "privacy" else {"hi", "lo"})
+    # names are all different: they are real ones where nothing is private, and stay out where it is
+    real_names = made.join(people, "name", "left_semi").count()
+    assert real_names == (0 if category == "privacy" else 1200)
     if method in ("gaussian_copula", "bayesian_network", "sequential_trees"):
         assert made.select(F.corr("x", "n")).first()[0] > 0.6
 
 
+def test_private_generators_need_public_bounds(people):
+    for method in ("dp_marginals", "privbayes"):
+        with pytest.raises(ValueError, match="public bounds"):
+            synth.GENERATORS[method][1](people, 10)
+    levels = {"s": ["hi", "lo", "none"], "name": ["a", "b"]}
+    made = synth.sample_private_marginals(people, 500, epsilon=100.0, bounds={"x": (-4.0, 4.0), "n": (-15.0, 15.0)}, levels=levels).cache()
+    assert {r["s"] for r in made.select("s").distinct().collect()} <= {"hi", "lo", "none", None}
+    # no real name is among the public levels: all cells count as missing
+    assert made.where("name is not null").count() <= 25
+
+
 def test_method_list_is_trimmed():
     assert synth.method_names("Marginals, privbayes ") == ["marginals", "privbayes"]
     with pytest.raises(ValueError):
@@ -188,27 +201,27 @@ def test_method_list_is_trimmed():
 
 
 @pytest.mark.parametrize("task", ["classification", "regression"])
-def test_feature_selection_keeps_the_drivers(spark, classification_frame, regression_frame, task):
-    frame = classification_frame if task == "classification" else regression_frame
+def test_feature_selection_keeps_the_drivers(spark, late_shipments, shipment_effort, task):
+    frame = late_shipments if task == "classification" else shipment_effort
     found = models.select_features(spark.createDataFrame(frame), "target", "id", task, rounds=10).collect()
-    assert {"X1", "X2", "X5"} <= {r["feature"] for r in found if r["selected"]}
+    assert {"quantity", "discount", "line"} <= {r["feature"] for r in found if r["selected"]}
 
 
-def test_attribution_order(spark, classification_frame):
-    table = spark.createDataFrame(classification_frame).withColumn("target", F.col("target").cast("string"))
+def test_attribution_order(spark, late_shipments):
+    table = spark.createDataFrame(late_shipments).withColumn("target", F.col("target").cast("string"))
     study = models.classification_study(table, table, "target", exclude=["id"], folds=0, candidates=("forest",))
     score = lambda df: study.predict(df).withColumn("score", F.col(models.PROBABILITY)[1])
-    found = models.shapley_ranking(score, table.drop("target"), "id", ["X1", "X2", "X3", "X4", "X5"], rounds=3)
+    found = models.shapley_ranking(score, table.drop("target"), "id", ["quantity", "discount", "tax", "part", "line"], rounds=3)
     order = [r["feature"] for r in found.orderBy(F.desc("mean_abs_attribution")).collect()]
-    assert order[:3] == ["X2", "X1", "X5"]
+    assert order[:3] == ["quantity", "discount", "line"]
 
 
-def test_permutation_importance_and_minimum(spark, regression_frame):
-    table = spark.createDataFrame(regression_frame)
+def test_permutation_importance_and_minimum(spark, shipment_effort):
+    table = spark.createDataFrame(shipment_effort)
     study = models.regression_study(table, table, "target", exclude=["id"], folds=0, candidates=("linear_model",))
     r2 = lambda p: models.regression_by_subgroup(p.withColumn("g", F.lit(1)), "g", "target", models.PREDICTION).first()["r2"]
-    found = {r["feature"]: r["importance"] for r in models.permutation_importance(study.predict, table, "id", ["X1", "X2", "X3", "X5"], r2).collect()}
-    assert min(found["X1"], found["X2"], found["X5"]) > 10 * abs(found["X3"])
+    found = {r["feature"]: r["importance"] for r in models.permutation_importance(study.predict, table, "id", ["quantity", "discount", "tax", "line"], r2).collect()}
+    assert min(found["quantity"], found["discount"], found["line"]) > 10 * abs(found["tax"])
     with pytest.raises(ValueError, match="below the required"):
         models.regression_study(table, table, "target", exclude=["id"], folds=0, candidates=("linear_model",), minimum=1.1)
 
@@ -232,8 +245,8 @@ def test_conformal_coverage(spark):
     assert few.first()["upper"] == float("inf")
 
 
-def test_hardness_grades(spark, classification_frame):
-    frame = classification_frame.copy()
+def test_hardness_grades(spark, late_shipments):
+    frame = late_shipments.copy()
     flipped = frame["id"] % 25 == 0
     frame.loc[flipped, "target"] = 1 - frame.loc[flipped, "target"]
     table = spark.createDataFrame(frame)
@@ -244,9 +257,9 @@ def test_hardness_grades(spark, classification_frame):
     assert kept.count() == found.where("hardness = 'easy'").count()
 
 
-def test_weak_regions_flag_broken_rows(spark, regression_frame):
-    frame = regression_frame[["id", "X1", "X2", "target"]].copy()
+def test_weak_regions_flag_broken_rows(spark, shipment_effort):
+    frame = shipment_effort[["id", "quantity", "discount", "target"]].copy()
     frame.loc[frame["id"] == 7, "target"] += 500
     table = spark.createDataFrame(frame)
-    worst = models.weak_regions(table.where("id <> 7"), table.where("id < 50"), "id", ["X1", "X2", "target"]).first()
+    worst = models.weak_regions(table.where("id <> 7"), table.where("id < 50"), "id", ["quantity", "discount", "target"]).first()
     assert worst["id"] == 7

@@ -116,16 +116,19 @@ def test_shapiro_published_example():
     assert shapiro_p(weights) == pytest.approx(0.0067, abs=5e-4)
 
 
-def test_table_one(mixed_table):
-    assert set(table1.partition_columns(mixed_table)[0]) == {"int_categorical", "strings"}
-    other = {r["value"]: r["n"] for r in table1.top_with_other(mixed_table, ["int_categorical"]).collect()}
-    assert other == {"0": 125, "1": 125, "2": 125, "3": 125, "4": 125, "Other": 375}
+def test_table_one(mixed_table, mixed_frame):
+    assert set(table1.partition_columns(mixed_table)[0]) == {"size_class", "maker"}
+    counts = mixed_frame["size_class"].value_counts()
+    top = sorted(counts.index, key=lambda v: (-counts[v], str(v)))[:5]
+    other = {r["value"]: r["n"] for r in table1.top_with_other(mixed_table, ["size_class"]).collect()}
+    assert other == {**{str(v): counts[v] for v in top}, "Other": 1000 - counts[top].sum()}
     lines = {r["variable"]: r["summary"] for r in table1.table_one(mixed_table).collect()}
-    assert lines["<<int_categorical>> 0"] == "125/1000 (12.5)"
-    assert lines["<<int_categorical>> Other"] == "375/1000 (37.5)"
-    assert lines["int_numerical"] == "4.00 (2.00 - 249.25)"
-    assert " ± " in lines["floats"]
-    assert lines["strings"] == ""
+    assert lines[f"<<size_class>> {top[0]}"].startswith(f"{counts[top[0]]}/1000 (")
+    assert lines["<<size_class>> Other"].startswith(f"{other['Other']}/1000 (")
+    low, mid, high = mixed_frame["size_cubed"].quantile([0.25, 0.5, 0.75])
+    shown = [float(x) for x in lines["size_cubed"].replace("(", " ").replace(")", " ").replace(" - ", " ").split()]
+    assert shown == pytest.approx([mid, low, high], rel=0.01)
+    assert lines["maker"] == ""
 
 
 def test_nulls_fall_into_other_only_when_lumping(spark):

@@ -150,3 +150,53 @@ def test_long_transcripts_continue_in_parts(spark):
     parts = convlog.transcript(talk, turns_per_part=2).orderBy("part").collect()
     assert [p["part"] for p in parts] == [0, 1, 2]
     assert parts[2]["transcript"] == "**User:**\n\nm4\n"
+
+
+def test_running_keeps_null_groups_on_both_paths(spark, request):
+    from plumbline.operators.ranks import running
+
+    table = spark.createDataFrame([(None, 1, 2), (None, 2, 3), ("a", 1, 5)], "g string, t int, n int")
+    rows = lambda: sorted((tuple(r) for r in running(table, ["g"], ["t"], ["n"]).select("g", "t", "cum_n", "next_t").collect()), key=repr)
+    near = rows()
+    request.getfixturevalue("distributed")
+    assert near == rows() == sorted([(None, 1, 2, 2), (None, 2, 5, None), ("a", 1, 5, None)], key=repr)
+
+
+def test_moments_do_not_depend_on_the_first_rows(spark):
+    from plumbline.operators import profile
+
+    table = spark.range(50_000).select(F.when(F.col("id") >= 1000, F.lit(1.7e9) + F.col("id") % 10).alias("x"))
+    found = profile.moments(table).first()
+    assert found["std"] == pytest.approx(2.8723, abs=1e-3) and found["skew"] == pytest.approx(0, abs=1e-3) and found["kurt"] == pytest.approx(-1.2242, abs=1e-3)
+
+
+def test_codes_are_not_numbers(spark):
+    from plumbline.operators import clean
+
+    table = spark.createDataFrame([("10D", "1.5", "1e3"), ("12F", ".5", "-2.")], "ward string, x string, y string")
+    assert {r["column"]: r["suggested"] for r in clean.type_suggestions(table).collect()} == {"ward": "string", "x": "double", "y": "double"}
+
+
+def test_quoted_line_breaks_stay_in_their_cell(spark, tmp_path):
+    (tmp_path / "notes.csv").write_text('id,note\n1,"two\nlines, ""quoted"""\n2,plain\n')
+    rows = files.read_csv(spark, str(tmp_path / "notes.csv")).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, 'two\nlines, "quoted"'), (2, "plain")]
+    assert files.read_any_separator(spark, str(tmp_path / "notes.csv"))[1] == ","
+
+
+def test_keyed_diff_with_null_and_repeated_keys(spark):
+    table = spark.createDataFrame([(None, 1, "a"), (1, None, "b"), (1, None, "c"), (2, 2, "d")], "k int, k2 int, v string")
+    for found in (diff.row_changes(table, table, ["k", "k2"]), diff.cell_changes(table, table, ["k", "k2"])):
+        assert found.count() == 0
+    edited = table.withColumn("v", F.when(F.col("k").isNull(), "z").otherwise(F.col("v"))).where("v <> 'd'")
+    got = sorted((r["k"], r["k2"], r["change"]) for r in diff.row_changes(table, edited, ["k", "k2"]).collect() if r["k"] is not None)
+    assert got == [(2, 2, "removed")] and diff.cell_changes(table, edited, ["k", "k2"]).collect()[0]["after"] == "z"
+
+
+def test_unseen_classes_count_as_wrong(spark):
+    from plumbline.operators import models
+
+    train = spark.createDataFrame([(float(i % 2), "ab"[i % 2]) for i in range(40)], "x double, y string")
+    test = spark.createDataFrame([(0.0, "a"), (1.0, "b"), (0.0, "new"), (1.0, "new")], "x double, y string")
+    study = models.classification_study(train, test, "y", folds=0, candidates=("linear_model",))
+    assert {r["metric"]: r["value"] for r in study.scores.collect()}["accuracy"] == 0.5
