@@ -3,7 +3,7 @@ decided by a hash of the key against a per-class cut, so no class is ever sorted
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +15,17 @@ from plumbline.operators.ranks import running
 MAX_CLASSES = 1000
 
 
+def class_table(df: DataFrame, target: str) -> DataFrame:
+    """``(_class, n)`` of the known classes."""
+    return df.where(q(target).isNotNull()).groupBy(q(target).alias("_class")).agg(F.count("*").alias("n"))
+
+
 def class_sizes(df: DataFrame, target: str) -> dict:
-    """Rows per class on the driver; a target with more than ``MAX_CLASSES`` values is refused."""
-    rows = df.where(q(target).isNotNull()).groupBy(q(target).alias("c")).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
+    """Rows per class on the driver, for operators that run a job per class: more than ``MAX_CLASSES`` are refused."""
+    rows = class_table(df, target).limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
-    return {r["c"]: r["n"] for r in rows}
+    return {r["_class"]: r["n"] for r in rows}
 
 
 def _hash(key: str, seed: int) -> Column:
@@ -33,45 +38,42 @@ def uniform(seed: int, *keys: Column | str) -> Column:
     return F.pmod(mixed, F.lit(2**53)) / F.lit(float(2**53))
 
 
-def _cuts(df: DataFrame, target: str, key: str, take: Mapping, seed: int) -> DataFrame:
-    """Per class the largest ``(hash, key)`` among its ``take`` smallest: one row per class."""
-    wanted = constants(df, list(take.items()), ["_class", "_take"], [df.schema[target].dataType.simpleString(), "long"])
+def _cuts(df: DataFrame, target: str, key: str, take: DataFrame, seed: int) -> DataFrame:
+    """Per class the largest ``(hash, key)`` among its ``_take`` smallest: one row per class."""
     narrow = df.select(q(target).alias("_class"), _hash(key, seed).alias("_h"), q(key).alias("_key"), F.lit(1).alias("_one"))
-    narrow = narrow.join(F.broadcast(wanted), "_class")
+    narrow = narrow.join(take.select("_class", "_take"), "_class")
     ordered = running(narrow, ["_class"], ["_h", "_key"], ["_one"])
     inside = ordered.where(F.col("cum__one") <= F.col("_take"))
     return inside.groupBy("_class").agg(F.max(F.struct("_h", "_key")).alias("_cut"))
 
 
-def _mark(df: DataFrame, target: str, key: str, take: Mapping, seed: int) -> DataFrame:
-    """Adds ``_in``: whether the row is among the ``take`` smallest hashes of its class."""
-    cuts = F.broadcast(_cuts(df, target, key, take, seed))
+def _mark(df: DataFrame, target: str, key: str, take: DataFrame, seed: int) -> DataFrame:
+    """Adds ``_in``: whether the row is among the ``_take`` smallest hashes of its class."""
     here = F.struct(_hash(key, seed).alias("_h"), q(key).alias("_key"))
-    marked = df.join(cuts, q(target) == F.col("_class"), "left")
+    marked = df.join(_cuts(df, target, key, take, seed), q(target) == F.col("_class"), "left")
     return marked.withColumn("_in", F.coalesce(here <= F.col("_cut"), F.lit(False))).drop("_class", "_cut")
 
 
 def undersample(df: DataFrame, target: str, key: str, size: int | None = None, seed: int = 0) -> DataFrame:
     """Every class cut to ``size`` rows, by default to the smallest class."""
-    sizes = class_sizes(df, target)
-    size = min(sizes.values()) if size is None else size
-    return _mark(df, target, key, {c: min(n, size) for c, n in sizes.items()}, seed).where("_in").drop("_in")
+    sizes = class_table(df, target)
+    size = sizes.agg(F.min("n")).first()[0] if size is None else size
+    take = sizes.withColumn("_take", F.least("n", F.lit(size)))
+    return _mark(df, target, key, take, seed).where("_in").drop("_in")
 
 
 def oversample(df: DataFrame, target: str, key: str, size: int | None = None, seed: int = 0) -> DataFrame:
     """Every class repeated up to ``size`` rows, by default to the largest class. Copies are spread evenly."""
-    sizes = class_sizes(df, target)
-    size = max(sizes.values()) if size is None else size
-    whole = {c: max(size, n) // n for c, n in sizes.items()}
-    marked = _mark(df, target, key, {c: max(size, n) % n for c, n in sizes.items()}, seed)
-    return _repeated(marked, target, whole).drop("_in", "_copy")
+    sizes = class_table(df, target)
+    size = sizes.agg(F.max("n")).first()[0] if size is None else size
+    wanted = F.greatest("n", F.lit(size))
+    marked = _mark(df, target, key, sizes.withColumn("_take", wanted % F.col("n")), seed)
+    return _repeated(marked, target, sizes.withColumn("_times", F.floor(wanted / F.col("n")).cast("int"))).drop("_in", "_copy")
 
 
-def _repeated(marked: DataFrame, target: str, whole: Mapping) -> DataFrame:
-    """Repeats each row ``whole[class]`` times, once more where ``_in``; ``_copy`` numbers the copies from 1."""
-    kind = marked.schema[target].dataType.simpleString()
-    times = F.broadcast(constants(marked, list(whole.items()), ["_class", "_times"], [kind, "int"]))
-    joined = marked.join(times, q(target) == F.col("_class"))
+def _repeated(marked: DataFrame, target: str, times: DataFrame) -> DataFrame:
+    """Repeats each row ``_times`` of its class, once more where ``_in``; ``_copy`` numbers the copies from 1."""
+    joined = marked.join(times.select("_class", "_times"), q(target) == F.col("_class"))
     copies = F.col("_times") + F.col("_in").cast("int")
     numbered = F.explode(F.filter(F.sequence(F.lit(0), copies), lambda i: i > 0))
     return joined.withColumn("_copy", numbered).drop("_class", "_times")
@@ -99,8 +101,8 @@ def smote(
         vectors = own.select(q(key).alias("id"), as_vector(features, scale).alias("vector"))
         near = knn(vectors, vectors, min(k, n - 1), skip_same_id=True)
         options = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "base_id"))).alias("_near"))
-        marked = _mark(own, target, key, {label: missing % n}, seed)
-        copies = _repeated(marked, target, {label: missing // n}).join(options, q(key) == F.col("query_id"))
+        part = constants(df, [(label, missing % n, missing // n)], ["_class", "_take", "_times"], [df.schema[target].dataType.simpleString(), "long", "int"])
+        copies = _repeated(_mark(own, target, key, part, seed), target, part).join(options, q(key) == F.col("query_id"))
         pick = F.floor(uniform(seed + 1, key, F.col("_copy")) * F.size("_near")).cast("int")
         other = own.select(q(key).alias("_other"), *[q(c).cast("double").alias(f"_o_{c}") for c in features])
         joined = copies.withColumn("_other", F.get("_near", pick)["base_id"]).join(other, "_other")

@@ -15,7 +15,7 @@ LAST_MESSAGES = 15
 # Markers replaced in a transcript.
 TRANSCRIPT_MARKERS = {"TASK COMPLETED": "✅🎉 Task completed!", "= CONTINUE =": "▶️"}
 TRANSCRIPT_SEPARATOR = "\n\n---\n\n"
-TURNS_PER_PART = 10_000
+# The planning agent and the text shown in place of its messages.
 PLANNING_AGENT = "coordinator"
 PLANNING_TEXT = "💡 `Planning step`"
 
@@ -84,11 +84,10 @@ def plan_progress(df: DataFrame, plan: str = "plan", current: str = "current", i
     )
 
 
-def transcript(df: DataFrame, by: str = "conv_id", order: str = "turn", turns_per_part: int = TURNS_PER_PART) -> DataFrame:
+def transcript(df: DataFrame, by: str = "conv_id", order: str = "turn", turns_per_part: int | None = None) -> DataFrame:
     """``(by, part, transcript)``: messages in order under bold role headings.
 
-    A conversation of up to ``turns_per_part`` turns is one row; longer ones continue in further parts, so no
-    row or task has to hold an endless conversation.
+    Each conversation is one row, part 0. With ``turns_per_part`` long ones continue in further parts.
     """
     text = F.coalesce("text", F.lit(""))
     for marker, shown in TRANSCRIPT_MARKERS.items():
@@ -98,7 +97,7 @@ def transcript(df: DataFrame, by: str = "conv_id", order: str = "turn", turns_pe
     role = F.concat(F.upper(F.left("role", F.lit(1))), F.lower(F.substring("role", 2, 2**31 - 1)))
     entry = F.concat(F.lit("**"), role, F.lit(":**\n\n"), text, F.lit("\n"))
     collected = F.array_sort(F.collect_list(F.struct(F.col(order), entry.alias("entry"))))
-    part = F.floor(F.col(order) / F.lit(turns_per_part)).alias("part")
+    part = (F.lit(0).cast("long") if turns_per_part is None else F.floor(F.col(order) / F.lit(turns_per_part))).alias("part")
     return df.groupBy(by, part).agg(
         F.array_join(F.transform(collected, lambda m: m["entry"]), TRANSCRIPT_SEPARATOR).alias("transcript")
     )

@@ -20,7 +20,8 @@ from pyspark.sql.window import Window as W
 from plumbline.operators.common import constants, join_on, q, union_all
 
 SIMILARITY = 0.8
-MAX_KEY_FAMILIES = 5000
+MAX_KEY_FAMILIES = 5000  # keys that leave single cells out, per row; beyond, groups of columns are left out
+GROUP_FAMILIES = 100
 ARROW = " → "
 
 
@@ -127,16 +128,16 @@ def allowed_changes(columns: int, threshold: float) -> int:
 def similar_rows(before: DataFrame, after: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """``(a, b, different)``: each distinct after-row with its most similar distinct before-row, if above ``threshold``.
 
-    Ties go to the smallest before-row. Wide tables with a low threshold would need too many key families
-    and are refused: compare those with a key.
+    Ties go to the smallest before-row. Narrow tables match on keys that leave single cells out; wide ones, which would need too
+    many such keys, leave out groups of columns and count the equal cells of each pair found. Both are exact.
     """
     common = _common(before, after)
     m = allowed_changes(len(common), threshold)
     families = sum(comb(len(common), j) for j in range(m + 1))
-    if families > MAX_KEY_FAMILIES:
-        raise ValueError(f"{families} key families for {len(common)} columns: use a key or a higher threshold")
     b = before.select(*[q(c) for c in common]).distinct()
     a = after.select(*[q(c) for c in common]).distinct()
+    if families > MAX_KEY_FAMILIES:
+        return _similar_by_groups(b, a, common, m)
 
     left_out = ";".join(
         ",".join(map(str, cells)) for j in range(m + 1) for cells in combinations(range(len(common)), j)
@@ -163,6 +164,36 @@ def similar_rows(before: DataFrame, after: DataFrame, threshold: float = SIMILAR
     return best.select("a", F.col("m.b").alias("b"), F.col("m.different").alias("different"))
 
 
+def _similar_by_groups(b: DataFrame, a: DataFrame, common: Sequence[str], m: int) -> DataFrame:
+    """Rows with at most ``m`` different cells agree on all but ``m`` of any groups of columns.
+
+    Each row gets one hashed key per choice of groups left out; only hashes and row digests are shuffled, and the pairs that share a
+    key are compared once. Keys that many rows share make many pairs: rows alike in most columns need a key of their own.
+    """
+    groups = max(g for g in range(m + 1, len(common) + 1) if comb(g, m) <= GROUP_FAMILIES or g == m + 1)
+    left_out = [set(x) for x in combinations(range(groups), m)]
+    members = [[q(c) for c in common[g::groups]] for g in range(groups)]
+
+    def keyed(frame: DataFrame, side: str) -> DataFrame:
+        row = F.struct(*[q(c) for c in common])
+        # a flag per cell keeps NULL apart from a value that hashes like it
+        hashed = [F.xxhash64(*cells, *[c.isNull() for c in cells]) for cells in members]
+        placed = frame.select(F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256).alias(side), *[h.alias(f"g{g}") for g, h in enumerate(hashed)])
+        keys = [F.struct(F.lit(f).alias("family"), F.xxhash64(*[f"g{g}" for g in range(groups) if g not in out]).alias("key")) for f, out in enumerate(left_out)]
+        return placed.select(side, F.inline(F.array(*keys)))
+
+    pairs = keyed(b, "b_id").join(keyed(a, "a_id"), ["family", "key"]).select("a_id", "b_id").distinct()
+
+    def whole(frame: DataFrame, side: str) -> DataFrame:
+        row = F.struct(*[q(c) for c in common])
+        return frame.select(F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256).alias(f"{side}_id"), row.alias(side))
+
+    cells = [(~F.col("a").getField(c).eqNullSafe(F.col("b").getField(c))).cast("int") for c in common]
+    compared = pairs.join(whole(a, "a"), "a_id").join(whole(b, "b"), "b_id").select("a", "b", reduce(lambda x, y: x + y, cells).alias("different"))
+    best = compared.where(F.col("different") <= m).groupBy("a").agg(F.min(F.struct("different", "b")).alias("m"))
+    return best.select("a", F.col("m.b").alias("b"), F.col("m.different").alias("different"))
+
+
 def keyless_diff(before: DataFrame, after: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """``(change, row, column, text)``: removed and added distinct rows, and the changed cells of paired rows."""
     common = _common(before, after)

@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import AFTSurvivalRegression, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -42,19 +42,26 @@ def feature_columns(df: DataFrame, exclude: Sequence[str]) -> tuple[list[str], l
 
 
 def fit_features(df: DataFrame, exclude: Sequence[str]) -> PipelineModel:
-    """Numbers with gaps filled by the mean, texts as frequency-ordered codes, in one vector column."""
+    """Numbers with gaps filled by the mean and texts as codes, in one vector column.
+
+    Texts of up to ``MAX_LEVELS`` values get frequency-ordered codes; wider ones the bucket of their hash, so no column is left out.
+    """
     numbers, texts = feature_columns(df, exclude)
-    counts = df.agg(*[F.approx_count_distinct(q(c)).alias(f"_{i}") for i, c in enumerate(texts)]).first() if texts else []
-    texts = [c for i, c in enumerate(texts) if counts[f"_{i}"] <= MAX_LEVELS]
+    near = df.agg(*[F.approx_count_distinct(q(c)).alias(f"_{i}") for i, c in enumerate(texts)]).first() if texts else []
+    # the estimate only rules out; columns near the limit are counted
+    close = [(i, c) for i, c in enumerate(texts) if near[f"_{i}"] <= 2 * MAX_LEVELS]
+    exact = df.agg(*[F.count_distinct(q(c)).alias(f"_{i}") for i, c in close]).first() if close else {}
+    few = [c for i, c in close if exact[f"_{i}"] <= MAX_LEVELS]
+    wide = [c for c in texts if c not in few]
     stages: list[Transformer] = []
-    if texts:
-        stages.append(
-            StringIndexer(inputCols=texts, outputCols=[f"_x_{c}" for c in texts], handleInvalid="keep").fit(df)
-        )
+    if few:
+        stages.append(StringIndexer(inputCols=few, outputCols=[f"_x_{c}" for c in few], handleInvalid="keep").fit(df))
+    if wide:
+        quoted = {c: "`" + c.replace("`", "``") + "`" for c in wide}
+        buckets = ", ".join(f"CAST(pmod(xxhash64({name}), {MAX_LEVELS}) AS DOUBLE) AS `_x_{name[1:-1]}`" for name in quoted.values())
+        stages.append(SQLTransformer(statement=f"SELECT *, {buckets} FROM __THIS__"))
     inputs = []
     if numbers:
-
-
         stages.append(Imputer(inputCols=numbers, outputCols=[f"_n_{c}" for c in numbers]).fit(df))
         inputs += [f"_n_{c}" for c in numbers]
     inputs += [f"_x_{c}" for c in texts]

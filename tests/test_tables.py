@@ -1,5 +1,6 @@
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,10 +45,25 @@ def test_similarity_allows_few_changes():
     assert [diff.allowed_changes(n, 0.8) for n in (3, 5, 6, 10, 11)] == [0, 0, 1, 1, 2]
 
 
-def test_wide_keyless_diff_is_refused(spark):
-    wide = spark.range(2).select(*[F.col("id").alias(f"c{i}") for i in range(60)])
-    with pytest.raises(ValueError, match="key families"):
-        diff.similar_rows(wide, wide)
+@pytest.mark.parametrize("width", [25, 60])
+def test_wide_keyless_diff_agrees_with_brute_force(spark, width):
+    rng = np.random.default_rng(width)
+    names, most = [f"c{i}" for i in range(width)], diff.allowed_changes(width, diff.SIMILARITY)
+    before = [[int(x) if x else None for x in rng.integers(0, 40, width)] for _ in range(30)]
+    after = []
+    for row in before[:24]:
+        edited = list(row)
+        for k in rng.choice(width, rng.integers(0, most + 3), replace=False):
+            edited[k] = rng.choice([None, 77, 78])
+        after.append([None if x is None else int(x) for x in edited])
+    schema = ", ".join(f"{c} int" for c in names)
+    got = {tuple(r["a"]): (r["different"], tuple(r["b"])) for r in diff.similar_rows(spark.createDataFrame(before, schema), spark.createDataFrame(after, schema)).collect()}
+    want = {}
+    for a in after:
+        n, b = min((sum(x != y for x, y in zip(a, b)), tuple(-1 if v is None else v for v in b), tuple(b)) for b in before)[::2]
+        if n <= most:
+            want[tuple(a)] = (n, b)
+    assert got == want and 10 < len(want) < 24
 
 
 def test_hot_look_alikes_stay_small(spark):
@@ -147,6 +163,7 @@ def test_plan_progress_cases(spark):
 
 def test_long_transcripts_continue_in_parts(spark):
     talk = spark.createDataFrame([(1, t, "user", f"m{t}") for t in range(5)], "conv_id long, turn long, role string, text string")
+    assert [(r["part"], r["transcript"].count("**User:**")) for r in convlog.transcript(talk).collect()] == [(0, 5)]
     parts = convlog.transcript(talk, turns_per_part=2).orderBy("part").collect()
     assert [p["part"] for p in parts] == [0, 1, 2]
     assert parts[2]["transcript"] == "**User:**\n\nm4\n"
@@ -200,3 +217,20 @@ def test_unseen_classes_count_as_wrong(spark):
     test = spark.createDataFrame([(0.0, "a"), (1.0, "b"), (0.0, "new"), (1.0, "new")], "x double, y string")
     study = models.classification_study(train, test, "y", folds=0, candidates=("linear_model",))
     assert {r["metric"]: r["value"] for r in study.scores.collect()}["accuracy"] == 0.5
+
+
+def test_wide_texts_stay_in_the_features(spark):
+    from plumbline.operators import models
+
+    table = spark.range(600).select("id", F.concat(F.lit("ward "), F.col("id").cast("string")).alias("ward"), (F.col("id") % 3).cast("string").alias("kind"), F.rand(1).alias("x"))
+    fitted = models.fit_features(table, ["id"])
+    assert models.feature_names(fitted) == ["x", "ward", "kind"]
+    assert models.prepared(fitted, table).count() == 600
+
+
+def test_many_classes_are_balanced(spark):
+    from plumbline.operators import balance
+
+    table = spark.range(3600).select("id", F.when(F.col("id") < 2400, F.col("id") % 1200).otherwise(F.lit(7)).alias("y"))
+    assert {r["count"] for r in balance.undersample(table, "y", "id").groupBy("y").count().collect()} == {2}
+    assert {r["count"] for r in balance.oversample(table.where("y < 50 or id > 2500"), "y", "id", size=5).groupBy("y").count().collect()} == {5, 1202}
