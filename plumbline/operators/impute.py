@@ -64,7 +64,7 @@ def impute_iterative(
     """Cycles through the incomplete columns, predicting each from all others, until the fills settle.
 
     Starts from means and modes (chained equations, van Buuren 2011). Each round is written to the shared
-    scratch folder, so the plan does not grow. Text columns with more than ``MAX_LEVELS`` values keep their mode.
+    scratch folder, so the plan does not grow. Columns keep their types: fills of whole numbers are rounded. Text columns with more than ``MAX_LEVELS`` values keep their mode.
     """
     numbers = [c for c in numeric_columns(df) if c not in (key, target)]
     texts = [c for c in string_columns(df) if c not in (key, target)]
@@ -97,7 +97,10 @@ def impute_iterative(
     final = {}
     for i, c in enumerate(incomplete):
         if c in numbers:
-            final[c] = F.when(F.col(f"_gap_{i}"), F.col(f"_n_{c}")).otherwise(q(c).cast("double"))
+            filling = F.col(f"_n_{c}")
+            if isinstance(df.schema[c].dataType, T.IntegralType):
+                filling = F.round(filling)
+            final[c] = F.when(F.col(f"_gap_{i}"), filling.cast(df.schema[c].dataType)).otherwise(q(c))
         elif c in usable:
             final[c] = F.when(F.col(f"_gap_{i}"), F.col(f"_s_{c}")).otherwise(q(c))
         else:

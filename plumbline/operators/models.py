@@ -26,6 +26,7 @@ from plumbline.session import materialize
 
 FEATURES, SCALED, LABEL, PREDICTION, PROBABILITY = "_features", "_scaled", "_label", "_prediction", "_probability"
 MAX_LEVELS = 200
+LEAST_SPREAD = 0.1  # share of the typical residual below which no interval shrinks
 # Fixed value: default miscoverage of prediction sets and intervals.
 ALPHA = 0.1
 # Confidence limits that separate easy and hard samples.
@@ -237,12 +238,10 @@ def concordance(df: DataFrame, time: str, event: Column, risk: str) -> DataFrame
     risk order per block counts the pairs that part at this bit. That is one ordered pass per bit.
     """
     rows = df.select(q(time).alias("t"), event.alias("e"), q(risk).cast("double").alias("s")).where("t is not null and s is not null")
-    times = running(rows.select("t").distinct().withColumn("one", F.lit(1)), [], ["t"], ["one"])
-    coded = materialize(
-        rows.join(times.select("t", (F.col("cum_one") - 1).alias("code")), "t")
-        .groupBy("code", "s")
-        .agg(F.count_if("e").alias("d"), F.count("*").alias("n"))
-    )
+    # rows collapse to one per time and risk before the join, so no time is hot in it
+    pairs = materialize(rows.groupBy("t", "s").agg(F.count_if("e").alias("d"), F.count("*").alias("n")))
+    times = running(pairs.select("t").distinct().withColumn("one", F.lit(1)), [], ["t"], ["one"])
+    coded = materialize(pairs.join(times.select("t", (F.col("cum_one") - 1).alias("code")), "t").select("code", "s", "d", "n"))
     highest = coded.agg(F.max("code").alias("m")).first()["m"] or 0
     levels = []
     for bit in range(int(highest).bit_length()):
@@ -550,7 +549,10 @@ def weak_regions(
     train: DataFrame, test: DataFrame, key: str, columns: Sequence[str] | None = None, alpha: float = ALPHA, seed: int = 0
 ) -> DataFrame:
     """``(key, violations, width)``: test rows ranked by how many features fall outside conformal intervals predicted from
-    the other features, then by the mean relative interval width."""
+    the other features, then by the mean relative interval width.
+
+    Residuals are divided by a second model of their size, so each row has intervals of its own width.
+    """
     columns = [c for c in (columns if columns is not None else numeric_columns(train)) if c != key]
     filled = train.agg(*[F.avg(q(c)).alias(c) for c in columns]).first()
     spread = train.agg(*[F.stddev_pop(q(c).cast("double")).alias(f"_{i}") for i, c in enumerate(columns)]).first()
@@ -565,14 +567,19 @@ def weak_regions(
     for i in range(len(columns)):
         others = VectorAssembler(inputCols=[f"_{j}" for j in range(len(columns)) if j != i], outputCol="_f")
         model = LinearRegression(featuresCol="_f", labelCol=f"_{i}", predictionCol=f"_g{i}", regParam=1e-6).fit(others.transform(proper))
-        scored = model.transform(others.transform(calibration)).select(F.abs(F.col(f"_{i}") - F.col(f"_g{i}")).alias("_s"))
+        size = F.abs(F.col(f"_{i}") - F.col(f"_g{i}"))
+        sized = model.transform(others.transform(proper)).withColumn("_e", size)
+        typical = float(sized.agg(F.avg("_e")).first()[0] or 0.0)
+        spreads = LinearRegression(featuresCol="_f", labelCol="_e", predictionCol=f"_h{i}", regParam=1e-6).fit(sized)
+        scale = F.greatest(F.col(f"_h{i}"), F.lit(max(LEAST_SPREAD * typical, 1e-12)))
+        scored = spreads.transform(model.transform(others.transform(calibration))).select((size / scale).alias("_s"))
         limit = conformal_limit(scored, "_s", alpha)
-        out = model.transform(others.transform(out)).drop("_f")
-        flags.append((F.abs(F.col(f"_{i}") - F.col(f"_g{i}")) > F.lit(limit)).cast("int"))
-        widths.append(2 * limit / (spread[f"_{i}"] or 1.0))
-    violations = reduce(lambda a, b: a + b, flags)
-    width = sum(widths) / len(widths)
-    return out.select(q(key), violations.alias("violations"), F.lit(width).alias("width")).orderBy(F.desc("violations"), key)
+        out = spreads.transform(model.transform(others.transform(out))).drop("_f")
+        flags.append((size / scale > F.lit(limit)).cast("int"))
+        widths.append(2 * F.lit(limit) * scale / (spread[f"_{i}"] or 1.0))
+    violations, width = reduce(lambda a, b: a + b, flags), reduce(lambda a, b: a + b, widths) / len(widths)
+    ranked = out.select(q(key), violations.alias("violations"), width.alias("width"))
+    return ranked.orderBy(F.desc("violations"), F.desc("width"), key)
 
 
 # train on one table, test on another
