@@ -145,8 +145,8 @@ def _limits(keys: str, least: int) -> str:
     lead = f"{keys}," if keys else ""
     return f"""(select {lead} max(total) as group_docs,
         max(case when metric = 'symbols' then q2 + greatest(30, 4 * (q3 - q2)) end) as symbols_high,
-        max(case when metric = 'dup_lines' then q2 + greatest(200, 4 * (q3 - q2)) end) as dup_high,
-        max(case when metric = 'repeats' then q2 + greatest(150, 4 * (q3 - q2)) end) as repeats_high,
+        max(case when metric = 'dup_lines' then q2 + greatest(500, 4 * (q3 - q2)) end) as dup_high,
+        max(case when metric = 'repeats' then q2 + greatest(300, 4 * (q3 - q2)) end) as repeats_high,
         max(case when metric = 'word_length' then q2 + greatest(150, 4 * (q3 - q2)) end) as length_high,
         max(case when metric = 'word_length' then q2 - greatest(150, 4 * (q2 - q1)) end) as length_low
       from (select {on}, max(total) as total, min(case when 4 * upto >= total then bucket end) as q1, min(case when 4 * upto >= 2 * total then bucket end) as q2,

@@ -17,7 +17,7 @@ MOST_REPEATED = 50  # percent of the words
 LEAST_DOCS = 30  # a smaller group uses the sketch of the next level
 FENCE = 4  # widths beyond the median
 # metric: least width of the fence above the median, and below it (None: no lower limit), in the metric's own unit
-METRICS = {"symbols": (30, None), "dup_lines": (200, None), "repeats": (150, None), "word_length": (150, 150)}
+METRICS = {"symbols": (30, None), "dup_lines": (500, None), "repeats": (300, None), "word_length": (150, 150)}
 
 
 def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
