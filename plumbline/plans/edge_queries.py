@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import diff, models, profile, survival, synth
+from plumbline.operators import balance, diff, models, profile, reporting, survival, synth
 from plumbline.plans.clean_queries import fresh_path
 from plumbline.plans.registry import query, rounded, table
 from plumbline.sources import files
@@ -125,3 +125,18 @@ def _(spark, folder):
         F.bool_and(F.col("c_mktsegment").isin(*shares)).alias("segments_known"),
         (F.abs(F.avg((F.col("c_mktsegment") == top).cast("int")) - shares[top]) < 0.15).alias("share_close"),
     )
+
+
+@query(
+    "generation_report_customer",
+    """select generator, (select count(*) from customer) * rows_per as rows, families, gaps_filled from
+    (values ('gaussian_copula', 1, 3::bigint, true), ('marginals', 1, 3::bigint, true)) t(generator, rows_per, families, gaps_filled)""",
+)
+def _(spark, folder):
+    """One call: outputs, all score families that need no target, and rows that bring every segment to the largest one."""
+    real = table(spark, folder, "customer").drop("c_name")
+    report = reporting.generation_report(real, "c_custkey", "gaussian_copula, marginals", repeats=1, fairness="c_mktsegment", quasi=["c_nationkey"], sensitive="c_mktsegment")
+    sizes = balance.augmented(real, report.augmentation).groupBy("c_mktsegment").count().agg((F.min("count") == F.max("count")).alias("even")).first()["even"]
+    rows = report.outputs.groupBy("generator").agg(F.count("*").alias("rows"))
+    families = report.scores.where(F.col("mean").isNotNull()).groupBy("generator").agg(F.count_distinct("family").alias("families"))
+    return rows.join(families, "generator").select("generator", "rows", "families", F.lit(sizes).alias("gaps_filled"))
