@@ -22,7 +22,7 @@ from plumbline.llm.queries import PIECE_MODEL
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 QUALITY = 0.3  # least probability of good quality
-LANGUAGE = 0.5  # least score: below, no language is closer than the mean of all
+LANGUAGE = 0.5  # least score: below, the text is farther from its language than nearly all texts of that language
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

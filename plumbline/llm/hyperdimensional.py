@@ -2,7 +2,7 @@
 
 Every letter has a random vector of +1 and -1. The vector of a letter n-gram binds (multiplies) those of its letters, each permuted by
 its place; a text bundles (adds) the vectors of its n-grams, a language those of its texts. Cosines with
-the language prototypes decide.
+the language prototypes decide. The score then tells whether the text is as close to its language as the language's own texts of that size.
 """
 
 from __future__ import annotations
@@ -24,7 +24,11 @@ SAMPLE = 300  # texts of each language a prototype is bundled from
 LONGEST = 32_768  # bytes of the longest text in that sample
 LONG_CHARS = 1 << 20  # longer texts are counted in parts, each like a text of its own
 NONE = "und"
-BLOCK = 512  # texts whose n-gram counts are multiplied at once
+BLOCK = 128  # texts whose n-gram counts are multiplied at once
+WHITE = [c for c in map(chr, range(0x3001)) if c.isspace()]
+FAR = 5  # widths below the median at which a language's own texts end; a width is that from the median to the lowest fifth
+LEAST_TEXTS = 20  # fewer texts of a size give no floor: that of the next smaller size stands, or none
+SIZES = 16  # classes of size, by powers of two
 
 _SEED = np.uint64(0x6C616E67)
 
@@ -75,11 +79,20 @@ def gram_counts(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, counts.astype(np.float64)
 
 
+def excess_symbols(text: str, bag: tuple[np.ndarray, np.ndarray]) -> float:
+    """By how many the characters that are neither blanks nor letters exceed the letters; each letter is the middle of one n-gram."""
+    codes, counts = bag
+    letters = counts[(codes >> np.uint64(21)) & np.uint64(0x1FFFFF) != 32].sum()
+    return max(0.0, len(text) - sum(map(text.count, WHITE)) - 2 * letters)
+
+
 @dataclass
 class Profiles:
     languages: list[str]
     vectors: np.ndarray  # unit length, one row per language
     dim: int = DIM
+    own: np.ndarray | None = None  # the same with what all languages share
+    floors: np.ndarray | None = None  # per language and class of size the least closeness of its own texts
 
 
 def bundle(bags: list[tuple[np.ndarray, np.ndarray]], dim: int = DIM) -> np.ndarray:
@@ -101,42 +114,99 @@ def bundle(bags: list[tuple[np.ndarray, np.ndarray]], dim: int = DIM) -> np.ndar
     return out
 
 
+def distinct(bags: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each n-gram once: a repeated one is no further evidence of a language."""
+    return [(codes, np.ones(len(codes))) for codes, _ in bags]
+
+
+def closeness(once: np.ndarray, sizes: np.ndarray, symbols: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(cosine, class of size)`` of bundles of different n-grams, ``sizes`` of them, with the rows of ``own``.
+
+    A symbol beyond the number of letters counts as one n-gram that no language has.
+    """
+    length = np.sqrt((once.astype(np.float64) ** 2).sum(axis=1) + symbols * once.shape[1])
+    return (once * own).sum(axis=1) / np.maximum(length, 1e-12), np.minimum(np.log2(np.maximum(sizes + symbols, 1)).astype(int), SIZES - 1)
+
+
+def fit_floors(texts: list[str], total: np.ndarray, table: np.ndarray, dim: int) -> np.ndarray:
+    """Least closeness of a language's own texts per class of size, from their first 2, 4, 8, ... characters and the whole.
+
+    ``total`` is the sum of the unit vectors of the texts; each text is taken out of it before it is measured. The floor comes from the
+    median and a width, so some junk among the texts does not lower it. Without enough texts there is no evidence against any: -1.
+    """
+    kept: list[list[float]] = [[] for _ in range(SIZES)]
+    for start in range(0, len(texts), BLOCK):
+        some = texts[start : start + BLOCK]
+        whole = bundle([gram_counts(t, table) for t in some], dim).astype(np.float64)
+        rest = total - whole / np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-12)
+        rest /= np.maximum(np.linalg.norm(rest, axis=1, keepdims=True), 1e-12)
+        for k in range(1, SIZES + 1):
+            cut = [(i, t[: 1 << k]) for i, t in enumerate(some) if len(t) > 1 << (k - 1)]
+            bags = [gram_counts(t, table) for _, t in cut]
+            there = [j for j, (codes, _) in enumerate(bags) if len(codes)]
+            if there:
+                symbols = np.array([excess_symbols(cut[j][1], bags[j]) for j in there])
+                once, sizes = bundle(distinct([bags[j] for j in there]), dim), np.array([len(bags[j][0]) for j in there])
+                for close, size in zip(*closeness(once, sizes, symbols, rest[[cut[j][0] for j in there]])):
+                    kept[size].append(close)
+    floors = np.full(SIZES, -1.0)
+    for k, values in enumerate(kept):
+        if len(values) >= LEAST_TEXTS:
+            low, mid = np.quantile(values, [0.2, 0.5])
+            floors[k] = max(-1.0, mid - FAR * (mid - low))
+        elif k:
+            floors[k] = floors[k - 1]
+    return floors
+
+
 def fit_profiles(rows: list[tuple[str, str]], dim: int = DIM) -> Profiles:
     """One prototype per language from ``(language, text)`` rows: the sum of the unit vectors of its texts, minus the mean of all prototypes.
 
-    What all languages share says nothing about any, so their mean is taken off, unless there is only one.
+    What all languages share says nothing about any, so their mean is taken off, unless there is only one. It does tell texts of
+    these languages from others: the floors are measured with it.
     """
     languages, table = sorted({lang for lang, _ in rows}), letter_table()
-    vectors = np.zeros((len(languages), dim))
+    vectors, floors = np.zeros((len(languages), dim)), np.full((len(languages), SIZES), -1.0)
     for k, lang in enumerate(languages):
-        bags = [gram_counts(t, table) for own, t in rows if own == lang]
+        texts = [t for own, t in rows if own == lang]
+        bags = [gram_counts(t, table) for t in texts]
         for start in range(0, len(bags), BLOCK):
             part = bundle(bags[start : start + BLOCK], dim).astype(np.float64)
             length = np.linalg.norm(part, axis=1)
             vectors[k] += (part[length > 0] / length[length > 0][:, None]).sum(axis=0)
+        floors[k] = fit_floors(texts, vectors[k], table, dim)
     lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-    vectors = np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
+    vectors = own = np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
     if len(languages) > 1:
         vectors = vectors - vectors.mean(axis=0)
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    return Profiles(languages, vectors.astype(np.float32), dim)
+    return Profiles(languages, vectors.astype(np.float32), dim, own.astype(np.float32), floors)
 
 
 def predict(texts: list[str | None], profiles: Profiles, table: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """``(language, score)``: the score is half of one plus the cosine, 0 for ``und``; ties go to the first language."""
+    """``(language, score)``: the score is 0 for ``und``; ties go to the first language.
+
+    It is 0.5 at the floor of the language for the size of the text, 1 at cosine 1 and 0 at cosine -1: below 0.5 the text is farther
+    from its language than nearly all texts that the language was learnt from.
+    """
     names, scores = [], np.zeros(len(texts))
     for start in range(0, len(texts), BLOCK):
-        bags = [gram_counts(t or "", table) for t in texts[start : start + BLOCK]]
-        found = bundle(bags, profiles.dim)
-        length = np.linalg.norm(found, axis=1)
-        cosine = found @ profiles.vectors.T / np.maximum(length, 1e-12)[:, None]
+        some = [t or "" for t in texts[start : start + BLOCK]]
+        bags = [gram_counts(t, table) for t in some]
+        found, once = np.split(bundle(bags + distinct(bags), profiles.dim), 2)
+        cosine = found @ profiles.vectors.T
+        if profiles.languages:
+            own = np.argmax(cosine, axis=1)
+            symbols = np.array([excess_symbols(t, bag) for t, bag in zip(some, bags)])
+            close, size = closeness(once, np.array([len(codes) for codes, _ in bags]), symbols, profiles.own[own])
+            floor = profiles.floors[own, size]
+            rate = np.where(close >= floor, (1 + (close - floor) / np.maximum(1 - floor, 1e-12)) / 2, (1 + close) / np.maximum(1 + floor, 1e-12) / 2)
         for k, (codes, _) in enumerate(bags):
             if not len(codes) or not profiles.languages:
                 names.append(NONE)
                 continue
-            best = int(np.argmax(cosine[k]))
-            names.append(profiles.languages[best])
-            scores[start + k] = min(1.0, max(0.0, (1 + float(cosine[k, best])) / 2))
+            names.append(profiles.languages[own[k]])
+            scores[start + k] = min(1.0, max(0.0, float(rate[k])))
     return names, scores
 
 
