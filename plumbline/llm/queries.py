@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm.compression import quality
 from plumbline.llm.encoding import encoding_digest
@@ -14,6 +15,7 @@ from plumbline.llm.jaccard import jaccard_components
 from plumbline.llm.lengths import length_histogram, suffix_sums, token_lengths
 from plumbline.llm.licences import COPYRIGHT_LINE, NOTICES, SPELLINGS, known_licences, scan_licences
 from plumbline.llm.mixture import mix_sources
+from plumbline.llm.negatives import hard_negatives
 from plumbline.llm.rules import quality_rules
 from plumbline.llm.tiles import near_vectors
 from plumbline.llm.toxicity import toxicity
@@ -201,3 +203,22 @@ def _op9(spark: SparkSession, folder: str) -> DataFrame:
 )
 def _op10(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+@query(
+    "op12_hard_negatives",
+    """with v as materialized (select row_number() over () as row, vec_id, (case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end)::bigint as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e
+      from embeddings where label is not null and embedding is not null and not list_contains(list_transform(embedding, lambda x: x is null or not isfinite(x)), true)),
+    s as materialized (select a.row as a, a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2]))::bigint as score
+      from v a join v b on a.row <> b.row and len(a.e) = len(b.e) where a.vec_id % 100 = 0),
+    p as (select *, row_number() over (partition by a order by score desc, id nulls last) as r from s where same qualify r <= 5),
+    n as (select p.anchor_id, p.id as positive_id, p.score as positive_score, s.id as negative_id, s.score as negative_score,
+        row_number() over (partition by p.a, p.r order by s.score desc, s.id nulls last)::int as rank
+      from p join s on s.a = p.a and not s.same and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score)
+    select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 5""",
+)
+def _op12(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), "vec_id % 100 = 0")
