@@ -17,6 +17,7 @@ from plumbline.llm.licences import COPYRIGHT_LINE, NOTICES, SPELLINGS, known_lic
 from plumbline.llm.mixture import mix_sources
 from plumbline.llm.negatives import hard_negatives
 from plumbline.llm.rules import quality_rules
+from plumbline.llm.spelling import spelling_variants
 from plumbline.llm.tiles import near_vectors
 from plumbline.llm.toxicity import toxicity
 
@@ -222,3 +223,29 @@ def _op12(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(vectors.withColumn("label", moved), "vec_id % 100 = 0")
+
+
+# SQL of the crc32 of a list of bytes, by the table of its polynomial
+CRC_TABLE = "(select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b)) as t)"
+CRC = "xor(list_reduce({bytes}, lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]), 4294967295), 4294967295)"
+UTF8 = "flatten(list_transform(list_transform(string_split({x}, ''), lambda z: unicode(z)), lambda u: case when u < 128 then [u] else [192 + u // 64, 128 + u % 64] end))"
+
+
+@query(
+    "op13_spelling_variants",
+    rf"""with recursive crc as materialized {CRC_TABLE},
+    r as (select coalesce(doc_id::varchar, '') as doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) as run from documents where text is not null),
+    d as materialized (select doc_id, run, count(*) as n from r where length(run) >= 6 group by all),
+    h as (select run, n, {CRC.format(bytes=UTF8.format(x="doc_id || ':' || run"))} as h from d, crc),
+    v as materialized (select word, sum(n)::bigint as n from (select case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from h)
+      where length(word) >= 6 group by word having sum(n) >= 5),
+    x as materialized (select word, n, i, left(word, i) || substr(word, i + 2) as gone from (select word, n, unnest(range(length(word)))::int as i from v)),
+    p as (select a.word as a, b.word as b from x a join x b on a.gone = b.gone and a.i = b.i and a.word < b.word union select x.word, v.word from x join v on v.word = x.gone),
+    q as (select a as word, b as other from p union select b, a from p),
+    f as (select q.word, count(*) as n_near, arg_min(q.other, (-o.n, q.other)) as best, max(o.n) as best_n from q join v o on o.word = q.other group by q.word),
+    k as materialized (select v.word, v.n, coalesce(n_near, 0) as n_near, case when best_n >= 5 * v.n then best end as form, case when best_n >= 5 * v.n then best_n end as form_n from v left join f on f.word = v.word),
+    s as (select word, word as at, form as next from k union all select s.word, k.word, k.form from s join k on k.word = s.next)
+    select k.word, form, s.at as root, n, n_near, form_n from k join s on s.word = k.word and s.next is null""",
+)
+def _op13(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"))
