@@ -1,18 +1,21 @@
 """Exact nearest neighbours and ball counts between two tables of vectors.
 
-A base table whose size is checked to be small is shipped to the tasks of the query table. Otherwise both
-tables are partitioned around pivots: triangle-inequality bounds decide which cells a query must visit,
-and cells are cut by hash into blocks of bounded size on both sides, so a cell that holds most rows only
-means more blocks. Tasks emit at most ``k`` rows per query and block, never all pairs.
+A base table whose size is checked to be small is shipped to the tasks of the query table. Otherwise the base
+table is cut into cells around pivots, whose number grows with the square root of the rows, and cells are
+gathered or cut into blocks of bounded size. Bounds on the distance of a cell decide which blocks a query must
+visit and, inside a block, which cells it may leave out. Tasks emit at most ``k`` rows per query and block,
+never all pairs. A query is copied at most once per block, a block once per ``BLOCK_ROWS`` of its visitors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -20,14 +23,13 @@ from plumbline.operators.common import q
 from plumbline.operators.ranks import bounded_sample
 from plumbline.session import broadcast_bytes, materialize
 
-PIVOTS = 128
-BLOCK_ROWS = 20_000
+LEAST_PIVOTS, MOST_PIVOTS = 16, 8192
+BLOCK_ROWS = 50_000
 QUERY_SLICE = 128
+PIVOT_SLICE = 1024  # rows whose distances to all pivots are held at a time
 
 # (query ids, query matrix, base ids, base matrix, base radii) -> frame of results
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
-# (distances to pivots, cell table) -> which cells each query must visit
-Reach = Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray]
 
 
 def as_vector(columns: Sequence[str], scale: dict[str, tuple[float, float]] | None = None) -> Column:
@@ -118,34 +120,60 @@ def _ball_count() -> Kernel:
 def knn(
     queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", vector: str = "vector", skip_same_id: bool = False
 ) -> DataFrame:
-    """``(query_id, base_id, distance, rank)``: the exact ``k`` nearest base rows, ties by base id."""
-
-    def reach(d: np.ndarray, cells: dict[str, np.ndarray]) -> np.ndarray:
-        # every cell offers upper bounds for the distance to its innermost rows
-        need = k + 1 if skip_same_id else k
-        upper = (d[:, :, None] + cells["inner"][None, :, :]).reshape(len(d), -1)
-        limit = np.partition(upper, min(need, upper.shape[1]) - 1, axis=1)[:, min(need, upper.shape[1]) - 1]
-        lower = np.maximum(d - cells["outer_radius"], cells["inner_radius"] - d)
-        return lower <= (limit * (1 + 1e-9) + 1e-9)[:, None]
+    """``(query_id, base_id, distance, rank)``: the exact ``k`` nearest base rows, ties by base id.
 
+    Large base tables take two rounds. The first searches the block around each query, which gives a distance that the k-th
+    neighbour cannot exceed; the second sends the query only to blocks that may hold something nearer.
+    """
+    kernel = _top_k(k, skip_same_id)
     schema = f"query_id {_id_type(queries, id_col)}, base_id {_id_type(base, id_col)}, distance double"
-    found = _blockwise(queries, base, id_col, vector, None, _top_k(k, skip_same_id), reach, schema, k + 1)
-    ordered = W.partitionBy("query_id").orderBy("distance", "base_id")
-    return found.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
+    if fits_broadcast(base.select(q(vector)), vector):
+        found = _against_all(queries, base, id_col, vector, None, kernel, schema)
+    else:
+        grid = _Grid(base, id_col, vector, None)
+        at_home = materialize(grid.search(grid.home(queries), _nearest(k, skip_same_id), schema))
+        limits = _ranked(at_home, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("limit"))
+        found = at_home.unionByName(grid.search(grid.beyond_home(queries, limits), _nearest(k, skip_same_id), schema))
+    return _ranked(found, k)
+
+
+def knn_probed(
+    queries: DataFrame, base: DataFrame, k: int, probes: int, id_col: str = "id", vector: str = "vector", skip_same_id: bool = False
+) -> DataFrame:
+    """``(query_id, base_id, distance, rank, certain)``: an approximate search that says where it is exact.
+
+    A query is sent only to the blocks that hold the ``probes`` cells nearest to it, so it is copied at most ``probes`` times.
+    ``certain`` holds where every block left out is provably farther than the row: these rows are those of :func:`knn`.
+    Measure the recall of a choice of ``probes`` on a few queries against :func:`knn`. A base table small enough to be shipped is searched in full.
+    """
+    if probes < 1:
+        raise ValueError("at least one cell must be searched")
+    schema = f"query_id {_id_type(queries, id_col)}, base_id {_id_type(base, id_col)}, distance double"
+    if fits_broadcast(base.select(q(vector)), vector):
+        return knn(queries, base, k, id_col, vector, skip_same_id).withColumn("certain", F.lit(True))
+    grid = _Grid(base, id_col, vector, None)
+    visits = grid.probed(queries, probes)
+    found = _ranked(grid.search(visits, _nearest(k, skip_same_id), schema), k)
+    outside = visits.select(F.col("id").alias("query_id"), "outside").distinct()
+    return found.join(outside, "query_id").withColumn("certain", F.col("distance") < F.col("outside")).drop("outside")
 
 
 def ball_counts(queries: DataFrame, base: DataFrame, radius: str, id_col: str = "id", vector: str = "vector") -> DataFrame:
     """``(query_id, n)``: how many base rows have the query inside their own ball; queries in none are absent."""
-
-    def reach(d: np.ndarray, cells: dict[str, np.ndarray]) -> np.ndarray:
-        lower = np.maximum(d - cells["outer_radius"], cells["inner_radius"] - d)
-        return lower <= (cells["ball"] * (1 + 1e-9) + 1e-9)[None, :]
-
     schema = f"query_id {_id_type(queries, id_col)}, n long"
-    found = _blockwise(queries, base, id_col, vector, radius, _ball_count(), reach, schema, 1)
+    if fits_broadcast(base.select(q(vector)), vector):
+        found = _against_all(queries, base, id_col, vector, radius, _ball_count(), schema)
+    else:
+        grid = _Grid(base, id_col, vector, radius)
+        found = grid.search(grid.in_reach(queries), _inside_balls, schema)
     return found.groupBy("query_id").agg(F.sum("n").alias("n"))
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    ordered = W.partitionBy("query_id").orderBy("distance", "base_id")
+    return found.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
+
+
 def _id_type(df: DataFrame, id_col: str) -> str:
     return df.schema[id_col].dataType.simpleString()
 
@@ -156,91 +184,253 @@ def fits_broadcast(df: DataFrame, vector: str) -> bool:
     return first is None or df.count() * (first["d"] + 2) * 8 <= broadcast_bytes(df.sparkSession)
 
 
-def _blockwise(queries, base, id_col, vector, radius, kernel: Kernel, reach: Reach, schema: str, inner: int) -> DataFrame:
-    spark = base.sparkSession
-    ball = F.lit(0.0) if radius is None else q(radius).cast("double")
-    b = base.select(q(id_col).alias("id"), q(vector).cast("array<double>").alias("v"), ball.alias("ball"))
-    qs = queries.select(q(id_col).alias("id"), q(vector).cast("array<double>").alias("v"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    if fits_broadcast(b, "v"):
-        local = b.toPandas()
-        if local.empty:
-            return spark.createDataFrame([], schema)
-        shared = spark.sparkContext.broadcast(
-            (local["id"].to_numpy(), _matrix(local["v"]), local["ball"].to_numpy(dtype="float64"))
-        )
-
-        def against_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            b_ids, bm, radii = shared.value
-            for batch in batches:
-                if len(batch):
-                    yield kernel(batch["id"].to_numpy(), _matrix(batch["v"]), b_ids, bm, radii)
+def _parts(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
-        return qs.repartition(parts, "id").mapInPandas(against_all, schema)
 
-    pivots = np.array([r["v"] for r in bounded_sample(b.select("id", "v"), "id", PIVOTS).collect()], dtype="float64")
+def _against_all(queries, base, id_col, vector, radius, kernel: Kernel, schema: str) -> DataFrame:
+    """Every query against a base table that fits a broadcast."""
+    spark = base.sparkSession
+    ball = F.lit(0.0) if radius is None else q(radius).cast("double")
+    local = base.select(q(id_col).alias("id"), q(vector).cast("array<double>").alias("v"), ball.alias("ball")).toPandas()
+    if local.empty:
+        return spark.createDataFrame([], schema)
+    shared = spark.sparkContext.broadcast((local["id"].to_numpy(), _matrix(local["v"]), local["ball"].to_numpy(dtype="float64")))
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                d = _pivot_distances(_matrix(batch["v"]), pivots)
-                cell = d.argmin(axis=1)
-                yield batch.assign(cell=cell.astype("int32"), reach=d[np.arange(len(cell)), cell])
-
-    kind = _id_type(b, "id")
-    placed = materialize(b.mapInPandas(assign, f"id {kind}, v array<double>, ball double, cell int, reach double"))
-    stats = placed.groupBy("cell").agg(
-        F.count("*").alias("n"), F.min("reach").alias("lo"), F.max("reach").alias("hi"), F.max("ball").alias("ball")
-    ).orderBy("cell").toPandas()
-    ranked = placed.withColumn("r", F.row_number().over(W.partitionBy("cell").orderBy("reach", "id"))).where(F.col("r") <= inner)
-    closest = np.full((len(stats), inner), np.inf)
-    position = {c: i for i, c in enumerate(stats["cell"])}
-    for row in ranked.select("cell", "r", "reach").toPandas().itertuples(index=False):
-        closest[position[row.cell], row.r - 1] = row.reach
-    cells = {
-        "id": stats["cell"].to_numpy(), "inner_radius": stats["lo"].to_numpy(), "outer_radius": stats["hi"].to_numpy(),
-        "ball": stats["ball"].to_numpy(), "inner": closest,
-    }
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def against_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b_ids, bm, radii = shared.value
         for batch in batches:
             if len(batch):
-                d = _pivot_distances(_matrix(batch["v"]), pivots[cells["id"]])
-                row, col = np.nonzero(reach(d, cells))
-                visits = batch.iloc[row].reset_index(drop=True)
-                yield visits.assign(cell=cells["id"][col].astype("int32"))
-
-    routed = materialize(qs.repartition(parts, "id").mapInPandas(route, f"id {_id_type(qs, 'id')}, v array<double>, cell int"))
-    visits = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    blocks = spark.createDataFrame(
-        [
-            (int(c), max(1, -(-int(n) // BLOCK_ROWS)), max(1, -(-visits.get(int(c), 0) // BLOCK_ROWS)))
-            for c, n in zip(stats["cell"], stats["n"])
-        ],
-        "cell int, b_blocks int, q_blocks int",
-    )
-    cut_base = placed.join(F.broadcast(blocks), "cell").select(
-        "id", "v", "ball", "cell", F.pmod(F.xxhash64("id"), F.col("b_blocks")).cast("int").alias("b_block"),
-        F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"),
-    )
-    cut_queries = routed.join(F.broadcast(blocks), "cell").select(
-        "id", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1)).alias("b_block"),
-        F.pmod(F.xxhash64("id"), F.col("q_blocks")).cast("int").alias("q_block"),
-    )
-
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return kernel(np.array([], dtype=object), np.zeros((0, pivots.shape[1])), np.array([]), np.zeros((0, pivots.shape[1])), np.array([]))
-        return kernel(
-            left["id"].to_numpy(), _matrix(left["v"]), right["id"].to_numpy(), _matrix(right["v"]), right["ball"].to_numpy(dtype="float64")
-        )
+                yield kernel(batch["id"].to_numpy(), _matrix(batch["v"]), b_ids, bm, radii)
+
+    return queries.select(q(id_col).alias("id"), q(vector).cast("array<double>").alias("v")).repartition(_parts(spark), "id").mapInPandas(against_all, schema)
+
+
+@dataclass(frozen=True)
+class Cells:
+    """What tasks know of the base table: one row of numbers per cell."""
+
+    pivots: np.ndarray
+    inner: np.ndarray  # smallest and largest distance of a row to its pivot
+    outer: np.ndarray
+    ball: np.ndarray  # largest own radius of a row
+    first: np.ndarray  # the cell's first block, and how many blocks it is cut into
+    pieces: np.ndarray
+    scale: float  # largest squared length of a row and a pivot, for the rounding of squared distances
+
+    def distances(self, m: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(_squared(m, self.pivots)[0], 0.0))
+
+    def lower_bounds(self, d: np.ndarray, cells: np.ndarray | None = None, home: np.ndarray | None = None, to_home: np.ndarray | None = None) -> np.ndarray:
+        """Least distance a row of each cell can have to each query, from the distances ``d`` of queries to the pivots of ``cells``.
+
+        Two bounds: the ring of a cell's rows around its pivot, and the plane halfway between its pivot and that of the query's own
+        cell, beyond which all its rows lie.
+        """
+        cells = np.arange(len(self.pivots)) if cells is None else cells
+        home = d.argmin(axis=1) if home is None else home
+        to_home = d[np.arange(len(d)), home] if to_home is None else to_home
+        ring = np.maximum(d - self.outer[cells], self.inner[cells] - d)
+        apart = np.sqrt(np.maximum(_squared(self.pivots[home], self.pivots[cells])[0], 0.0))
+        slack = 3e-12 * (self.scale + d * d)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (d * d - (to_home * to_home)[:, None] - slack) / (2.0 * apart)
+        plane[~(apart > self.scale**0.5 * 1e-6)] = 0.0
+        return np.maximum(np.maximum(ring, plane) * (1 - 1e-9) - np.sqrt(slack), 0.0)
+
+    def by_block(self, bounds: np.ndarray, blocks: int) -> np.ndarray:
+        """Least bound over the cells of each block."""
+        out = np.full((len(bounds), blocks), np.inf)
+        order = np.argsort(self.first, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(self.first[order]) > 0])
+        least = np.minimum.reduceat(bounds[:, order], starts, axis=1)
+        for k, cell in enumerate(order[starts]):
+            out[:, self.first[cell] : self.first[cell] + self.pieces[cell]] = least[:, k : k + 1]
+        return out
+
+
+class _Grid:
+    """A base table cut into cells around pivots and into blocks of at most about ``BLOCK_ROWS`` rows.
+
+    Pivots grow with the square root of the rows. Neighbouring cells share a block and a cell that is larger is cut by hash, so a
+    query is copied at most once per block, whatever the number of cells; a block is copied once per ``BLOCK_ROWS`` queries sent to it.
+    """
+
+    def __init__(self, base: DataFrame, id_col: str, vector: str, radius: str | None):
+        self.spark = spark = base.sparkSession
+        self.id_col, self.vector = id_col, vector
+        self.kind = _id_type(base, id_col)
+        ball = F.lit(0.0) if radius is None else q(radius).cast("double")
+        b = base.select(q(id_col).alias("id"), q(vector).cast("array<double>").alias("v"), ball.alias("ball"))
+        rows, width, longest = b.agg(F.count("*"), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
+        most = max(LEAST_PIVOTS, broadcast_bytes(spark) // (16 * max(width or 1, 1)))
+        wanted = min(max(LEAST_PIVOTS, math.isqrt(rows)), MOST_PIVOTS, most)
+        pivots = np.unique(np.array([r["v"] for r in bounded_sample(b.select("id", "v"), "id", wanted).collect()], dtype="float64").reshape(-1, width or 1), axis=0)
+        pivots = pivots[locality_order(pivots)]
+
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for start in range(0, len(batch), PIVOT_SLICE):
+                    part = batch.iloc[start : start + PIVOT_SLICE]
+                    m = _matrix(part["v"])
+                    cell = _squared(m, pivots)[0].argmin(axis=1)
+                    yield part.assign(cell=cell.astype("int32"), reach=_distance(m, pivots[cell]))
+
+        placed = materialize(b.mapInPandas(assign, f"id {self.kind}, v array<double>, ball double, cell int, reach double"))
+        stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("reach").alias("lo"), F.max("reach").alias("hi"), F.max("ball").alias("ball")).orderBy("cell").toPandas()
+        first, pieces, self.blocks = packed_blocks(stats["n"].to_numpy(), BLOCK_ROWS)
+        scale = float(longest or 0.0) + float((pivots * pivots).sum(axis=1).max(initial=0.0))
+        self.cells = Cells(pivots[stats["cell"].to_numpy(dtype="int64")], stats["lo"].to_numpy(), stats["hi"].to_numpy(), stats["ball"].to_numpy(), first, pieces, scale + 1e-300)
+        where = spark.createDataFrame(list(zip(stats["cell"].tolist(), range(len(stats)), first.tolist(), pieces.tolist())), "cell int, place int, first int, pieces int")
+        cut = placed.join(F.broadcast(where), "cell")  # one row per pivot
+        self.rows = cut.select("id", "v", "ball", F.col("place").alias("cell"), (F.col("first") + F.pmod(F.xxhash64("id"), F.col("pieces"))).cast("int").alias("block"))
+
+    def _sent(self, queries: DataFrame, choose: Callable, limits: DataFrame | None = None) -> DataFrame:
+        """Queries once per block they must visit: ``(id, v, home, limit, outside, block)``."""
+        cells, blocks = self.cells, self.blocks
+        given = queries.select(q(self.id_col).alias("id"), q(self.vector).cast("array<double>").alias("v"))
+        given = given.withColumn("limit", F.lit(float("inf"))) if limits is None else given.join(limits, "id", "left").fillna(float("inf"), ["limit"])
+
+        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for start in range(0, len(batch), PIVOT_SLICE):
+                    part = batch.iloc[start : start + PIVOT_SLICE].reset_index(drop=True)
+                    d = cells.distances(_matrix(part["v"]))
+                    home = d.argmin(axis=1)
+                    bounds = cells.by_block(cells.lower_bounds(d), blocks)
+                    visit = choose(cells, d, home, bounds, part["limit"].to_numpy())
+                    outside = np.where(visit, np.inf, bounds).min(axis=1)
+                    row, block = np.nonzero(visit)
+                    yield part.iloc[row].assign(home=home[row].astype("int32"), outside=outside[row], block=block.astype("int32"))[["id", "v", "home", "limit", "outside", "block"]]
+
+        schema = f"id {_id_type(given, 'id')}, v array<double>, home int, limit double, outside double, block int"
+        return materialize(given.repartition(_parts(self.spark), "id").mapInPandas(send, schema))
+
+    def home(self, queries: DataFrame) -> DataFrame:
+        def choose(cells, d, home, bounds, limit):
+            visit = np.zeros(bounds.shape, dtype=bool)
+            visit[np.arange(len(home)), cells.first[home]] = True
+            return visit
+
+        return self._sent(queries, choose)
+
+    def beyond_home(self, queries: DataFrame, limits: DataFrame) -> DataFrame:
+        def choose(cells, d, home, bounds, limit):
+            visit = bounds <= limit[:, None]
+            visit[np.arange(len(home)), cells.first[home]] = False
+            return visit
+
+        return self._sent(queries, choose, limits)
+
+    def probed(self, queries: DataFrame, probes: int) -> DataFrame:
+        def choose(cells, d, home, bounds, limit):
+            near = np.argpartition(d, min(probes, d.shape[1]) - 1, axis=1)[:, :probes]
+            visit = np.zeros(bounds.shape, dtype=bool)
+            for row, own in enumerate(near):
+                for cell in own:
+                    visit[row, cells.first[cell] : cells.first[cell] + cells.pieces[cell]] = True
+            return visit
+
+        return self._sent(queries, choose)
+
+    def in_reach(self, queries: DataFrame) -> DataFrame:
+        def choose(cells, d, home, bounds, limit):
+            margin = cells.lower_bounds(d) - cells.ball[None, :] * (1 + 1e-9)
+            return cells.by_block(margin, bounds.shape[1]) <= 0.0
+
+        return self._sent(queries, choose)
+
+    def search(self, visits: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+        """Every visit against its block: both sides are cut so that no task holds more than about ``BLOCK_ROWS`` rows of either."""
+        cells = self.cells
+        counts = {r["block"]: r["n"] for r in visits.groupBy("block").agg(F.count("*").alias("n")).collect()}  # one row per block
+        slices = self.spark.createDataFrame([(b, max(1, -(-n // BLOCK_ROWS))) for b, n in sorted(counts.items())], "block int, slices int")
+        left = visits.join(F.broadcast(slices), "block").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).select("id", "v", "home", "limit", "block", "slice")
+        right = self.rows.join(F.broadcast(slices), "block").select("id", "v", "ball", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+
+        def block(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            if asked.empty or held.empty:
+                return _nothing(schema)
+            held = held.sort_values("cell", kind="stable")
+            found = kernel(cells, asked["id"].to_numpy(), _matrix(asked["v"]), asked["home"].to_numpy(), asked["limit"].to_numpy(), held["id"].to_numpy(), _matrix(held["v"]), held["ball"].to_numpy(), held["cell"].to_numpy())
+            return found if len(found) else _nothing(schema)
+
+        return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(block, schema)
+
+
+def _nothing(schema: str) -> pd.DataFrame:
+    return pd.DataFrame({part.split()[0]: [] for part in schema.split(", ")})
+
+
+def _nearest(k: int, skip_same_id: bool) -> Callable:
+    """Search of a block cell by cell, the least bound first; a query leaves out cells beyond its k-th distance so far."""
+
+    def kernel(cells: Cells, q_ids, qm, home, limit, b_ids, bm, _balls, b_cells) -> pd.DataFrame:
+        limit = limit.copy()
+        held, starts = np.unique(b_cells, return_index=True)
+        stops = np.r_[starts[1:], len(b_cells)]
+        d = np.sqrt(np.maximum(_squared(qm, cells.pivots[held])[0], 0.0))
+        bounds = cells.lower_bounds(d, held, home, _distance(qm, cells.pivots[home]))
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(q_ids)
+        for c in np.argsort(bounds.min(axis=0), kind="stable"):
+            active = np.flatnonzero(bounds[:, c] <= limit)
+            own, own_ids, start = bm[starts[c] : stops[c]], b_ids[starts[c] : stops[c]], starts[c]
+            for at in range(0, len(active), QUERY_SLICE):
+                some = active[at : at + QUERY_SLICE]
+                near, slack = _squared(qm[some], own)
+                if skip_same_id:
+                    near[q_ids[some][:, None] == own_ids[None, :]] = np.inf
+                if len(own) > k:
+                    most = np.minimum(np.partition(near, k - 1, axis=1)[:, k - 1] + 2 * slack, limit[some] ** 2 * (1 + 1e-12) + 2 * slack)
+                else:
+                    most = limit[some] ** 2 * (1 + 1e-12) + 2 * slack
+                for r in np.flatnonzero((near <= most[:, None]).any(axis=1)):
+                    i = some[r]
+                    rows = np.flatnonzero((near[r] <= most[r]) & np.isfinite(near[r]))
+                    exact = np.r_[best[i][0], _distance(qm[i], own[rows])]
+                    where = np.r_[best[i][1], rows + start]
+                    first = np.lexsort((b_ids[where], exact))[:k]
+                    best[i] = exact[first], where[first]
+                    if len(first) == k:
+                        limit[i] = min(limit[i], exact[first[-1]])
+        sizes = [len(x[0]) for x in best]
+        where = np.concatenate([x[1] for x in best])
+        return pd.DataFrame({"query_id": np.repeat(q_ids, sizes), "base_id": b_ids[where], "distance": np.concatenate([x[0] for x in best])})
 
-    keys = ["cell", "b_block", "q_block"]
-    return cut_queries.groupBy(*keys).cogroup(cut_base.groupBy(*keys)).applyInPandas(block, schema)
+    return kernel
 
 
-def _pivot_distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    out = np.empty((len(m), len(pivots)))
-    for j, p in enumerate(pivots):
-        out[:, j] = _distance(m, p)
-    return out
+def _inside_balls(cells: Cells, q_ids, qm, home, _limit, b_ids, bm, balls, b_cells) -> pd.DataFrame:
+    return _ball_count()(q_ids, qm, b_ids, bm, balls)
+
+
+def locality_order(points: np.ndarray) -> np.ndarray:
+    """An order in which points near each other mostly follow each other: halves along the widest axis, again and again."""
+    out: list[np.ndarray] = []
+    stack = [np.arange(len(points))]
+    while stack:
+        own = stack.pop()
+        if len(own) <= 2:
+            out.append(own)
+            continue
+        part = points[own]
+        axis = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+        order = own[np.argsort(part[:, axis], kind="stable")]
+        stack += [order[len(order) // 2 :], order[: len(order) // 2]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def packed_blocks(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """``(first block, number of blocks)`` per cell and the number of blocks: cells share a block in order, larger ones are cut."""
+    first, pieces = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    block, filled = 0, 0
+    for k, n in enumerate(int(x) for x in sizes):
+        if filled and filled + n > most:
+            block, filled = block + 1, 0
+        first[k] = block
+        if n > most:
+            pieces[k] = -(-n // most)
+            block, filled = block + int(pieces[k]), 0
+        else:
+            filled += n
+    return first, pieces, block + (1 if filled else 0)
