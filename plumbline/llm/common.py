@@ -51,6 +51,12 @@ class Scratch:
         self._tables[path] = release
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def room(self) -> str:
+        """A folder that the caller fills; it goes at the end."""
+        path = f"{self.folder}/{len(self._tables)}"
+        self._tables[path] = False
+        return path
+
     def __enter__(self) -> Scratch:
         return self
 

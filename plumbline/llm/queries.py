@@ -20,6 +20,7 @@ from plumbline.llm.rules import quality_rules
 from plumbline.llm.spelling import spelling_variants
 from plumbline.llm.tiles import near_vectors
 from plumbline.llm.toxicity import toxicity
+from plumbline.llm.warc import archived_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -206,6 +207,18 @@ def _op10(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
 
 
+@query(
+    "op11_warc_transactions",
+    """with p as (select page_id, coalesce(html, '') as html from pages),
+    d as (select page_id, strlen(html)::bigint as n, sha256(html) as digest, row_number() over (partition by html order by page_id nulls last) as r,
+      first_value(page_id) over (partition by html order by page_id nulls last) as first from p)
+    select page_id, n as payload_bytes, digest as payload_digest, case when n >= 100 and r > 1 then 'revisit' else 'response' end as record_type,
+      case when n >= 100 and r > 1 then first end as refers_to from d""",
+)
+def _op11(spark: SparkSession, folder: str) -> DataFrame:
+    return archived_pages(table(spark, folder, "pages"))
+
+
 @query(
     "op12_hard_negatives",
     """with v as materialized (select row_number() over () as row, vec_id, (case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end)::bigint as label,
