@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import human_size
 from plumbline.operators.clean import parses, possible_types
 from plumbline.operators.common import q
+from plumbline.sources.quoted import read_quoted
 
 # Text that stands for a missing cell in a delimited file.
 NA_TOKENS = (
@@ -38,9 +39,9 @@ MODEL_NAME = r"^model(_[a-zA-Z]+)?"
 def read_text_table(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", multi_line: bool = True) -> DataFrame:
     """Header row, all columns as text, missing-cell tokens as NULL.
 
-    Quoted cells may hold line breaks, for which a file is read by one task; ``multi_line=False`` lets Spark split large files that have none.
+    Quoted cells may hold line breaks, also across the blocks that tasks read; ``multi_line=False`` saves a pass over files that have none.
     """
-    raw = spark.read.csv(paths, sep=sep, header=True, escape='"', multiLine=multi_line)
+    raw = read_quoted(spark, paths, sep).drop("file_name") if multi_line else spark.read.csv(paths, sep=sep, header=True, escape='"')
     return raw.select(*[F.when(~q(c).isin(*NA_TOKENS), q(c)).alias(c) for c in raw.columns])
 
 
@@ -80,9 +81,14 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", mu
 
 def read_many(spark: SparkSession, paths: Sequence[str], sep: str = ",", multi_line: bool = True) -> DataFrame:
     """Several files in one scan, each row with the ``file_name`` it came from."""
-    raw = spark.read.csv(list(paths), sep=sep, header=True, escape='"', multiLine=multi_line)
-    cells = [F.when(~q(c).isin(*NA_TOKENS), q(c)).alias(c) for c in raw.columns]
-    text = raw.select(*cells, F.col("_metadata.file_name").alias("file_name"))
+    if multi_line:
+        raw = read_quoted(spark, list(paths), sep)
+        named = F.col("file_name")
+    else:
+        raw = spark.read.csv(list(paths), sep=sep, header=True, escape='"')
+        named = F.col("_metadata.file_name").alias("file_name")
+    cells = [F.when(~q(c).isin(*NA_TOKENS), q(c)).alias(c) for c in raw.columns if not (multi_line and c == "file_name")]
+    text = raw.select(*cells, named)
     types = _inferred(text)
     return text.select(*[(F.col(c) if c == "file_name" else v).alias(c) for c, v in types.items()])
 
