@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
+from collections.abc import Callable
 from types import TracebackType
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +38,23 @@ def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= broadcast_bytes(df.sparkSession) else df
 
 
+def freed(run: Callable) -> Callable:
+    """``run``, a function over an iterator of batches, that gives unused memory back at its end: workers live on for other stages."""
+
+    @functools.wraps(run)
+    def until_the_end(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return until_the_end
+
+
 class Scratch:
     """Written intermediate tables in the folder all executors share; those not passed to :meth:`release` go at the end.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.calibration import fit_logistic, sigmoid
-from plumbline.llm.common import columns, crc_mod
+from plumbline.llm.common import columns, crc_mod, freed
 from plumbline.llm.sampling import labelled_sample
 
 CHUNK = 2048  # bytes
@@ -95,7 +95,7 @@ def quality_score(model: CompressionModel):
             found = np.array([features(memoryview(t.as_buffer()) if t.is_valid else b"", *pair) for t in part.cast(pa.binary())]).reshape(-1, 3)
             yield pa.array(sigmoid(found @ slopes + offset))
 
-    return F.arrow_udf(run, "double")
+    return F.arrow_udf(freed(run), "double")
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, sample: int = SAMPLE, calibration: int = CALIBRATION, longest: int = LONGEST) -> CompressionModel:

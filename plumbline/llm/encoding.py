@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from plumbline.llm.common import columns
+from plumbline.llm.common import columns, freed
 from plumbline.llm.sentencepiece_model import MARK, NORMAL, USER_DEFINED, Model, build, parse
 
 PART_ROWS = 256  # rows of a batch that are Python strings at the same time
@@ -131,7 +131,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
                 cells = [part.column(0), pa.array(lists, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(cells + [pa.array(restored, pa.bool_())] * restore + part.columns[2:], names=schema.names)
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(freed(run), schema)
 
 
 def decode(encoded: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "ids", threads: int = 2) -> DataFrame:
@@ -149,7 +149,7 @@ def decode(encoded: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "i
                 back = codec.decode([x or [] for x in lists])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else t for x, t in zip(lists, back)], pa.string())], names=schema.names)
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(freed(run), schema)
 
 
 def encoding_digest(docs: DataFrame, model: str) -> DataFrame:

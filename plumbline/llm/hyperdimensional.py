@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import columns, crc_mod
+from plumbline.llm.common import columns, crc_mod, freed
 from plumbline.llm.shingles import mix
 
 DIM = 512
@@ -53,14 +53,19 @@ def gram_vectors(codes: np.ndarray, dim: int = DIM) -> np.ndarray:
 
 
 def letter_table() -> np.ndarray:
-    """Per code point: its lower-case letter, or a blank."""
-    table = np.full(0x110000, 32, dtype=np.uint32)
-    for point in range(0x110000):
-        c = chr(point)
-        if c.isalpha():
-            low = c.lower()
+    """Per code point its lower-case letter or a blank, 0 where :func:`folded` has not met it yet."""
+    return np.zeros(0x110000, dtype=np.uint32)
+
+
+def folded(points: np.ndarray, table: np.ndarray) -> np.ndarray:
+    found = table[points]
+    if not found.all():
+        for point in np.unique(points[found == 0]).tolist():
+            c = chr(point)
+            low = c.lower() if c.isalpha() else " "
             table[point] = ord(low) if len(low) == 1 else point
-    return table
+        found = table[points]
+    return found
 
 
 def gram_counts(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +74,7 @@ def gram_counts(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts = [gram_counts(text[k : k + LONG_CHARS], table) for k in range(0, len(text), LONG_CHARS)]
         codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
         return codes, np.bincount(at, np.concatenate([n for _, n in parts]), minlength=len(codes))
-    points = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    points = folded(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), table)
     if not (points != 32).any():
         return np.zeros(0, np.uint64), np.zeros(0)
     points = np.r_[np.uint32(32), points, np.uint32(32)]
@@ -237,7 +242,7 @@ def language_of(profiles: Profiles):
                 scores.append(score)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], names=["lang_pred", "score"])
 
-    return F.arrow_udf(run, "lang_pred string, score double")
+    return F.arrow_udf(freed(run), "lang_pred string, score double")
 
 
 def languages(docs: DataFrame, modulus: int = 3, held: int = 1, **bounds: int) -> DataFrame:

@@ -25,23 +25,26 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, columns, small_side
+from plumbline.llm.common import Scratch, columns, freed, small_side
 from plumbline.llm.components import connected_components
 from plumbline.llm.shingles import WIDTH, mix, shingle_sets
 
 LOWER_PART = 0.4  # share of the shingle order used by step 2; above 1 - similarity
 SLICE_DOCS = 4096
-SLICE_GRAMS = 1 << 19
+SLICE_GRAMS = 1 << 18
 FRAGMENT_GRAMS = 1 << 20  # shingles of one fragment of step 2; their number follows the data
 LEAST_FRAGMENTS = 64
 PAIR_FRAGMENTS = 4
 SEVERAL = 0xFFFF
 
-SLICES = "slice long, doc_id array<long>, n array<long>, cls array<long>, keys binary, owners binary"
+SLICES = "slice long, doc_id array<long>, row array<long>, n array<long>, cls array<long>, keys binary, owners binary"
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, width: int = WIDTH) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``: one row per row of ``docs``.
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, width: int = WIDTH, row: str | None = None) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)``: one row per row of ``docs``; with ``row`` also ``row`` and ``kept``.
+
+    ``row`` names a column of whole numbers that tells rows of equal id apart. ``kept`` then holds for the smallest (id, row) of each
+    component and for rows that link with nothing.
 
     Two documents link when ``100 * |intersection| >= percent * |union|`` of their shingle sets. ``component_id`` is the
     smallest id reachable by links. Null and blank texts have no shingles and link with nothing. A row whose id is null
@@ -49,19 +52,22 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     a text are separate documents. Other columns of ``docs`` are ignored.
     """
     with Scratch(docs.sparkSession) as scratch:
-        given = columns(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        cut = scratch.keep(given.mapInArrow(_slicer(width), SLICES))
-        rows = cut.select(F.inline(F.arrays_zip("doc_id", "n", "cls")))
+        given = columns(docs, doc_id=doc_id, text=text, **({"row": row} if row else {}))
+        given = given.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("row").cast("long").alias("row") if row else F.lit(0).cast("long").alias("row"))
+        cut = scratch.keep(given.mapInArrow(freed(_slicer(width)), SLICES))
+        rows = cut.select(F.inline(F.arrays_zip("doc_id", "row", "n", "cls")))
         alive = scratch.keep(_not_alone(cut, percent))
         classes = rows.join(alive.where("alive").select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
         classes = scratch.keep(classes.where("doc_id is not null"))
         shared = scratch.keep(_repeated_grams(given, classes, width))
         component = _components(shared, scratch, percent)
-        found = scratch.keep(rows.join(component, "cls", "left").select("doc_id", "n", F.coalesce("component", "cls").alias("component")), release=True)
+        found = scratch.keep(rows.join(component, "cls", "left").select("doc_id", "row", "n", F.coalesce("component", "cls").alias("component")), release=True)
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    least = found.where(linked).groupBy("component").agg(F.min("doc_id").alias("least"))
-    empty = found.where(~linked).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return found.where(linked).join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id")).unionByName(empty)
+    least = found.where(linked).groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+    empty = found.where(~linked).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row", F.lit(True).alias("kept"))
+    kept = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("row") == F.col("least.row"))
+    every = found.where(linked).join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), "row", kept.alias("kept")).unionByName(empty)
+    return every if row else every.drop("row", "kept")
 
 
 def _signature(grams: np.ndarray) -> np.int64:
@@ -75,7 +81,7 @@ def _slicer(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() << 32) if TaskContext.get() else 0
-        ids, sizes, classes, low, held = [], [], [], [], 0
+        ids, own, sizes, classes, low, held = [], [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal number, held
@@ -91,6 +97,7 @@ def _slicer(width: int):
                 {
                     "slice": pa.array([number], pa.int64()),
                     "doc_id": pa.array([ids[:]], pa.list_(pa.int64())),
+                    "row": pa.array([own[:]], pa.list_(pa.int64())),
                     "n": pa.array([sizes[:]], pa.list_(pa.int64())),
                     "cls": pa.array([classes[:]], pa.list_(pa.int64())),
                     "keys": pa.array([keys.tobytes()], pa.binary()),
@@ -98,14 +105,15 @@ def _slicer(width: int):
                 }
             )
             number, held = number + 1, 0
-            for x in (ids, sizes, classes, low):
+            for x in (ids, own, sizes, classes, low):
                 x.clear()
             return out
 
         for batch in batches:
-            names = batch.column(0).to_pylist()
+            names, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for row, grams in shingle_sets(batch.column(1), width):
                 ids.append(names[row])
+                own.append(rows[row])
                 sizes.append(len(grams))
                 classes.append(int(_signature(grams)))
                 low.append(grams[: int(np.searchsorted(grams, top))])
@@ -163,7 +171,7 @@ def _not_alone(cut: DataFrame, percent: int) -> DataFrame:
         alone = np.bincount(single, minlength=len(n))
         return pd.DataFrame({"cls": np.asarray(head["cls"], dtype=np.int64), "alive": (n > 0) & (100 * alone <= (100 - percent) * n)})
 
-    parts = cut.select("slice", "keys", "owners").mapInArrow(cut_up, "fragment long, slice long, keys binary, owners binary")
+    parts = cut.select("slice", "keys", "owners").mapInArrow(freed(cut_up), "fragment long, slice long, keys binary, owners binary")
     counts = parts.groupBy("fragment").applyInPandas(single, "slice long, owners binary").where(F.length("owners") > 0)
     heads = cut.select("slice", F.lit(None).cast("binary").alias("owners"), "n", "cls")
     nothing = F.lit(None).cast("array<long>")
@@ -187,7 +195,7 @@ def _repeated_grams(given: DataFrame, classes: DataFrame, width: int) -> DataFra
                     )
 
     wanted = small_side(classes.select("doc_id", "cls"), classes.count(), 16)
-    sets = given.join(wanted, "doc_id").select("cls", "text").mapInArrow(shingle, "cls long, n long, grams array<long>").dropDuplicates(["cls"])
+    sets = given.join(wanted, "doc_id").select("cls", "text").mapInArrow(freed(shingle), "cls long, n long, grams array<long>").dropDuplicates(["cls"])
     grams = sets.select("cls", "n", F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     return grams.join(often, "gram").select("cls", "n", "gram", "df")

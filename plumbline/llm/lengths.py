@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import columns
+from plumbline.llm.common import columns, freed
 
 # fixed value: the published word pattern of this vocabulary family
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,7 +59,7 @@ def token_lengths(docs: DataFrame, ranks: str, doc_id: str = "doc_id", text: str
             counts = [counter.count(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *batch.columns[2:]], names=schema.names)
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(freed(run), schema)
 
 
 def length_histogram(lengths: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -42,7 +42,8 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
         steps = np.full(max(n, SLICE_BYTES + 4096), base, dtype=np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        _powers[name] = have
+        if n <= SLICE_BYTES + 4096:  # longer ones are rare and go after use
+            _powers[name] = have
     return have[:n]
 
 

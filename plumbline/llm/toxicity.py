@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.calibration import fit_logistic, sigmoid
-from plumbline.llm.common import columns, crc_mod
+from plumbline.llm.common import columns, crc_mod, freed
 from plumbline.llm.sampling import labelled_sample
 from plumbline.llm.shingles import mix, slices
 
@@ -171,7 +171,7 @@ def toxicity_score(model: SubwordModel):
             scores = [window_scores(table, data, bounds) for _, _, data, bounds in slices(part)]
             yield pa.array(sigmoid(np.concatenate(scores) @ slopes + offset) if scores else np.zeros(0))
 
-    return F.arrow_udf(run, "double")
+    return F.arrow_udf(freed(run), "double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus: int = 4, held: int = 2, sample: int = SAMPLE, calibration: int = CALIBRATION, longest: int = LONGEST) -> DataFrame:

@@ -18,6 +18,13 @@ def rows_of(frame):
     return sorted((tuple(r) for r in frame.collect()), key=repr)
 
 
+def plain_near_duplicates(named):
+    known = sorted((r for r in named if r["doc_id"] is not None), key=lambda r: (r["doc_id"], r["text"] or ""))
+    kept = [r for r in named if r["doc_id"] is None]
+    # the place in this order stands for the id, so no two rows share one
+    return kept + [known[k] for k, _, least in brute(list(enumerate(r["text"] for r in known))) if k == least]
+
+
 def plain_stages(spark, docs, folder):
     """The kept rows after each stage, by loops over collected rows; models are learnt by the operators themselves."""
     rows = [r for r in docs.collect()]
@@ -32,13 +39,7 @@ def plain_stages(spark, docs, folder):
         if name != "und" and score[0] >= P.LANGUAGE:
             named.append(r)
     yield named
-    component = {(i, n): c for i, n, c in brute([(r["doc_id"], r["text"]) for r in named])}
-    kept, seen = [], set()
-    for r in sorted(named, key=repr):
-        own = [c for (i, _), c in component.items() if i == r["doc_id"]]
-        if r["doc_id"] is None or (own == [r["doc_id"]] and r["doc_id"] not in seen):
-            kept.append(r)
-            seen.add(r["doc_id"])
+    kept = plain_near_duplicates(named)
     yield kept
     taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mix_sources(spark.createDataFrame(kept, docs.schema)).collect()}
     mixed = []
@@ -76,6 +77,15 @@ def test_edges_of_the_input(spark, tmp_path, make_docs):
     mixed = spark.createDataFrame([tuple(r) for r in some] + extra, docs.schema)
     spark.read.parquet(f"{FOLDER}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     check(spark, mixed, str(tmp_path))
+    # ids that repeat with other texts: near copies of others, copies of each other, and texts found nowhere else
+    ids = [some[k]["doc_id"] for k in (2, 3, 5)]
+    other = [(i, text, "en", "src1", 0) for i, text in zip(ids, (some[7]["text"], "a text of its own about " + some[8]["text"][:400], some[9]["text"]))]
+    other += [(ids[0], other[1][1], "en", "src1", 0), (ids[1], other[1][1], "en", "src1", 0)]
+    shared = spark.createDataFrame([tuple(r) for r in some] + other, docs.schema)
+    kept = P.near_duplicates(spark, shared, str(tmp_path)).collect()
+    rows = list(plain_near_duplicates(shared.collect()))
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted((r["doc_id"], r["text"]) for r in rows)
+    assert {r["text"] for r in kept} >= {other[1][1]}
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).collect() == []
 
