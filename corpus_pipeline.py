@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, small_side
@@ -38,19 +38,25 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the smallest id, once. Rows without an id stay."""
-    found = jaccard_components(docs)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(small_side(gone, gone.count(), 16), "doc_id", "left_anti").select(*docs.columns)
-    ids = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    repeated = ids.count()
-    if repeated:
-        # the rows of these ids are moved, no others
-        again = kept.join(small_side(ids, repeated, 16), "doc_id", "left_semi").select(*docs.columns)
-        order = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"]))
-        once = again.withColumn("_order", order).where("_order = 1").drop("_order")
-        kept = kept.join(small_side(ids, repeated, 16), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
-    return kept
+    """One document of each group of near duplicates stays: the smallest id, of rows that share it one of them.
+
+    Rows that share an id but not a text are documents of their own, and none goes for the other's sake. Rows without an id stay, as
+    do null and blank texts.
+    """
+    row = next(name for k in range(len(docs.columns) + 1) if (name := f"_row{k}") not in docs.columns)
+    ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    with Scratch(spark) as scratch:
+        ids = scratch.keep(ids, release=True)
+        repeated = ids.count()
+        given = docs.withColumn(row, F.lit(0).cast("long"))
+        if repeated:
+            # the rows of these ids are written with a key of their own, no others
+            side = small_side(ids, repeated, 16)
+            again = docs.join(side, "doc_id", "left_semi").select(*docs.columns).withColumn(row, F.monotonically_increasing_id())
+            given = docs.join(side, "doc_id", "left_anti").select(*docs.columns).withColumn(row, F.lit(0).cast("long")).unionByName(scratch.keep(again, release=True))
+        gone = jaccard_components(given, row=row).where("not kept").select("doc_id", F.col("row").alias(row))
+        gone = scratch.keep(gone, release=True)
+    return given.join(small_side(gone, gone.count(), 24), ["doc_id", row], "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
