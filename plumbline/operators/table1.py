@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,13 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from plumbline.functions.normality import shapiro_p
+from plumbline.functions.probit import density_sql, probit_sql
 from plumbline.functions.scalars import decimals_for_figures
-from plumbline.operators.common import constants, long_rows, numeric_columns, q, string_columns, union_all
+from plumbline.operators.common import constants, long_rows, melt, numeric_columns, q, string_columns, union_all
 from plumbline.operators.profile import detect_categoricals, value_counts
-from plumbline.operators.ranks import bounded_sample, quantile_map
+from plumbline.operators.ranks import bounded_sample, quantile_map, running
+from plumbline.session import materialize
 
 NORMALITY_ROWS = 5000
 NORMALITY_P = 1e-5
+NORMALITY_Z = 4.264890793922602  # beyond it lies NORMALITY_P of a normal distribution
 EXPLICIT_VALUES = 5
 OTHER = "Other"
 BOX_WHISKER = 1.5
@@ -32,13 +36,62 @@ def partition_columns(df: DataFrame) -> tuple[list[str], list[str]]:
     return categorical, numeric
 
 
-def normality(
-    df: DataFrame, columns: Sequence[str], key: str | None = None, rows: int = NORMALITY_ROWS, seed: int = 0
-) -> DataFrame:
+def normality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Shapiro-Francia verdict per column from all its values: ``(column, n, w, p_value, is_normal)``.
+
+    ``w`` is the squared correlation of the ordered values with their normal scores; equal values share the mean of their scores. Its
+    logarithm is normal under the hypothesis (Royston 1993), which was checked by simulation up to three million values.
+    Nulls and NaN are left out. Fewer than three values are not normal, three or four are unless they differ too little to tell
+    (no ``p_value``), and equal values count as normal with ``w`` 1. Infinite values are not normal.
+    """
+    cells = melt(df, columns, as_type="double").where("value is not null and not isnan(value)").groupBy("column", "value").agg(F.count("*").alias("n"))
+    cells = materialize(cells)
+    totals = cells.groupBy("column").agg(F.sum("n").alias("total"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
+    placed = running(cells, ["column"], ["value"], ["n"], upper_bound=cells.count()).join(F.broadcast(totals), "column")  # a row per column
+    sums = scored(placed).groupBy("column").agg(F.first("total").alias("n"), F.sum("xx").alias("xx"), F.sum("xm").alias("xm"), F.sum("mm").alias("mm"), F.count("*").alias("values"))
+    named = constants(df, [[c] for c in columns], ["column"], ["string"]).join(sums, "column", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    u, w = F.ln(F.col("n").cast("double")), F.col("w")
+    v = F.ln(u)
+    z = (F.ln(1 - w) - (-1.2725 + 1.0521 * (v - u))) / (1.0308 - 0.26758 * (v + 2 / u))
+    found = named.select("column", "n", F.when(F.col("values") == 1, F.lit(1.0)).otherwise(F.try_divide(F.col("xm") * F.col("xm"), F.col("xx") * F.col("mm"))).alias("w"))
+    found = found.select("column", "n", F.when((F.col("n") >= 3) & ~F.isnan("w"), F.least("w", F.lit(1.0))).alias("w"))
+    tested = found.withColumn("z", F.when((F.col("n") >= 5) & (w < 1), z))
+    p = F.when(F.col("n") >= 5, F.when(w >= 1, 1.0).otherwise(upper_tail("z")))
+    normal = w.isNotNull() & (F.col("z").isNull() | (F.col("z") < NORMALITY_Z))
+    return tested.select("column", "n", "w", p.alias("p_value"), normal.alias("is_normal"))
+
+
+def scored(placed: DataFrame) -> DataFrame:
+    """``(column, total, xx, xm, mm)`` per distinct value: its parts of the sums of squares and products with the normal scores.
+
+    A value that stands alone has the score of its place; the scores of equal ones are integrated over their places.
+    """
+    size = F.col("total") + 0.25
+    low, high = (F.col("cum_n") - F.col("n") + 0.125) / size, (F.col("cum_n") + 0.125) / size
+    edges = placed.withColumns({"low": low, "high": high, "own": (F.col("cum_n") - 0.375) / size, "size": size})
+    z = edges.withColumns({"a": F.expr(probit_sql("low")), "b": F.expr(probit_sql("high")), "m": F.expr(probit_sql("own"))})
+    z = z.withColumns({"fa": F.expr(density_sql("a")), "fb": F.expr(density_sql("b"))})
+    alone, x = F.col("n") == 1, F.col("value") - F.col("mean")
+    one = F.when(alone, F.col("m")).otherwise((F.col("fa") - F.col("fb")) * F.col("size"))
+    two = F.when(alone, F.col("m") * F.col("m")).otherwise((F.col("high") - F.col("b") * F.col("fb") - F.col("low") + F.col("a") * F.col("fa")) * F.col("size"))
+    return z.select("column", "total", (x * x * F.col("n")).alias("xx"), (x * one).alias("xm"), two.alias("mm"))
+
+
+def upper_tail(z: str) -> Column:
+    """P(Z > z) of the normal distribution, one row per column of a table."""
+
+    @F.pandas_udf("double")
+    def tail(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v != v else 0.5 * math.erfc(v / math.sqrt(2)) for v in values.astype("float64")], dtype="float64")
+
+    return tail(z)
+
+
+def sampled_normality(df: DataFrame, columns: Sequence[str], key: str | None = None, rows: int = NORMALITY_ROWS, seed: int = 0) -> DataFrame:
     """Shapiro-Wilk verdict per column ``(column, n, p_value, is_normal)`` on at most ``rows`` sampled rows.
 
-    The sample takes the smallest seeded hashes, so it is the same on any partitioning. Each group holds
-    one column of the sample, ``rows`` values at most.
+    The sample takes the smallest seeded hashes, so it is the same on any partitioning; what lies outside of it is not
+    seen. Each group holds one column of the sample, ``rows`` values at most.
     """
     cells = [q(c).cast("double").alias(c) for c in columns]
     if key is None:
@@ -65,10 +118,10 @@ def normality(
     return long.groupBy("column").applyInPandas(verdict, "column string, n long, p_value double, is_normal boolean")
 
 
-def normal_columns(df: DataFrame, columns: Sequence[str], key: str | None = None) -> list[str]:
+def normal_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     if not columns:
         return []
-    found = {r["column"] for r in normality(df, columns, key).where("is_normal").collect()}
+    found = {r["column"] for r in normality(df, columns).where("is_normal").collect()}
     return [c for c in columns if c in found]
 
 
@@ -152,7 +205,7 @@ def numeric_lines(df: DataFrame, normal: Sequence[str], other: Sequence[str]) ->
 def table_one(df: DataFrame, normal: Sequence[str] | None = None, key: str | None = None) -> DataFrame:
     """``(position, line, variable, summary)`` in column order. ``normal`` overrides the normality test."""
     categorical, numeric = partition_columns(df)
-    is_normal = normal_columns(df, numeric, key) if normal is None else [c for c in numeric if c in set(normal)]
+    is_normal = normal_columns(df, numeric) if normal is None else [c for c in numeric if c in set(normal)]
     parts = [numeric_lines(df, is_normal, [c for c in numeric if c not in is_normal])]
     if categorical:
         parts.append(category_lines(df, categorical))

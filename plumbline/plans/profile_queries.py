@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.probit import density_sql, probit_sql
 from plumbline.operators import profile, table1
 from plumbline.operators.common import constants
 from plumbline.plans.registry import query, rounded, table
@@ -275,10 +276,43 @@ def _(spark, folder):
     ).withColumn("value", rounded(F.col("value").cast("double"), 4))
 
 
-@query("normality_verdicts_lineitem")
+def normality_sql(t: str, columns) -> str:
+    """Shapiro-Francia from the collapsed values; ``columns`` maps names to expressions."""
+    cells = " union all ".join(f"""select '{c}' as "column", cast({x} as double) as value from {t}""" for c, x in columns.items())
+    return f"""with g as (select "column", value, count(*)::double as n from ({cells}) where value is not null group by all),
+ r as (select *, sum(n) over (partition by "column" order by value) as cum, sum(n) over (partition by "column") as total,
+   sum(n * value) over (partition by "column") / sum(n) over (partition by "column") as mean from g),
+ e as (select *, total + 0.25 as size, (cum - n + 0.125) / (total + 0.25) as low, (cum + 0.125) / (total + 0.25) as high, (cum - 0.375) / (total + 0.25) as own from r),
+ z as (select *, {probit_sql("low")} as a, {probit_sql("high")} as b, {probit_sql("own")} as m from e),
+ f as (select *, {density_sql("a")} as fa, {density_sql("b")} as fb from z),
+ w as (select "column", max(total) as n, sum(n * (value - mean) * (value - mean)) as xx, sum((value - mean) * case when n = 1 then m else (fa - fb) * size end) as xm,
+   sum(case when n = 1 then m * m else (high - b * fb - low + a * fa) * size end) as mm from f group by "column"),
+ v as (select "column", n, xm * xm / (xx * mm) as w, ln(n) as u from w)
+ select "column", n::bigint as n, round(w, 8) as w, (ln(1 - w) - (-1.2725 + 1.0521 * (ln(u) - u))) / (1.0308 - 0.26758 * (ln(u) + 2 / u)) < 4.264890793922602 as is_normal from v"""
+
+
+LINE_CONTINUOUS = ["l_extendedprice", "l_quantity", "l_tax", "l_partkey"]
+COMPONENTS = ["e1", "e2", "e3", "e4"]
+
+
+@query("normality_verdicts_lineitem", normality_sql("lineitem", {c: c for c in LINE_CONTINUOUS}))
+def _(spark, folder):
+    found = table1.normality(table(spark, folder, "lineitem"), LINE_CONTINUOUS)
+    return found.select("column", "n", rounded("w", 8), "is_normal")
+
+
+@query("normality_verdicts_embeddings", normality_sql("embeddings", {**{c: f"embedding[{c[1]}]" for c in COMPONENTS}, "cube": "embedding[1]::double * embedding[1]::double * embedding[1]::double"}))
+def _(spark, folder):
+    """Components that come close to a normal distribution, and the cube of one."""
+    parts = table(spark, folder, "embeddings").select(*[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(COMPONENTS)])
+    found = table1.normality(parts.withColumn("cube", F.col("e1") * F.col("e1") * F.col("e1")), [*COMPONENTS, "cube"])
+    return found.select("column", "n", rounded("w", 8), "is_normal")
+
+
+@query("sampled_normality_lineitem")
 def _(spark, folder):
     df = table(spark, folder, "lineitem").withColumn("line_key", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
-    return table1.normality(df, ["l_extendedprice", "l_quantity"], key="line_key")
+    return table1.sampled_normality(df, ["l_extendedprice", "l_quantity"], key="line_key")
 
 
 def top_other_sql(t: str, columns) -> str:

@@ -1,7 +1,12 @@
+from statistics import NormalDist
+
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.functions.normality import shapiro_p
+from plumbline.functions.probit import probit_sql
 from plumbline.operators import profile, ranks, table1
 
 
@@ -110,6 +115,31 @@ def test_normality_verdicts(spark):
     assert table1.normal_columns(table, ["n", "e"]) == ["n"]
 
 
+def test_normality_of_all_rows(spark):
+    """Far values that no small sample holds change the verdict; ties, gaps and odd columns have a defined one."""
+    rng = np.random.RandomState(1)
+    many = spark.createDataFrame(pd.DataFrame({"k": range(120_000), "x": rng.normal(size=120_000)}))
+    with_tail = many.withColumn("y", F.when(F.col("k") % 10_007 == 11, F.col("x") * 40).otherwise(F.col("x")))
+    verdict = {r["column"]: r["is_normal"] for r in table1.normality(with_tail, ["x", "y"]).collect()}
+    sampled = {r["column"]: r["is_normal"] for r in table1.sampled_normality(with_tail, ["x", "y"], key="k").collect()}
+    assert verdict == {"x": True, "y": False} and sampled == {"x": True, "y": True}
+    rows = [(0.1, None, 1.0, float(i % 2), 5.0 if i < 2 else None, float("inf") if i == 3 else float(i)) for i in range(40)]
+    odd = spark.createDataFrame([(*r, i if i < 4 else None) for i, r in enumerate(rows)], "same double, none double, one double, two double, few double, inf double, four int")
+    found = {r["column"]: (r["n"], r["is_normal"]) for r in table1.normality(odd, odd.columns).collect()}
+    assert found == {"same": (40, True), "none": (0, False), "one": (40, True), "two": (40, False), "few": (2, False), "inf": (40, False), "four": (4, True)}
+
+
+def test_normality_statistic_against_plain_scores(spark):
+    rng = np.random.RandomState(2)
+    values = np.r_[rng.normal(size=300), np.round(rng.normal(size=300), 1)]
+    (row,) = table1.normality(spark.createDataFrame([(float(v),) for v in values], "v double"), ["v"]).collect()
+    scores = np.array([NormalDist().inv_cdf((i - 0.375) / (len(values) + 0.25)) for i in range(1, len(values) + 1)])
+    assert row["w"] == pytest.approx(np.corrcoef(np.sort(values), scores)[0, 1] ** 2, abs=2e-4)
+    places = [1e-300, 1e-12, 1e-5, 0.05, 0.075, 0.2, 0.5, 0.6, 0.93, 0.999999]
+    found = spark.createDataFrame([(p,) for p in places], "p double").select(F.expr(probit_sql("p"))).collect()
+    assert [r[0] for r in found] == pytest.approx([NormalDist().inv_cdf(p) for p in places], rel=1e-13, abs=1e-15)
+
+
 def test_shapiro_published_example():
     # weights of men, the worked example of Shapiro and Wilk (1965): W = 0.79
     weights = np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], dtype=float)
