@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from plumbline.operators import survival
 from plumbline.operators.balance import uniform
 from plumbline.operators.clean import drop_worst
 from plumbline.operators.common import constants, join_on, numeric_columns, q, string_columns, union_all
@@ -302,6 +303,40 @@ def conformal_sets(
     return df.withColumn("prediction_set", F.filter(classes, lambda i: 1 - F.get(q(probabilities), i) <= F.lit(limit)))
 
 
+def weighted_limits(calibration: DataFrame, score: str, weight: str, tail: float, times: str | None = None) -> tuple[float, float]:
+    """``(low, high)``: scores that leave at most ``tail`` of the weight beyond them on either side.
+
+    The row to come counts with the largest weight of all, placed beyond each limit in turn. A limit that this puts beyond all
+    scores is minus or plus infinity. ``times`` names a column that says how many rows a row stands for.
+    """
+    often = F.lit(1) if times is None else q(times)
+    masses = calibration.where(q(score).isNotNull() & q(weight).isNotNull()).groupBy(q(score).cast("double").alias("s"))
+    masses = materialize(masses.agg(F.sum(q(weight) * often).alias("w"), F.max(q(weight)).alias("most")))
+    total, most = masses.agg(F.sum("w"), F.max("most")).first()
+    if total is None:
+        return -math.inf, math.inf
+    need = (1 - tail) * (total + most) * (1 - 1e-12)
+    ordered = running(masses, [], ["s"], ["w"])
+    above = F.lit(total) - F.col("cum_w") + F.col("w")
+    low, high = ordered.agg(F.max(F.when(above >= need, F.col("s"))), F.min(F.when(F.col("cum_w") >= need, F.col("s")))).first()
+    return -math.inf if low is None else float(low), math.inf if high is None else float(high)
+
+
+def conformal_survival(calibration: DataFrame, df: DataFrame, prediction: str, time: str, event: Column, alpha: float = ALPHA) -> DataFrame:
+    """Adds ``lower`` and ``upper``, an interval for the time of the event around the predicted one.
+
+    The score of a calibration row is its time over its prediction. Only rows with the event have one; each stands for those
+    censored before it by one over the chance of being seen that long (inverse probability of censoring weights). ``alpha`` is split
+    evenly over both sides. The lower end is 0 and the upper one infinite where the calibration rows cannot tell. Predictions must be positive;
+    rows without a positive prediction, time or event are no calibration rows.
+    """
+    rows = calibration.where((q(prediction) > 0) & q(time).isNotNull() & event.isNotNull())
+    weights = survival.censoring_weights(rows, time, event)
+    scores = rows.where(event).groupBy(q(time).alias("time"), (q(time) / q(prediction)).alias("score")).agg(F.count("*").alias("n"))
+    low, high = weighted_limits(scores.join(weights, "time"), "score", "weight", alpha / 2, "n")
+    return df.withColumns({"lower": q(prediction) * F.lit(max(low, 0.0)), "upper": q(prediction) * F.lit(high)})
+
+
 # evaluation of predictions
 
 

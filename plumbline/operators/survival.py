@@ -75,3 +75,19 @@ def curve_distance(first: DataFrame, second: DataFrame, time: str, event: Column
 
     width = F.coalesce(F.col("next_time") - F.col("time"), F.lit(0))
     return curve.agg(F.sum(F.abs(level("1") - level("2")) * width).alias("area"))
+
+
+def censoring_weights(df: DataFrame, time: str, event: Column) -> DataFrame:
+    """``(time, weight)``: one over the chance of not being censored before each observed time.
+
+    The chance is the Kaplan-Meier curve of the censoring times just before the time. Events come before censorings of the same time,
+    so they are no longer at risk of these. Rows without time or event are left out.
+    """
+    known = df.where(q(time).isNotNull() & event.isNotNull())
+    times = known.groupBy(q(time).alias("time")).agg(F.count_if(event).alias("d"), F.count_if(~event).alias("c"), F.count("*").alias("n"))
+    counted = running(times, [], ["time"], ["n"]).drop("next_time")
+    at_risk = F.lit(times.agg(F.sum("n")).first()[0]) - F.col("cum_n") + F.col("n") - F.col("d")
+    # where the last ones at risk are censored no time follows, so that step never enters a weight
+    term = F.when((F.col("c") == 0) | (F.col("c") >= at_risk), 0.0).otherwise(F.log1p(-F.col("c") / at_risk))
+    curve = running(counted.select("time", term.alias("term")), [], ["time"], ["term"])
+    return curve.select("time", F.exp(F.col("term") - F.col("cum_term")).alias("weight"))

@@ -170,6 +170,27 @@ def _(spark, folder):
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", rounded("lower", 4), rounded("upper", 4))
 
 
+@query(
+    "conformal_survival_lineitem",
+    """with li as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, date_diff('day', o_orderdate, l_shipdate) as days, l_returnflag = 'R' as returned,
+  40 + l_quantity * 0.5 as guess from lineitem join orders on l_orderkey = o_orderkey where l_shipdate >= o_orderdate),
+ cal as (select days, returned, days / guess as s from li where l_linenumber % 2 = 1),
+ t as (select days, count(*) filter (returned) as d, count(*) filter (not returned) as c, count(*) as n from cal group by 1),
+ r as (select *, sum(n) over (order by days rows between current row and unbounded following) - d as at_risk from t),
+ g as (select days, 1 / coalesce(product(case when c < at_risk then 1 - c / at_risk::double else 1 end) over (order by days rows between unbounded preceding and 1 preceding), 1) as w from r),
+ m as (select s, sum(w) as w, max(w) as most from cal join g using (days) where returned group by s),
+ o as (select s, sum(w) over (order by s) as upto, sum(w) over (order by s desc) as above, sum(w) over () as total, max(most) over () as most from m),
+ q as (select coalesce(max(case when above >= 0.9 * (total + most) * (1 - 1e-12) then s end), 0) as low, min(case when upto >= 0.9 * (total + most) * (1 - 1e-12) then s end) as high from o)
+ select l_orderkey, l_linenumber, l_partkey, l_suppkey, days, returned, round(guess * low, 4) as lower, round(guess * high, 4) as upper from li, q where l_linenumber % 2 = 0""",
+)
+def _(spark, folder):
+    lines = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate >= o_orderdate")
+    lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.datediff("l_shipdate", "o_orderdate").alias("days"), (F.col("l_returnflag") == "R").alias("returned"), (40 + F.col("l_quantity") * 0.5).alias("guess"))
+    calibration, rest = lines.where("l_linenumber % 2 = 1"), lines.where("l_linenumber % 2 = 0")
+    found = models.conformal_survival(calibration, rest, "guess", "days", F.col("returned"), alpha=0.2)
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "days", "returned", rounded("lower", 4), rounded("upper", 4))
+
+
 @query(
     "conformal_sets_lineitem",
     """with p as (select *, l_discount * 5 + 0.2 as p1, case when l_returnflag = 'R' then 1 else 0 end as y from lineitem),

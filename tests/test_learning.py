@@ -27,7 +27,7 @@ def brute_knn(a, b, k, skip):
 
 @pytest.mark.parametrize("skip", [True, False])
 def test_neighbours_with_a_hot_spot(spark, distributed, monkeypatch, skip):
-    monkeypatch.setattr(neighbours, "PIVOTS", 7)
+    monkeypatch.setattr(neighbours, "MOST_PIVOTS", 7)
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 60)
     x, table = points(spark, 400)
     found = {}
@@ -40,7 +40,7 @@ def test_neighbours_with_a_hot_spot(spark, distributed, monkeypatch, skip):
 
 
 def test_ball_counts_both_ways(spark, distributed, monkeypatch):
-    monkeypatch.setattr(neighbours, "PIVOTS", 5)
+    monkeypatch.setattr(neighbours, "MOST_PIVOTS", 5)
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 50)
     x, table = points(spark, 300)
     radii = 0.3 + np.arange(300) / 1000
@@ -263,3 +263,30 @@ def test_weak_regions_flag_broken_rows(spark, shipment_effort):
     table = spark.createDataFrame(frame)
     worst = models.weak_regions(table.where("id <> 7"), table.where("id < 50"), "id", ["quantity", "discount", "target"]).first()
     assert worst["id"] == 7
+
+
+def test_conformal_survival_covers_true_times(spark):
+    """Half of the rows are censored; the interval still covers the times that would have been seen without censoring."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    size = rng.uniform(1, 5, n)
+    true = size * rng.exponential(1.0, n)
+    limit = rng.exponential(4.0, n)
+    rows = [(int(k % 2), float(p), float(min(t, c)), bool(t <= c), float(t)) for k, (p, t, c) in enumerate(zip(size, true, limit))]
+    table = spark.createDataFrame(rows, "half int, guess double, seen double, event boolean, true_time double")
+    found = models.conformal_survival(table.where("half = 0"), table.where("half = 1"), "guess", "seen", F.col("event"), alpha=0.3)
+    share, below = found.agg(F.avg((F.col("true_time").between(F.col("lower"), F.col("upper"))).cast("double")), F.avg((F.col("true_time") < F.col("lower")).cast("double"))).first()
+    assert 0.66 <= share <= 0.76 and 0.12 <= below <= 0.18
+    naive = models.weighted_limits(table.where("half = 0 and event").withColumn("s", F.col("seen") / F.col("guess")).withColumn("w", F.lit(1.0)), "s", "w", 0.15)
+    weighted = found.agg(F.max(F.col("upper") / F.col("guess"))).first()[0]
+    assert weighted > naive[1] * 1.1  # without weights long times are too rare
+
+
+def test_conformal_survival_edges(spark):
+    schema = "guess double, seen double, event boolean"
+    ask = spark.createDataFrame([(2.0, None, None)], schema)
+    for rows in ([], [(1.0, 3.0, False)], [(1.0, 3.0, True)], [(None, 3.0, True), (1.0, None, True), (1.0, 2.0, None), (0.0, 1.0, True)]):
+        (r,) = models.conformal_survival(spark.createDataFrame(rows, schema), ask, "guess", "seen", F.col("event")).collect()
+        assert (r["lower"], r["upper"]) == (0.0, float("inf"))
+    weights = survival.censoring_weights(spark.createDataFrame([(1.0, 1.0, True), (1.0, 1.0, False), (1.0, 2.0, True), (1.0, 3.0, False)], schema), "seen", F.col("event"))
+    assert sorted((r["time"], round(r["weight"], 9)) for r in weights.collect()) == [(1.0, 1.0), (2.0, 1.5), (3.0, 1.5)]
