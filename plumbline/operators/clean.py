@@ -17,6 +17,7 @@ from plumbline.operators.ranks import running
 HIGH_MISSING_PCT = 80.0
 SMALL_SAMPLE_ROWS = 50
 GLANCE_ROWS = 1000
+SKETCH_VALUES = 2000  # values per column in a first look for contradictions
 NUMBER = r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(nan|inf|infinity)$"
 REPAIR_TYPES = ("bigint", "double", "timestamp_ntz")
 # Units in which a duration can be expressed.
@@ -191,7 +192,11 @@ def identifier_columns(df: DataFrame) -> DataFrame:
 
 
 def leakage_candidates(df: DataFrame, target: str, min_correlation: float = 0.95) -> DataFrame:
-    """``(column, reason)``: features almost collinear with the target, or whose repeated values fix the target."""
+    """``(column, reason)``: features almost collinear with the target, or whose repeated values fix the target.
+
+    A value that occurs with two targets clears its column. The values of smallest hash, about ``SKETCH_VALUES`` per column with all
+    their rows, clear most columns; only the cells of the others are shuffled.
+    """
     features = [c for c in df.columns if c != target]
     numeric = numeric_columns(df)
     parts = []
@@ -201,13 +206,24 @@ def leakage_candidates(df: DataFrame, target: str, min_correlation: float = 0.95
         parts.append(
             pairs.where(F.abs("r") >= min_correlation).select(other.alias("column"), F.lit("correlation").alias("reason"))
         )
-    per_value = (
-        melt(df.withColumn("_target", q(target).cast("string")), features, ["_target"])
-        .where(F.col("value").isNotNull() & F.col("_target").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"), (F.min("_target") == F.max("_target")).alias("fixed"))
-        .where(F.col("n") > 1)
-    )
-    fixed = per_value.groupBy("column").agg(F.bool_and("fixed").alias("fixed")).where("fixed")
-    parts.append(fixed.select("column", F.lit("determines target").alias("reason")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    with_target = df.withColumn("_target", q(target).cast("string")).where(F.col("_target").isNotNull())
+
+    def per_value(columns: Sequence[str], share: Mapping[str, float]) -> DataFrame:
+        """Repeated values of the columns, or of the given share of each column's values by hash."""
+        cells = [(c, q(c).cast("string")) for c in columns]
+        low = {c: int((1 << 32) * share.get(c, 1.0)) for c in columns}
+        taken = [F.struct(F.lit(c).alias("column"), F.when(F.shiftrightunsigned(F.xxhash64(v), 32) < low[c], v).alias("value")) for c, v in cells]
+        found = with_target.select("_target", F.inline(F.array(*taken))).where("value is not null")
+        found = found.groupBy("column", "value").agg(F.count("*").alias("n"), (F.min("_target") == F.max("_target")).alias("fixed"))
+        return found.where(F.col("n") > 1)
+
+    open_columns = features
+    if features:
+        sizes = df.agg(*[F.approx_count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(features)]).first()
+        share = {c: min(1.0, SKETCH_VALUES / max(sizes[f"d{i}"], 1)) for i, c in enumerate(features)}
+        cleared = {r["column"] for r in per_value(features, share).where("not fixed").select("column").distinct().collect()}
+        open_columns = [c for c in features if c not in cleared]
+    if open_columns:
+        fixed = per_value(open_columns, {}).groupBy("column").agg(F.bool_and("fixed").alias("fixed")).where("fixed")
+        parts.append(fixed.select("column", F.lit("determines target").alias("reason")))
+    return reduce(lambda a, b: a.unionByName(b), parts, constants(df, [], ["column", "reason"], ["string", "string"]))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.common import constants, long_rows, melt, q
+from plumbline.operators.common import constants, long_rows, q
+from plumbline.session import materialize
 
 
 def merge(left: DataFrame, right: DataFrame, on: Sequence[str], renames: Mapping[str, str] | None = None) -> DataFrame:
@@ -66,33 +67,45 @@ def _plain_name(c) -> F.Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
 
 
+WORD_BITS = 62  # columns that share one whole number of flags
+
+
 def match_columns(left: DataFrame, right: DataFrame, kinds_must_match: bool = True) -> DataFrame:
     """``(left_column, right_column, name_score, overlap, score)`` ranked pairs of columns that may hold the same thing.
 
-    ``overlap`` is the exact Jaccard index of the distinct values. Each value is shuffled once with the set
-    of columns that hold it, so the group size is bounded by the two schemas.
+    ``overlap`` is the exact Jaccard index of the distinct values, compared as text. Columns without a partner of their kind are not
+    read. Each value is shuffled once with a bit for every column that holds it, combined before the shuffle.
     """
-    def values(frame: DataFrame, side: str) -> DataFrame:
-        return melt(frame, frame.columns).where(F.col("value").isNotNull()).select(F.lit(side).alias("side"), "column", "value")
-
-    seen = (
-        values(left, "l").unionByName(values(right, "r")).groupBy("value").agg(
-            F.collect_set(F.when(F.col("side") == "l", F.col("column"))).alias("ls"),
-            F.collect_set(F.when(F.col("side") == "r", F.col("column"))).alias("rs"),
-        )
-    )
-    holders = F.explode(
-        F.concat(
-            F.transform("ls", lambda c: F.struct(c.alias("l"), F.lit(None).cast("string").alias("r"))),
-            F.transform("rs", lambda c: F.struct(F.lit(None).cast("string").alias("l"), c.alias("r"))),
-            F.flatten(F.transform("ls", lambda a: F.transform("rs", lambda b: F.struct(a.alias("l"), b.alias("r"))))),
-        )
-    )
-    counts = seen.select(holders.alias("h")).groupBy("h.l", "h.r").agg(F.count("*").alias("n"))
-    counts = counts.toDF("l", "r", "n")
-    both = counts.where("l is not null and r is not null").withColumnsRenamed({"n": "shared"})
-    left_n = counts.where("r is null").select("l", F.col("n").alias("nl"))
-    right_n = counts.where("l is null").select("r", F.col("n").alias("nr"))
+    kinds = [{_kind(t) for _, t in frame.dtypes} for frame in (left, right)]
+    sides = [[c for c, t in frame.dtypes if not kinds_must_match or _kind(t) in kinds[1 - i]] for i, frame in enumerate((left, right))]
+    bits = {(i, c): k for k, (i, c) in enumerate((i, c) for i in (0, 1) for c in sides[i])}
+    words = -(-max(len(bits), 1) // WORD_BITS)
+
+    def values(frame: DataFrame, side: int) -> DataFrame:
+        cells = [
+            F.struct(q(c).cast("string").alias("value"), *[F.lit(1 << k % WORD_BITS if k // WORD_BITS == w else 0).cast("long").alias(f"m{w}") for w in range(words)])
+            for c in sides[side]
+            for k in [bits[side, c]]
+        ]
+        return frame.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+
+    masks = [f"m{w}" for w in range(words)]
+    if all(sides):
+        seen = values(left, 0).unionByName(values(right, 1)).groupBy("value").agg(*[F.bit_or(m).alias(m) for m in masks])
+        holders = materialize(seen.groupBy(*masks).agg(F.count("*").alias("n")))
+    else:
+        holders = constants(left, [], [*masks, "n"], ["long"] * (words + 1))
+
+    def held(side: int, name: str) -> Column:
+        return F.array_compact(
+            F.array(F.lit(None).cast("string"), *[F.when(F.col(f"m{k // WORD_BITS}").bitwiseAND(F.lit(1 << k % WORD_BITS)) != 0, F.lit(c)) for (i, c), k in bits.items() if i == side])
+        ).alias(name)
+
+    sets = holders.select(held(0, "ls"), held(1, "rs"), "n")
+    total = F.sum("n").alias
+    left_n = sets.select(F.explode("ls").alias("l"), "n").groupBy("l").agg(total("nl"))
+    right_n = sets.select(F.explode("rs").alias("r"), "n").groupBy("r").agg(total("nr"))
+    both = sets.select(F.explode("ls").alias("l"), "rs", "n").select("l", F.explode("rs").alias("r"), "n").groupBy("l", "r").agg(total("shared"))
     pairs = constants(
         left,
         [(a, b, ka, kb) for a, ka in left.dtypes for b, kb in right.dtypes if not kinds_must_match or _kind(ka) == _kind(kb)],

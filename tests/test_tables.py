@@ -234,3 +234,32 @@ def test_many_classes_are_balanced(spark):
     table = spark.range(3600).select("id", F.when(F.col("id") < 2400, F.col("id") % 1200).otherwise(F.lit(7)).alias("y"))
     assert {r["count"] for r in balance.undersample(table, "y", "id").groupBy("y").count().collect()} == {2}
     assert {r["count"] for r in balance.oversample(table.where("y < 50 or id > 2500"), "y", "id", size=5).groupBy("y").count().collect()} == {5, 1202}
+
+
+def test_leakage_by_sketches_equals_all_values(spark):
+    """A contradiction outside of the sketch still clears its column; fixed columns stay whatever their size."""
+    rows = [(i // 8 % 5, f"k{i // 2}", f"k{i // 2}" if i < 19_999 else "k0", i // 4, None, i % 7) for i in range(20_000)]
+    table = spark.createDataFrame(rows, "y int, half string, nearly string, four int, gap string, seven int")
+    found = {tuple(r) for r in clean.leakage_candidates(table, "y").collect()}
+    pdf = table.toPandas()
+    want = set()
+    for c in ("half", "nearly", "four", "gap", "seven"):
+        groups = pdf.dropna(subset=[c, "y"]).groupby(c)["y"]
+        repeated = groups.size() > 1
+        if repeated.any() and (groups.nunique()[repeated] == 1).all():
+            want.add((c, "determines target"))
+    assert {f for f in found if f[1] == "determines target"} == want == {("half", "determines target"), ("four", "determines target")}
+
+
+def test_column_matching_over_many_columns(spark):
+    """More columns than one word of flags, kinds without a partner, values shared by several columns."""
+    left = spark.range(50).select("id", *[(F.col("id") % (k + 2) + k).alias(f"a{k}") for k in range(70)], F.lit(True).alias("flag"))
+    right = spark.range(40).select(*[(F.col("id") % (k + 3)).alias(f"b{k}") for k in range(5)], F.lit("x").alias("text"))
+    found = {(r["left_column"], r["right_column"]): r["overlap"] for r in merge.match_columns(left, right).collect()}
+    lp, rp = left.drop("flag").toPandas(), right.drop("text").toPandas()
+    assert set(found) == {(a, b) for a in lp for b in rp}
+    for (a, b), overlap in found.items():
+        x, y = set(lp[a]), set(rp[b])
+        assert overlap == pytest.approx(len(x & y) / len(x | y))
+    none = merge.match_columns(left.select("flag"), right.select("text"))
+    assert none.count() == 0
