@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import WORD, Scratch, columns, small_side
 
 BLOCK_WORDS = 64
+LEAST_BLOCKS = 4  # that the smallest target must hold; below it single words are shared out
 SHARD_WORDS = 1 << 18
 SHARD_DOCS = 1 << 12
 WEIGHTS = (1, 2, 3)
@@ -29,7 +30,8 @@ def mix_sources(
     Sources in code point order, null last, take the weights in turn and share all words of the input; a target stops at
     ``repeats`` times the words of its source and the rest is shared anew by weight. ``taken`` counts the words of a document
     that the mix takes, repeats included, at most ``repeats * size``. Null and blank texts have size 0 and give nothing; an input without words
-    has targets 0. Rows with equal id and size are interchangeable. Reruns agree: the order comes from a hash of seed and id.
+    has targets 0. Blocks have ``block_words`` words, or one where the smallest target is below ``LEAST_BLOCKS`` of them, so small sources
+    come near their targets too. Rows with equal id and size are interchangeable. Reruns agree: the order comes from a hash of seed and id.
     """
     with Scratch(docs.sparkSession) as scratch:
         given = columns(docs, doc_id=doc_id, text=text, source=source)
@@ -37,15 +39,18 @@ def mix_sources(
         turn = F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
         sizes = scratch.keep(given.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), turn.alias("turn")))
         sources = scratch.keep(_targets(sizes, weights, repeats, shard_words, shard_docs))
-        sources = scratch.keep(apportion(sources.withColumn("whole", F.lit(1)), "whole", "k", "target", F.round(F.sum("target").over(Window.partitionBy("whole")) / block_words).cast("long")))
+        whole = Window.partitionBy("whole")
+        least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(whole)
+        sources = sources.withColumn("whole", F.lit(1)).withColumn("block", F.when(least < LEAST_BLOCKS * block_words, 1).otherwise(block_words))
+        sources = scratch.keep(apportion(sources, "whole", "k", "target", F.round(F.sum("target").over(whole) / F.col("block")).cast("long")))
 
         table = small_side(sources.select("source", "k", "source_size", "target", "shards"), sources.count(), 64)
         placed = sizes.join(table, sizes["source"].eqNullSafe(table["source"])).select("doc_id", "size", "turn", "k", "source_size", "target", (F.col("turn") % F.col("shards")).alias("shard"))
         placed = scratch.keep(placed, release=True)
         shards = placed.groupBy("k", "shard").agg(F.sum("size").alias("shard_size")).where("shard_size > 0")
-        seats = sources.select("k", F.col("seats").alias("source_seats"))
+        seats = sources.select("k", "block", F.col("seats").alias("source_seats"))
         shards = apportion(shards.join(small_side(seats, sources.count(), 16), "k").withColumn("weight", F.col("shard_size").cast("double")), "k", "shard", "weight", F.col("source_seats"))
-        need = scratch.keep(shards.select("k", "shard", "shard_size", F.least(F.col("seats") * block_words, F.col("shard_size") * repeats).alias("need")), release=True)
+        need = scratch.keep(shards.select("k", "shard", "shard_size", F.least(F.col("seats") * F.col("block"), F.col("shard_size") * repeats).alias("need")), release=True)
     before = F.coalesce(F.sum("size").over(Window.partitionBy("k", "shard").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     passes = F.floor(F.col("need") / F.col("shard_size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("need") - passes * F.col("shard_size") - F.col("before")))

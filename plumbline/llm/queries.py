@@ -122,11 +122,12 @@ def _seats(frame: str, group: str, item: str, weight: str) -> str:
     src as materialized (select source, k, source_size, 1 as g,
         case when whole then cap::double else ((select sum(source_size) - sum(case when whole then cap else 0 end) from p3) * w)::double / (select sum(case when whole then 0 else w end) from p3) end as target,
         greatest(1, ceil(source_size / 262144), ceil(n / 4096))::bigint as shards from p3),
-    src2 as (select *, round(sum(target) over () / 64)::bigint as total from src),
+    src1 as (select *, case when min(case when target > 0 then target end) over () < 256 then 1 else 64 end as block from src),
+    src2 as (select *, round(sum(target) over () / block)::bigint as total from src1),
     src3 as materialized (select * from {_seats("src2", "g", "k", "target")}),
     placed as materialized (select doc_id, size, turn, k, source_size, target, turn % shards as shard from sizes join src3 on sizes.source is not distinct from src3.source),
-    sh as (select placed.k, shard, sum(size)::double as weight, any_value(seats) as total from placed join src3 on src3.k = placed.k group by 1, 2 having sum(size) > 0),
-    sh2 as materialized (select k, shard, weight::bigint as shard_size, least(seats * 64, 3 * weight::bigint) as need from {_seats("sh", "k", "shard", "weight")}),
+    sh as (select placed.k, shard, sum(size)::double as weight, any_value(seats) as total, any_value(block) as block from placed join src3 on src3.k = placed.k group by 1, 2 having sum(size) > 0),
+    sh2 as materialized (select k, shard, weight::bigint as shard_size, least(seats * block, 3 * weight::bigint) as need from {_seats("sh", "k", "shard", "weight")}),
     o as (select placed.*, shard_size, need, coalesce(sum(size) over (partition by placed.k, placed.shard order by turn, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before
       from placed left join sh2 on sh2.k = placed.k and sh2.shard = placed.shard)
     select doc_id, size::bigint as size, source_size, target,

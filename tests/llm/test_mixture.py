@@ -76,3 +76,10 @@ def test_apportionment_is_sainte_lague(spark):
             seats[i] += 1
             heapq.heappush(heap, (-weights[i] / (2 * seats[i] + 1), i))
         assert got == seats
+
+
+def test_small_sources_come_near_their_targets(make_docs):
+    """Sources of a few words beside large ones are not lost to rounding by blocks."""
+    rows = [(i, "w " * 997, "en", "big") for i in range(20)] + [(100, "one two three four five", "en", "tiny"), (101, "x", None, "one"), (102, "a b c", "en", None)]
+    got = check(rows, mix_sources(make_docs(rows)), block=1)
+    assert {g[0]: g[4] for g in got if g[0] in (100, 101, 102)} == {100: 15, 101: 3, 102: 9}
