@@ -149,13 +149,11 @@ def _limits(keys: str, least: int) -> str:
     group = f"group by {keys}" if keys else ""
     lead = f"{keys}," if keys else ""
     return f"""(select {lead} max(total) as group_docs,
-        max(case when metric = 'symbols' then q2 + greatest(30, 4 * (q3 - q2)) end) as symbols_high,
-        max(case when metric = 'dup_lines' then q2 + greatest(500, 4 * (q3 - q2)) end) as dup_high,
-        max(case when metric = 'repeats' then q2 + greatest(300, 4 * (q3 - q2)) end) as repeats_high,
-        max(case when metric = 'word_length' then q2 + greatest(150, 4 * (q3 - q2)) end) as length_high,
-        max(case when metric = 'word_length' then q2 - greatest(150, 4 * (q2 - q1)) end) as length_low
+        max(case when metric = 'symbols' then q2 + 4 * (q3 - q2) end) as symbols_high, max(case when metric = 'dup_lines' then q2 + 4 * (q4 - q2) end) as dup_high,
+        max(case when metric = 'repeats' then q2 + 4 * (q4 - q2) end) as repeats_high,
+        max(case when metric = 'word_length' then q2 + 4 * (q3 - q2) end) as length_high, max(case when metric = 'word_length' then q2 - 4 * (q2 - q1) end) as length_low
       from (select {on}, max(total) as total, min(case when 4 * upto >= total then bucket end) as q1, min(case when 4 * upto >= 2 * total then bucket end) as q2,
-          min(case when 4 * upto >= 3 * total then bucket end) as q3
+          min(case when 4 * upto >= 3 * total then bucket end) as q3, min(case when 10 * upto >= 9 * total then bucket end) as q4
         from (select {on}, bucket, sum(n) over (partition by {on} order by bucket) as upto, sum(n) over (partition by {on}) as total
           from (select {on}, bucket, sum(n) as n from h group by {on}, bucket)) group by {on}) {group} having max(total) >= {least})"""
 
@@ -178,10 +176,11 @@ def _limits(keys: str, least: int) -> str:
     l0 as {_limits("lang, source", 30)}, l1 as {_limits("lang", 30)}, l2 as {_limits("", 0)},
     a as (select m.*, case when l0.group_docs is not null then l0 else null end as x0, case when l1.group_docs is not null then l1 else null end as x1, l2 as x2
       from m left join l0 on l0.lang is not distinct from m.lang and l0.source is not distinct from m.source left join l1 on l1.lang is not distinct from m.lang left join l2 on true),
-    f as (select *, coalesce(x0.group_docs, x1.group_docs, x2.group_docs)::bigint as group_docs, coalesce(x0.symbols_high, x1.symbols_high, x2.symbols_high) as a1, coalesce(x0.dup_high, x1.dup_high, x2.dup_high) as a2,
-        coalesce(x0.repeats_high, x1.repeats_high, x2.repeats_high) as a3, coalesce(x0.length_high, x1.length_high, x2.length_high) as a4, coalesce(x0.length_low, x1.length_low, x2.length_low) as a5 from a)
+    f as (select *, coalesce(x0.group_docs, x1.group_docs, x2.group_docs)::bigint as group_docs, coalesce(greatest(x0.symbols_high, x1.symbols_high), x2.symbols_high) as a1, coalesce(greatest(x0.dup_high, x1.dup_high), x2.dup_high) as a2,
+        coalesce(greatest(x0.repeats_high, x1.repeats_high), x2.repeats_high) as a3, coalesce(greatest(x0.length_high, x1.length_high), x2.length_high) as a4, coalesce(least(x0.length_low, x1.length_low), x2.length_low) as a5 from a)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, group_docs,
-      not base_failed and coalesce(symbols <= a1 and dup_lines <= a2 and repeats <= a3 and word_length <= a4 and word_length >= a5, false) as kept from f""",
+      not base_failed and coalesce(1000 * greatest(n_symbols - 5, 0) // word_chars <= a1 and 1000 * greatest(n_dup_lines - 5, 0) // n_lines <= a2 and 1000 * greatest(n_repeat_words - 36, 0) // n_words <= a3
+        and word_length <= a4 + floor(1000 / sqrt(n_words)) and word_length >= a5 - floor(1000 / sqrt(n_words)), false) as kept from f""",
 )
 def _op8(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents"))

@@ -2,6 +2,8 @@
 
 The sketch of a group is a histogram over numbers cut to three significant digits: sketches merge by adding counts, in any order,
 and a quantile is off by less than one percent. Groups that are too small use the merged sketch of their language, or of all.
+A limit lies a few widths beyond the median, and widths are distances between quantiles of the sketch: no limit is a constant. Only
+chance is allowed for beside it: a few symbols, repeated lines or repeated words in any text, and the spread of a mean of few words.
 """
 
 from __future__ import annotations
@@ -16,8 +18,11 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50  # percent of the words
 LEAST_DOCS = 30  # a smaller group uses the sketch of the next level
 FENCE = 4  # widths beyond the median
-# metric: least width of the fence above the median, and below it (None: no lower limit), in the metric's own unit
-METRICS = {"symbols": (30, None), "dup_lines": (500, None), "repeats": (300, None), "word_length": (150, 150)}
+# metric: percent of the sketch that ends the width above the median, and that below it (None: no lower limit)
+METRICS = {"symbols": (75, None), "dup_lines": (90, None), "repeats": (90, None), "word_length": (75, 25)}
+# metric: its count, what that is a share of, and the count that is left out of the share as chance
+COUNTS = {"symbols": ("n_symbols", "word_chars", 5), "dup_lines": ("n_dup_lines", "n_lines", 5), "repeats": ("n_repeat_words", "n_words", 36)}
+SPREAD = 1000  # four deviations of a word's length, in hundredths of a character; divided by the root of the number of words
 
 
 def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -60,16 +65,14 @@ def _cut(x: Column) -> Column:
     return x - x % unit
 
 
-def _ratio(part: str, whole: str, unit: int) -> Column:
-    return F.when(F.col(whole) > 0, F.floor(unit * F.col(part) / F.col(whole))).otherwise(0).cast("long")
+def _ratio(part: str, whole: str, unit: int, free: int = 0) -> Column:
+    return F.when(F.col(whole) > 0, F.floor(unit * F.greatest(F.col(part) - free, F.lit(0)) / F.col(whole))).otherwise(0).cast("long")
 
 
 def metric_columns() -> dict[str, Column]:
     """The metrics from the measures: parts per thousand, and hundredths of a character."""
     return {
-        "symbols": _ratio("n_symbols", "word_chars", 1000),
-        "dup_lines": _ratio("n_dup_lines", "n_lines", 1000),
-        "repeats": _ratio("n_repeat_words", "n_words", 1000),
+        **{m: _ratio(part, whole, 1000) for m, (part, whole, _) in COUNTS.items()},
         "word_length": _ratio("word_chars", "n_words", 100),
     }
 
@@ -85,23 +88,23 @@ def sketch_limits(sketches: DataFrame, keys: list[str], fence: int = FENCE) -> D
     merged = sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     own = Window.partitionBy(*keys, "metric")
     merged = merged.withColumn("upto", F.sum("n").over(own.orderBy("bucket"))).withColumn("total", F.sum("n").over(own))
-    at = lambda quarter: F.min(F.when(4 * F.col("upto") >= quarter * F.col("total"), F.col("bucket")))
-    quartiles = merged.groupBy(*keys, "metric").agg(F.max("total").alias("total"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
+    at = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), F.col("bucket"))).alias(f"q{percent}")
+    quantiles = merged.groupBy(*keys, "metric").agg(F.max("total").alias("total"), *[at(p) for p in (25, 50, 75, 90)])
     wide = []
     for m, (above, below) in METRICS.items():
         pick = lambda c, m=m: F.max(F.when(F.col("metric") == m, c))
-        wide.append(pick(F.col("q2") + F.greatest(F.lit(above), fence * (F.col("q3") - F.col("q2")))).alias(f"{m}_high"))
+        wide.append(pick(F.col("q50") + fence * (F.col(f"q{above}") - F.col("q50"))).alias(f"{m}_high"))
         if below is not None:
-            wide.append(pick(F.col("q2") - F.greatest(F.lit(below), fence * (F.col("q2") - F.col("q1")))).alias(f"{m}_low"))
-    return quartiles.groupBy(*keys).agg(F.max("total").alias("group_docs"), *wide)
+            wide.append(pick(F.col("q50") - fence * (F.col("q50") - F.col(f"q{below}"))).alias(f"{m}_low"))
+    return quantiles.groupBy(*keys).agg(F.max("total").alias("group_docs"), *wide)
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", fence: int = FENCE, least_docs: int = LEAST_DOCS) -> DataFrame:
     """One row per row of ``docs``: the measures, ``base_failed``, ``kept`` and the size of the group that gave the limits.
 
     ``base_failed``: under 50 words, or over half of the words in repeated 3-word windows. The others are kept if each ratio lies
-    within ``fence`` widths of its group's median (a width is the distance from the median to the quartile, or a least width). Null
-    languages and sources are groups of their own. Null and empty texts fail. Sketches hold the documents that did not fail.
+    within ``fence`` widths of the median of its group or of its language, whichever is wider; ``METRICS`` names the quantiles that end a width. What ``COUNTS`` allows any text
+    is no part of its ratio, and the limits of the mean word length widen for texts of few words. Null languages and sources are groups of their own. Null and empty texts fail. Sketches hold the documents that did not fail.
     """
     limits = [f"{m}_{side}" for m, (_, below) in METRICS.items() for side in (("high", "low") if below is not None else ("high",))]
     with Scratch(docs.sparkSession) as scratch:
@@ -122,12 +125,20 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
         if len(keys) == 2:
             on &= measured["source"].eqNullSafe(level[f"source_{len(keys)}"])
         out = out.join(level, on, "left")
-    last = F.struct(*[F.lit(whole[x] if whole else None).cast("long").alias(x) for x in ["group_docs", *limits]])
-    out = out.withColumn("limits", F.coalesce("limits_2", "limits_1", last))
+    last = {x: F.lit(whole[x] if whole else None).cast("long") for x in ["group_docs", *limits]}
+
+    def limit(name: str) -> Column:
+        wider = F.greatest if name.endswith("_high") else F.least  # they pass over nulls
+        return F.coalesce(wider(F.col(f"limits_2.{name}"), F.col(f"limits_1.{name}")), last[name]).alias(name)
+
+    group_docs = F.coalesce("limits_2.group_docs", "limits_1.group_docs", last["group_docs"]).alias("group_docs")
+    out = out.withColumn("limits", F.struct(group_docs, *[limit(x) for x in limits]))
     fits = F.lit(True)
+    spread = F.floor(F.lit(SPREAD) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))))
     for m, (_, below) in METRICS.items():
-        fits &= F.col(m) <= F.col(f"limits.{m}_high")
+        value, chance = (_ratio(*COUNTS[m][:2], 1000, COUNTS[m][2]), F.lit(0)) if m in COUNTS else (F.col(m), spread)
+        fits &= value <= F.col(f"limits.{m}_high") + chance
         if below is not None:
-            fits &= F.col(m) >= F.col(f"limits.{m}_low")
+            fits &= value >= F.col(f"limits.{m}_low") - chance
     kept = ~F.col("base_failed") & F.coalesce(fits, F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("limits.group_docs").alias("group_docs"))

@@ -41,3 +41,31 @@ def test_groups_fall_back_to_larger_sketches(make_docs):
     rows = [(i, prose(i), "en", "big") for i in range(40)] + [(50 + i, prose(i), "en", "small") for i in range(5)] + [(60, prose(1), "fr", "small")]
     got = {r["doc_id"]: r["group_docs"] for r in quality_rules(make_docs(rows)).collect()}
     assert got[0] == 40 and got[50] == 45 and got[60] == 46
+
+
+def repetitive(i, n, repeated):
+    """``n`` words of which about ``repeated`` stand in repeated windows, on lines of ten."""
+    words = [f"word{(i * 7919 + k * k) % 5003}" for k in range(n - repeated)]
+    words += [f"again{k % 6}" for k in range(repeated)]
+    return "\n".join(" ".join(words[k : k + 10]) for k in range(0, len(words), 10))
+
+
+def test_limits_come_from_the_sketches_of_the_sources(make_docs):
+    """Two sources of one language whose texts differ get limits of their own: what is usual in one goes in the other."""
+    rows = [(i, repetitive(i, 300, i % 6 * 15), "en", "chatty") for i in range(60)] + [(100 + i, repetitive(i, 300, 0), "en", "terse") for i in range(600)]
+    rows += [(1000, repetitive(7, 300, 110), "en", "chatty"), (1001, repetitive(8, 300, 110), "en", "terse"), (1002, repetitive(9, 300, 30), "en", "terse")]
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality_rules(make_docs(rows)).collect()}
+    assert got[1000] == (False, True) and got[1001] == (False, False) and got[1002] == (False, True)
+    assert all(kept for i, (_, kept) in got.items() if i < 1000)
+
+
+def test_long_repetition_goes_and_a_short_repeated_heading_stays(make_docs):
+    rows = [(i, prose(i, 60 + i), "en", "s") for i in range(80)]
+    heading = "a heading of five words"
+    rows += [(200, "\n".join([heading, prose(1, 30), heading, prose(2, 30), heading, prose(3, 9)]), "en", "s")]
+    page = [f"menu entry {k} of this site " + prose(k, 12) for k in range(40)]
+    rows += [(201, "\n".join([*page, *[prose(100 + k, 30) for k in range(60)], *page[:25]]), "en", "s")]  # a quarter of its lines once more
+    rows += [(202, prose(5, 3000), "en", "s")]
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality_rules(make_docs(rows)).collect()}
+    assert got[200] == (False, True) and got[201] == (False, False) and got[202] == (False, True)
+    assert all(kept for i, (_, kept) in got.items() if i < 80)
