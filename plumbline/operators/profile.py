@@ -44,34 +44,45 @@ def column_types(df: DataFrame) -> DataFrame:
     return constants(df, rows, ["position", "column", "type"], ["int", "string", "string"])
 
 
-MOMENTS = ("n", "mean", "std", "skew", "kurt", "min", "max")
-
-
-def _moments_of(c: str) -> dict[str, Column]:
-    """Mergeable central moments: exact to rounding wherever the values lie and in whatever order they come."""
-    v = q(c).cast("double")
-    return {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "skew": F.skewness(v), "kurt": F.kurtosis(v), "min": F.min(v), "max": F.max(v)}
+SUMS = ("n", "mean", "min", "max", "s1", "s2", "s3", "s4")
 
 
 def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column, count, mean, std, min, max, skew, kurt)`` from a single scan.
+    """``(column, count, mean, std, min, max, skew, kurt)`` from two scans: the means, then plain power sums around them.
 
-    Skewness and kurtosis are bias-corrected; a constant column gives 0.
+    Sums around the mean are exact to rounding wherever the values lie, in whatever order they come. Skewness and kurtosis are
+    bias-corrected; a constant column gives 0.
     """
     columns = list(columns if columns is not None else numeric_columns(df))
     if not columns:
         names = ["column", "count", "mean", "std", "min", "max", "skew", "kurt"]
         return constants(df, [], names, ["string"] + ["double"] * 7)
     parts = []
-    for part in chunks(list(enumerate(columns)), EXPRESSIONS_PER_AGG // len(MOMENTS)):
-        wide = df.agg(*[e.alias(f"_{i}_{s}") for i, c in part for s, e in _moments_of(c).items()])
-        rows = [(F.lit(c), *[F.col(f"_{i}_{s}").cast("double") for s in MOMENTS]) for i, c in part]
-        parts.append(long_rows(wide, rows, ["column", *MOMENTS]))
+    for part in chunks(list(enumerate(columns)), EXPRESSIONS_PER_AGG // 4):
+        value = {i: q(c).cast("double") for i, c in part}
+        first = df.agg(*[f(v).alias(f"{n}{i}") for i, v in value.items() for n, f in (("n", F.count), ("m", F.avg), ("a", F.min), ("b", F.max))]).first()
+        off = {i: v - F.lit(first[f"m{i}"] if first[f"m{i}"] is not None else 0.0) for i, v in value.items()}
+        powers = {i: [d, d * d, d * d * d, (d * d) * (d * d)] for i, d in off.items()}
+        wide = df.agg(*[F.sum(x).alias(f"s{k + 1}_{i}") for i, own in powers.items() for k, x in enumerate(own)])
+        known = lambda i, name: F.lit(first[f"{name}{i}"]).cast("double")
+        rows = [(F.lit(c), *[known(i, n) for n in "nmab"], *[F.col(f"s{k}_{i}") for k in (1, 2, 3, 4)]) for i, c in part]
+        parts.append(long_rows(wide, rows, ["column", *SUMS]))
+    n, flat = F.col("n"), F.col("min") == F.col("max")
+    # the mean of the first scan is rounded; d is what it is off by
+    d = F.try_divide(F.col("s1"), n)
+    m2 = F.col("s2") - n * d * d
+    m3 = F.col("s3") - 3 * d * F.col("s2") + 2 * n * d * d * d
+    m4 = F.col("s4") - 4 * d * F.col("s3") + 6 * d * d * F.col("s2") - 3 * n * d * d * d * d
+    central = union_all(parts).withColumns({"_m2": m2, "_m3": m3, "_m4": m4})
+    spread = F.try_divide(F.col("_m2"), n)
+    shaped = central.withColumns(
+        {"std": F.sqrt(F.try_divide(F.col("_m2"), n - 1)), "skew": F.try_divide(F.col("_m3") / n, spread * F.sqrt(spread)), "kurt": F.try_divide(F.col("_m4") / n, spread * spread) - 3}
+    )
     n, flat = F.col("n"), F.col("min") == F.col("max")
     skew = F.when(n < 3, None).when(flat, 0.0).otherwise(F.col("skew") * F.try_divide(F.sqrt(n * (n - 1)), n - 2))
     kurt = F.when(n < 4, None).when(flat, 0.0).otherwise(F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("kurt") + 6))
     std = F.when(n >= 2, F.when(flat, 0.0).otherwise(F.col("std")))
-    return union_all(parts).select("column", n.alias("count"), "mean", std.alias("std"), "min", "max", skew.alias("skew"), kurt.alias("kurt"))
+    return shaped.select("column", n.alias("count"), "mean", std.alias("std"), "min", "max", skew.alias("skew"), kurt.alias("kurt"))
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -88,10 +88,12 @@ def test_quantile_ways_agree(spark, distributed, monkeypatch):
     rng = np.random.RandomState(1)
     values = np.where(rng.uniform(size=20_000) < 0.4, 5.0, rng.lognormal(size=20_000))
     table = spark.createDataFrame([(float(v), float(i % 7)) for i, v in enumerate(values)], "x double, y double").cache()
-    monkeypatch.setattr(ranks, "SAMPLE_ROWS", 2000)
-    monkeypatch.setattr(ranks, "CANDIDATES", 100)
-    few = ranks.quantile_map(table, ["x", "y"], [0.0, 0.1, 0.5, 0.77, 1.0])
-    np.testing.assert_allclose(few["x"], np.quantile(values, [0.0, 0.1, 0.5, 0.77, 1.0]), rtol=1e-12)
+    # a coarse sketch, and one whose brackets are too narrow to hold anything
+    for size, reach in ((64, 0.08), (16, 1e-9), (8192, 0.002)):
+        monkeypatch.setattr(ranks, "SKETCH_SIZE", size)
+        monkeypatch.setattr(ranks, "SKETCH_REACH", reach)
+        few = ranks.quantile_map(table, ["x", "y"], [0.0, 0.1, 0.5, 0.77, 1.0])
+        np.testing.assert_allclose(few["x"], np.quantile(values, [0.0, 0.1, 0.5, 0.77, 1.0]), rtol=1e-12)
     grid = [i / 40 for i in range(41)]
     many = ranks.quantile_map(table, ["x"], grid)
     np.testing.assert_allclose(many["x"], np.quantile(values, grid), rtol=1e-12)
@@ -109,6 +111,16 @@ def test_running_totals_across_ranges(spark, distributed):
             assert found[g, here[1]] == (total, after[1] if after else None)
 
 
+def test_moments_far_from_zero(spark):
+    """A narrow column far away keeps its shape: sums are taken around its own mean."""
+    x = np.random.RandomState(5).gamma(2.0, size=5000)
+    row = by(profile.moments(spark.createDataFrame([(float(v) + 1e9, None, 3.5) for v in x], "far double, none double, same double")))
+    wanted = pd.Series(x + 1e9 - 1e9)
+    assert row["far"]["std"] == pytest.approx(wanted.std(), rel=1e-9) and row["far"]["skew"] == pytest.approx(wanted.skew(), rel=1e-7) and row["far"]["kurt"] == pytest.approx(wanted.kurt(), rel=1e-7)
+    assert (row["none"]["count"], row["none"]["mean"], row["none"]["skew"]) == (0, None, None)
+    assert (row["same"]["std"], row["same"]["skew"], row["same"]["kurt"]) == (0.0, 0.0, 0.0)
+
+
 def test_normality_verdicts(spark):
     rng = np.random.RandomState(0)
     table = spark.createDataFrame([(float(a), float(b)) for a, b in zip(rng.normal(size=1000), rng.exponential(size=1000))], "n double, e double")
