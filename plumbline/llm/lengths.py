@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import columns, freed
+from plumbline.llm.common import Scratch, columns, freed
 
 # fixed value: the published word pattern of this vocabulary family
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -70,6 +70,9 @@ def length_histogram(lengths: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def suffix_sums(histogram: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The histogram with, per row of length ``L``: ``docs_from, tokens_from`` (documents of at least ``L`` tokens and their tokens),
     ``tokens_within`` (what is left of all documents cut at ``L``), ``docs_all, tokens_all`` and ``rank`` (share of documents up to ``L``)."""
+    with Scratch(histogram.sparkSession) as scratch:
+        # two uses of one small table; unkept, each would encode every text
+        histogram = scratch.keep(histogram, release=True)
     parts = histogram.withColumn("_range", F.floor(F.col("n_tokens") / RANGE))
     sums = parts.groupBy(*by, "_range").agg(F.sum("n_docs").alias("_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("_tokens"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
