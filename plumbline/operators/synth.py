@@ -23,6 +23,7 @@ from plumbline.functions import gaussian
 from plumbline.operators.balance import uniform
 from plumbline.operators.common import constants, numeric_columns, q, string_columns, union_all
 from plumbline.operators.neighbours import min_max
+from plumbline.operators.privacy import Budget, noisy_counts, private_tree, secret_source
 from plumbline.operators.profile import distinct_counts, value_counts
 from plumbline.operators.ranks import quantile_map
 from plumbline.session import materialize
@@ -134,14 +135,15 @@ def describe_table(
 
 def private_table(
     df: DataFrame, exclude: Sequence[str], epsilon: float, delta: float, bounds: dict[str, tuple[float, float]],
-    levels: dict[str, Sequence[str]], rng: np.random.Generator,
+    levels: dict[str, Sequence[str]], rng: np.random.Generator, budget: Budget,
 ) -> TableModel:
     """A table model that holds nothing of the rows but noisy counts.
 
     Numbers need public ``bounds`` and get equal-width bins over them. Texts take public ``levels``; without them a level enters only if
     its noisy count passes the threshold of an ``(epsilon, delta)`` stability histogram, so values of single rows stay out. All
     other columns are withheld and come out as NULL. Weights and missing shares come from noisy counts in which the missing
-    cells are one more cell. ``epsilon`` is split evenly over the columns, and a text without public levels spends half of its part on them.
+    cells are one more cell. ``epsilon`` is split evenly over the columns, and a text without public levels spends half of its part and a
+    ``delta`` on them; ``budget`` is told of every part.
     """
     names = [c for c in df.columns if c not in exclude]
     numbers = [c for c in names if c in numeric_columns(df)]
@@ -158,16 +160,19 @@ def private_table(
     open_texts = [c for c in texts if c not in levels]
     found: dict[str, list[str]] = {c: sorted(levels[c]) for c in texts if c in levels} | {c: [] for c in open_texts}
     least = 1 + 4 / part * np.log(2 / delta)
+    for c in open_texts:
+        budget.spend(f"levels of {c}", part / 2, delta)
     if open_texts:
         # the counts stay in Spark until they are near the threshold; a far rarer level passes with a chance below delta
         likely = value_counts(df, open_texts).where(F.col("n") >= max(1.0, least / 2)).orderBy("column", "value")
         for r in likely.collect():
-            if r["n"] + rng.laplace(0.0, 4 / part) >= least:
+            if noisy_counts(np.array([r["n"]]), part / 2, rng)[0] >= least:
                 found[r["column"]].append(r["value"])
     models += [ColumnModel(c, "text", levels=found[c]) for c in texts if found[c]]
     for m, (seen, gaps) in zip(models, marginal_counts(df, models)):
-        scale = 2 / (part / 2 if m.name in open_texts else part)
-        noisy = np.clip(np.append(seen, gaps) + rng.laplace(0.0, scale, m.size + 1), 0.0, None)
+        own = part / 2 if m.name in open_texts else part
+        budget.spend(f"cells of {m.name}", own)
+        noisy = np.clip(noisy_counts(np.append(seen, gaps), own, rng), 0.0, None)
         total = noisy.sum()
         m.missing = float(noisy[-1] / total) if total > 0 else 0.0
         m.weights = noisy[:-1] / noisy[:-1].sum() if noisy[:-1].sum() > 0 else np.full(m.size, 1.0 / m.size)
@@ -363,29 +368,40 @@ def _binned(model: TableModel) -> None:
 
 def sample_network(
     df: DataFrame, n: int, seed: int = 0, exclude: Sequence[str] = (), epsilon: float | None = None,
-    bounds: dict[str, tuple[float, float]] | None = None, levels: dict[str, Sequence[str]] | None = None, delta: float = DELTA,
+    bounds: dict[str, tuple[float, float]] | None = None, levels: dict[str, Sequence[str]] | None = None, delta: float = DELTA, budget: Budget | None = None,
 ) -> DataFrame:
-    """Chow-Liu tree on binned columns. With ``epsilon`` the counts carry Laplace noise (after Zhang et al. 2014): a third of the
-    budget each describes the columns (``private_table`` says how), picks the tree and fills its tables."""
-    rng = np.random.default_rng(seed)
+    """Chow-Liu tree on binned columns. With ``epsilon`` it is private (after Zhang et al. 2014), and a third of it each describes the
+    columns (``private_table`` says how), draws the tree by the exponential mechanism and fills its tables with noisy counts.
+
+    The noise comes from a secret source: ``seed`` only decides what is drawn from the fitted model. The number of rows is taken as
+    public. ``budget`` is told what was spent.
+    """
+    rng, budget = secret_source(), budget if budget is not None else Budget()
     if epsilon is None:
         model = describe_table(df, exclude)
         _binned(model)
     else:
-        model = private_table(df, exclude, epsilon / 3, delta, bounds or {}, levels or {}, rng)
+        model = private_table(df, exclude, epsilon / 3, delta, bounds or {}, levels or {}, rng, budget)
     columns = model.columns
     k = len(columns)
     if not k:
         return _finish(model, _sampler(model, n, seed, df.sparkSession, lambda u: {}), seed)
     counts = pair_counts(df, columns)
 
-    def noisy(table: np.ndarray, budget: float | None) -> np.ndarray:
-        return table if budget is None else np.clip(table + rng.laplace(0.0, 2.0 / budget, table.shape), 0.0, None)
+    def noisy(table: np.ndarray, part: float | None) -> np.ndarray:
+        return table if part is None else np.clip(noisy_counts(table, part, rng), 0.0, None)
 
-    picking = None if epsilon is None else epsilon / 3 / max(len(counts), 1)
-    information = {p: mutual_information(noisy(t, picking)) for p, t in counts.items() if p[0] != p[1]}
-    tree = spanning_tree(information, k)
+    information = {p: mutual_information(t) for p, t in counts.items() if p[0] != p[1]}
     filling = None if epsilon is None else epsilon / 3 / max(k - 1, 1)
+    if epsilon is None or k == 1:
+        tree = spanning_tree(information, k)
+    else:
+        budget.spend("tree", epsilon / 3)
+        tree = private_tree(information, k, epsilon / 3, df.count(), rng)
+    if epsilon is not None:
+        names = [f"table of {columns[i].name} and {columns[j].name}" for i, j in tree[1:]] or [f"table of {columns[0].name}"]
+        for name in names:
+            budget.spend(name, filling)
     tables: dict[int, np.ndarray] = {}
     for node, parent in tree[1:]:
         pair = (max(node, parent), min(node, parent))
@@ -422,13 +438,13 @@ def sample_network(
 
 def sample_private_marginals(
     df: DataFrame, n: int, seed: int = 0, exclude: Sequence[str] = (), epsilon: float = 1.0,
-    bounds: dict[str, tuple[float, float]] | None = None, levels: dict[str, Sequence[str]] | None = None, delta: float = DELTA,
+    bounds: dict[str, tuple[float, float]] | None = None, levels: dict[str, Sequence[str]] | None = None, delta: float = DELTA, budget: Budget | None = None,
 ) -> DataFrame:
-    """Independent columns from histograms with Laplace noise (Dwork 2006); ``private_table`` says what enters them.
+    """Independent columns from histograms with geometric noise (Dwork 2006); ``private_table`` says what enters them.
 
-    The guarantee holds as long as the seed stays secret.
+    The noise comes from a secret source: ``seed`` only decides what is drawn from the fitted model. ``budget`` is told what was spent.
     """
-    model = private_table(df, exclude, epsilon, delta, bounds or {}, levels or {}, np.random.default_rng(seed))
+    model = private_table(df, exclude, epsilon, delta, bounds or {}, levels or {}, secret_source(), budget if budget is not None else Budget())
     columns = model.columns
 
     def draw(u: np.ndarray) -> dict[str, np.ndarray]:
@@ -544,17 +560,23 @@ def method_names(methods: str | Sequence[str]) -> list[str]:
 
 def generate(
     df: DataFrame, methods: str | Sequence[str], count: int | None = None, repeats: int = REPEATS, exclude: Sequence[str] = (),
-    options: dict[str, dict] | None = None,
+    options: dict[str, dict] | None = None, budget: Budget | None = None,
 ) -> DataFrame:
     """``(generator, repeat, syn_id, columns...)``; as many rows per repeat as the table unless ``count`` is given.
 
-    ``options`` holds further arguments by generator; private ones need ``bounds`` of all numbers. Every repeat of a private one spends its ``epsilon``.
+    ``options`` holds further arguments by generator; private ones need ``bounds`` of all numbers. Every repeat of a private one
+    is a new fit and spends its ``epsilon``; ``budget`` keeps the account over all of them.
     """
+    budget = budget if budget is not None else Budget()
     n = df.count() if count is None else count
     parts = []
     for name in method_names(methods):
         for repeat in range(repeats):
-            made = GENERATORS[name][1](df, n, seed=repeat + 1, exclude=exclude, **(options or {}).get(name, {}))
+            own = dict((options or {}).get(name, {}))
+            if GENERATORS[name][0] == "privacy":
+                budget.release = f"{name} {repeat}"
+                own.setdefault("budget", budget)
+            made = GENERATORS[name][1](df, n, seed=repeat + 1, exclude=exclude, **own)
             parts.append(made.select(F.lit(name).alias("generator"), F.lit(repeat).alias("repeat"), "*"))
     return union_all(parts)
 

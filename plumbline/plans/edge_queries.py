@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import balance, diff, models, profile, reporting, survival, synth
+from plumbline.operators import balance, diff, models, privacy, profile, reporting, survival, synth
 from plumbline.plans.clean_queries import fresh_path
 from plumbline.plans.registry import query, rounded, table
 from plumbline.sources import files
@@ -106,6 +106,21 @@ def _(spark, folder):
     )
 
 
+@query(
+    "private_budget_customer",
+    """select g.generator || ' ' || r.r as release, g.n as spends, 0.9 as epsilon, 0.0 as delta
+    from (values ('dp_marginals', 3), ('privbayes', 6)) g(generator, n), (values (0), (1)) r(r) where exists (select 1 from customer)""",
+)
+def _(spark, folder):
+    """The ledger of four private releases of the table: every release spends exactly what it was given."""
+    real = table(spark, folder, "customer").select("c_nationkey", "c_acctbal", "c_mktsegment")
+    levels = {"c_mktsegment": [r[0] for r in real.select("c_mktsegment").distinct().collect()]}
+    options = {g: {"epsilon": 0.9, "bounds": CUSTOMER_BOUNDS, "levels": levels} for g in ("dp_marginals", "privbayes")}
+    budget = privacy.Budget(epsilon=3.6)
+    synth.generate(real, "dp_marginals, privbayes", count=100, repeats=2, options=options, budget=budget)
+    return budget.table(spark).groupBy("release").agg(F.count("*").cast("int").alias("spends"), rounded(F.sum("epsilon"), 9, "epsilon"), rounded(F.sum("delta"), 9, "delta"))
+
+
 @query(
     "synthetic_properties_customer",
     """select generator, count(*) as rows, true as balance_in_range, true as mean_close, true as segments_known, true as share_close

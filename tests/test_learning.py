@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.special import chi2_tail
-from plumbline.operators import balance, impute, metrics, models, neighbours, survival, synth, valuation
+from plumbline.operators import balance, impute, metrics, models, neighbours, privacy, survival, synth, valuation
 
 
 def points(spark, n, dim=3, seed=0, hot=0.3):
@@ -172,7 +172,11 @@ def test_generators(people, method):
     made = make(people, 1200, seed=3).cache()
     assert made.count() == 1200
     assert dict(made.drop("syn_id").dtypes) == dict(people.dtypes)
-    assert made.exceptAll(make(people, 1200, seed=3)).count() == 0
+    if category == "privacy":  # its noise cannot be drawn again
+        first, second = (make(people, 400, seed=3, epsilon=1.0).cache() for _ in range(2))
+        assert first.exceptAll(second).count() > 0
+    else:
+        assert made.exceptAll(make(people, 1200, seed=3)).count() == 0
     real, syn = people.agg(F.avg("x"), F.stddev("x")).first(), made.agg(F.avg("x"), F.stddev("x")).first()
     assert syn[0] == pytest.approx(real[0], abs=0.35) and syn[1] == pytest.approx(real[1], rel=0.4)
     assert {r["s"] for r in made.select("s").distinct().collect()} <= ({"hi", "lo", None} if category == "privacy" else {"hi", "lo"})
@@ -194,6 +198,42 @@ def test_private_generators_need_public_bounds(people):
     assert made.where("name is not null").count() <= 25
 
 
+def test_private_budget_is_kept(people):
+    """Spends of all repeats add up to what was asked for, and a ledger that is used up stops the next release."""
+    options = {g: {"epsilon": e, "bounds": {"x": (-4.0, 4.0), "n": (-15.0, 15.0)}, "levels": {"s": ["hi", "lo"]}} for g, e in (("dp_marginals", 0.5), ("privbayes", 2.0))}
+    budget = privacy.Budget(epsilon=7.5, delta=1e-5)
+    synth.generate(people, "dp_marginals, privbayes", count=20, repeats=3, options=options, budget=budget).count()
+    rows = {}
+    for release, _, epsilon, _ in budget.spends:
+        rows[release] = rows.get(release, 0.0) + epsilon
+    assert set(rows) == {f"{g} {k}" for g in options for k in range(3)}
+    # a text without public levels whose levels stay hidden spends nothing on its cells
+    assert all(v <= (0.5 if r.startswith("dp") else 2.0) + 1e-9 for r, v in rows.items()) and budget.spent[1] == pytest.approx(6 * synth.DELTA)
+    with pytest.raises(ValueError, match="beyond the budget"):
+        synth.generate(people, "privbayes", count=20, repeats=3, options=options, budget=budget)
+
+
+def test_private_mechanisms():
+    source = privacy.secret_source()
+    noise = privacy.noisy_counts(np.zeros(200_000), 0.5, source)
+    assert (noise == np.round(noise)).all() and abs(noise.mean()) < 0.1 and np.abs(noise).mean() == pytest.approx(4.0, rel=0.05)
+    drawn = np.bincount([privacy.exponential_choice(np.array([0.0, 1.0, 2.0]), 2.0, 1.0, source) for _ in range(30_000)], minlength=3) / 30_000
+    wanted = np.exp([0.0, 1.0, 2.0]) / np.exp([0.0, 1.0, 2.0]).sum()
+    np.testing.assert_allclose(drawn, wanted, atol=0.015)
+    scores = {(i, j): float(10 * (j == i - 1)) for i in range(5) for j in range(i)}
+    assert privacy.private_tree(scores, 5, 400.0, 1000, source) == [(0, None), (1, 0), (2, 1), (3, 2), (4, 3)]
+    # the sensitivity bounds what one row can do
+    table = np.array([[30, 3], [5, 22]])
+    n = int(table.sum())
+    for a in np.ndindex(2, 2):
+        for b in np.ndindex(2, 2):
+            if table[a] and a != b:
+                moved = table.copy()
+                moved[a] -= 1
+                moved[b] += 1
+                assert abs(synth.mutual_information(moved) - synth.mutual_information(table)) <= privacy.information_sensitivity(n)
+
+
 def test_method_list_is_trimmed():
     assert synth.method_names("Marginals, privbayes ") == ["marginals", "privbayes"]
     with pytest.raises(ValueError):
