@@ -218,14 +218,16 @@ def predict(texts: list[str | None], profiles: Profiles, table: np.ndarray) -> t
 def learn_languages(docs: DataFrame, modulus: int = 3, held: int = 1, sample: int = SAMPLE, longest: int = LONGEST) -> Profiles:
     """Profiles from texts and non-null ``lang`` of rows whose ``crc32(doc_id as text) mod modulus`` is not ``held``.
 
-    At most ``sample`` texts of each language, none over ``longest`` bytes: ids are drawn first, in hash order and without texts.
+    At most ``sample`` texts of each language, none over ``longest`` bytes: ids are drawn first, in hash order and without texts. Rows that share an id and a language count as
+    one, with the smallest of their texts.
     """
     known = columns(docs, doc_id="doc_id", lang="lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), modulus) != held))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id"))
     drawn = [r["doc_id"] for r in known.withColumn("rank", rank).where(F.col("rank") <= sample).collect()]
     ids = docs.sparkSession.createDataFrame([(x,) for x in sorted(set(drawn))], "doc_id long")
     texts = columns(docs, doc_id="doc_id", lang="lang", text="text").join(F.broadcast(ids), "doc_id").where(F.col("lang").isNotNull() & (F.octet_length("text") <= longest))
-    rows = sorted((r["lang"], r["text"]) for r in texts.select("lang", "text").collect())
+    once = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = sorted((r["lang"], r["text"]) for r in once.select("lang", "text").collect())
     return fit_profiles(rows)
 
 

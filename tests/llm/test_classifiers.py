@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import compression, hyperdimensional, toxicity
 from plumbline.llm.calibration import fit_logistic, sigmoid
@@ -141,3 +142,16 @@ def test_logistic_curve_recovers_a_known_one():
     y = (rng.random(20_000) < sigmoid(2 * x[:, 0] - x[:, 1] + 0.5)).astype(int)
     slopes, offset = fit_logistic(x, y, (float((y == 0).sum()), float(y.sum())))
     assert np.allclose(slopes, [2, -1], atol=0.15) and abs(offset - 0.5) < 0.1
+
+
+def test_a_labelled_id_with_many_copies_is_one_text(spark, make_docs):
+    """Samples hold one text per id, however often it stands in the table."""
+    from plumbline.llm.sampling import labelled_sample
+
+    copies = make_docs([(5, "copied text " * 20), (6, "other words " * 20), (7, "third one " * 20)]).limit(3)
+    many = copies.join(spark.range(10_000).withColumnRenamed("id", "copy"), F.expr("doc_id = 5 or copy = 0")).drop("copy")
+    labels = spark.createDataFrame([(5, 1), (6, 0), (7, 1)], "doc_id long, quality int")
+    rows, _ = labelled_sample(many, labels, "quality", 5, 9, 100, 1 << 15)
+    assert sorted(rows) == sorted([("copied text " * 20, 1), ("other words " * 20, 0), ("third one " * 20, 1)])
+    scored = compression.quality(many, labels).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in scored} == {5: 10_000, 6: 1, 7: 1}
