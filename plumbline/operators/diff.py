@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from plumbline.operators.common import constants, join_on, q, union_all
+from plumbline.operators.ranks import running
+from plumbline.session import broadcast_bytes, materialize
 
 SIMILARITY = 0.8
 MAX_KEY_FAMILIES = 5000  # keys that leave single cells out, per row; beyond, groups of columns are left out
@@ -47,17 +49,37 @@ def _keyed(before: DataFrame, after: DataFrame, key: Sequence[str]) -> tuple[Dat
     """Full outer join on the key; cells as ``b`` and ``a`` structs, null when the row is absent.
 
     NULL equals NULL in a key. Rows that repeat a key are numbered in the order of their cells and matched by number, so a
-    table compared with itself has no changes and no key is multiplied out.
+    table compared with itself has no changes and no key is multiplied out. Keys that do not repeat need no number; equal rows
+    of the others are collapsed before they are numbered, and a key of many rows is numbered across tasks.
     """
     common = _common(before, after, key)
 
     def side(frame: DataFrame, name: str) -> DataFrame:
-        copy = F.row_number().over(W.partitionBy(*[q(k) for k in key]).orderBy(*[q(c) for c in common]))
-        return frame.select(*[q(k) for k in key], F.struct(*[q(c) for c in common], F.lit(True).alias("_here")).alias(name), copy.alias("_copy"))
+        numbered = _numbered(frame.select(*[q(c) for c in (*key, *common)]), key, common)
+        return numbered.select(*[q(k) for k in key], F.struct(*[q(c) for c in common], F.lit(True).alias("_here")).alias(name), "_copy")
 
     return join_on(side(before, "b"), side(after, "a"), [*key, "_copy"], "full_outer").drop("_copy"), common
 
 
+def _numbered(frame: DataFrame, key: Sequence[str], common: Sequence[str]) -> DataFrame:
+    """``frame`` with ``_copy``: the place of a row among those of its key, in the order of their cells."""
+    one = F.lit(1).cast("long").alias("_copy")
+    repeated = materialize(frame.groupBy(*[q(k) for k in key]).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    n = repeated.count()
+    if not n:
+        return frame.select("*", one)
+    if n * 64 * len(key) <= broadcast_bytes(frame.sparkSession):
+        repeated = F.broadcast(repeated)
+    names = {**{k: f"k{i}" for i, k in enumerate(key)}, **{c: f"c{i}" for i, c in enumerate(common)}}
+    several = join_on(frame, repeated, key, "left_semi").select(*[q(old).alias(new) for old, new in names.items()])
+    by, order = [names[k] for k in key], [names[c] for c in common]
+    several = materialize(several.groupBy(*by, *order).agg(F.count("*").alias("n"))) if order else materialize(several.groupBy(*by).agg(F.count("*").alias("n")).withColumn("o", F.lit(0)))
+    placed = running(several, by, order or ["o"], ["n"], upper_bound=several.count())
+    copies = F.explode(F.sequence(F.col("cum_n") - F.col("n") + 1, F.col("cum_n"))).alias("_copy")
+    back = placed.select(*[F.col(new).alias(old) for old, new in names.items()], copies)
+    return join_on(frame, repeated, key, "left_anti").select("*", one).unionByName(back)
+
+
 def _cell(side: str, c: str) -> Column:
     return F.col(side).getField(c)
 

@@ -263,3 +263,32 @@ def test_column_matching_over_many_columns(spark):
         assert overlap == pytest.approx(len(x & y) / len(x | y))
     none = merge.match_columns(left.select("flag"), right.select("text"))
     assert none.count() == 0
+
+
+def test_keyed_diff_of_a_hot_and_a_null_key(spark, distributed):
+    """A third of the rows share one key and many have none: rows are matched by their place, across tasks, as in a plain list."""
+    rng = np.random.default_rng(4)
+
+    def rows(edit):
+        out = [("hot", int(v), None if v % 5 == 0 else f"t{v % 3}") for v in rng.integers(0, 40, 400)] + [(None, int(v), "n") for v in rng.integers(0, 9, 120)]
+        return out + [(f"k{i}", i if i % edit else -1, "u") for i in range(500)] + [("hot", 99, None)] * 30
+
+    first, second = rows(7), rows(11)[40:]
+    schema = "k string, x int, `a b` string"
+    found = diff.row_changes(spark.createDataFrame(first, schema), spark.createDataFrame(second, schema), ["k"]).collect()
+
+    def grouped(table):
+        by_key = {}
+        for r in table:
+            by_key.setdefault(r[0], []).append(r[1:])
+        return {k: sorted(v, key=lambda c: tuple((x is not None, x) if x is not None else (False, 0) for x in c)) for k, v in by_key.items()}
+
+    want, a, b = [], grouped(first), grouped(second)
+    for k in a.keys() | b.keys():
+        x, y = a.get(k, []), b.get(k, [])
+        for i in range(max(len(x), len(y))):
+            if i >= len(y) or i >= len(x):
+                want.append((k, "removed" if i >= len(y) else "added", None))
+            elif x[i] != y[i]:
+                want.append((k, "modified", sum(p == q for p, q in zip(x[i], y[i])) / 2))
+    assert sorted((tuple(r) for r in found), key=repr) == sorted(want, key=repr)
