@@ -110,6 +110,20 @@ def _(spark, folder):
     return found.select("query_id", "base_id", "rank", rounded("distance", 6))
 
 
+@query(
+    "probed_neighbours_embeddings",
+    """with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
+ p as (select a.vec_id as query_id, b.vec_id as base_id, list_distance(a.v, b.v) as d from e a, e b where a.vec_id <> b.vec_id),
+ r as (select *, cast(row_number() over (partition by query_id order by d, base_id) as integer) as rank from p)
+ select query_id, base_id, rank, round(d, 6) as distance, true as certain from r where rank <= 3""",
+)
+def _(spark, folder):
+    """With every cell among the probes the search is certain of all its rows."""
+    vectors = table(spark, folder, "embeddings")
+    found = neighbours.knn_probed(vectors, vectors, 3, neighbours.MOST_PIVOTS, "vec_id", "embedding", skip_same_id=True)
+    return found.select("query_id", "base_id", "rank", rounded("distance", 6), "certain")
+
+
 @query(
     "iqr_outlier_rows_part",
     """with p as (select *, (p_partkey % 97) * (p_partkey % 97) as x from part), b as (select quantile_cont(x, 0.25) as a,
