@@ -1,10 +1,11 @@
 """Exact nearest neighbours and ball counts between two tables of vectors.
 
-A base table whose size is checked to be small is shipped to the tasks of the query table. Otherwise the base
+A base table whose size and rows are checked to be few is shipped to the tasks of the query table. Otherwise the base
 table is cut into cells around pivots, whose number grows with the square root of the rows, and cells are
 gathered or cut into blocks of bounded size. Bounds on the distance of a cell decide which blocks a query must
 visit and, inside a block, which cells it may leave out. Tasks emit at most ``k`` rows per query and block,
 never all pairs. A query is copied at most once per block, a block once per ``BLOCK_ROWS`` of its visitors.
+Distances are held for one tile of ``QUERY_SLICE`` by ``BASE_SLICE`` rows at a time, whatever the size of the tables.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ from plumbline.session import broadcast_bytes, materialize
 
 LEAST_PIVOTS, MOST_PIVOTS = 16, 8192
 BLOCK_ROWS = 50_000
-QUERY_SLICE = 128
-PIVOT_SLICE = 1024  # rows whose distances to all pivots are held at a time
+SHIPPED_ROWS = 200_000  # more base rows are cut into blocks, as every query meets every shipped row
+QUERY_SLICE, BASE_SLICE = 128, 4096
+ASKED_SLICE = 4096  # queries of a block whose bounds to its cells are held at a time
+PAIR_SLICE = 16_384  # pairs whose differences are held at a time
+PIVOT_SLICE = 256  # rows whose distances to all pivots are held at a time
 
 # (query ids, query matrix, base ids, base matrix, base radii) -> frame of results
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
@@ -74,43 +78,83 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt((diff * diff).sum(axis=-1))
 
 
+def _pair_distances(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact distances of the pairs ``a[i], b[j]``, a slice of pairs at a time."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), PAIR_SLICE):
+        part = slice(at, at + PAIR_SLICE)
+        out[part] = _distance(a[i[part]], b[j[part]])
+    return out
+
+
+class _Best:
+    """The ``k`` nearest base rows of each query so far, by exact distance and then by id."""
+
+    def __init__(self, q_ids: np.ndarray, qm: np.ndarray, b_ids: np.ndarray, bm: np.ndarray, k: int, skip_same_id: bool, limit: np.ndarray):
+        self.q_ids, self.qm, self.b_ids, self.bm, self.k, self.skip_same_id = q_ids, qm, b_ids, bm, k, skip_same_id
+        self.limit = limit.copy()  # no row farther than this is among the nearest
+        self.distance, self.place = np.full((len(q_ids), k), np.inf), np.full((len(q_ids), k), -1, np.int64)
+
+    def look(self, some: np.ndarray, start: int, stop: int) -> None:
+        """Queries ``some`` against base rows ``start`` to ``stop``, tile by tile."""
+        for at in range(start, stop, BASE_SLICE):
+            end = min(at + BASE_SLICE, stop)
+            near, slack = _squared(self.qm[some], self.bm[at:end])
+            if self.skip_same_id:
+                near[self.q_ids[some][:, None] == self.b_ids[None, at:end]] = np.inf
+            with np.errstate(over="ignore"):
+                most = np.minimum(self.limit[some] ** 2 * (1 + 1e-12) + 2 * slack, np.finfo("float64").max)
+            hit = near <= most[:, None]
+            if end - at > self.k and np.count_nonzero(hit) > 4 * self.k * len(some):
+                most = np.minimum(most, np.partition(near, self.k - 1, axis=1)[:, self.k - 1] + 2 * slack)
+                hit = near <= most[:, None]
+            i, j = np.nonzero(hit)
+            if len(i):
+                self._merge(some[i], at + j)
+
+    def _merge(self, rows: np.ndarray, places: np.ndarray) -> None:
+        touched = np.unique(rows)
+        kept = self.place[touched].ravel()
+        r = np.r_[np.repeat(touched, self.k)[kept >= 0], rows]
+        p = np.r_[kept[kept >= 0], places]
+        d = np.r_[self.distance[touched].ravel()[kept >= 0], _pair_distances(self.qm, rows, self.bm, places)]
+        order = np.lexsort((self.b_ids[p], d, r))
+        r, p, d = r[order], p[order], d[order]
+        at = np.arange(len(r)) - np.searchsorted(r, r)
+        first = at < self.k
+        self.distance[r[first], at[first]], self.place[r[first], at[first]] = d[first], p[first]
+        self.limit[touched] = np.minimum(self.limit[touched], self.distance[touched, self.k - 1])
+
+    def frame(self) -> pd.DataFrame:
+        row, at = np.nonzero(self.place >= 0)
+        return pd.DataFrame({"query_id": self.q_ids[row], "base_id": self.b_ids[self.place[row, at]], "distance": self.distance[row, at]})
+
+
 def _top_k(k: int, skip_same_id: bool) -> Kernel:
     def kernel(q_ids, qm, b_ids, bm, _radii) -> pd.DataFrame:
-        out_q, out_b, out_d = [], [], []
+        best = _Best(q_ids, qm, b_ids, bm, k, skip_same_id, np.full(len(q_ids), np.inf))
         for start in range(0, len(q_ids), QUERY_SLICE):
-            ids, block = q_ids[start : start + QUERY_SLICE], qm[start : start + QUERY_SLICE]
-            d, slack = _squared(block, bm)
-            if skip_same_id:
-                d[ids[:, None] == b_ids[None, :]] = np.inf
-            if len(b_ids) > k:
-                limit = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * slack
-            else:
-                limit = np.full(len(ids), np.finfo("float64").max)
-            for i in range(len(ids)):
-                near = np.flatnonzero((d[i] <= limit[i]) & np.isfinite(d[i]))
-                exact = _distance(block[i], bm[near])
-                best = np.lexsort((b_ids[near], exact))[:k]
-                out_q.append(np.repeat(ids[i], len(best)))
-                out_b.append(b_ids[near][best])
-                out_d.append(exact[best])
-        if not out_q:
-            return pd.DataFrame({"query_id": [], "base_id": [], "distance": []}).astype({"distance": "float64"})
-        return pd.DataFrame(
-            {"query_id": np.concatenate(out_q), "base_id": np.concatenate(out_b), "distance": np.concatenate(out_d)}
-        )
+            best.look(np.arange(start, min(start + QUERY_SLICE, len(q_ids))), 0, len(b_ids))
+        return best.frame()
 
     return kernel
 
 
+def _count_inside(counts: np.ndarray, qm: np.ndarray, some: np.ndarray, bm: np.ndarray, radii: np.ndarray, start: int, stop: int) -> None:
+    """Adds to ``counts`` how many balls of base rows ``start`` to ``stop`` hold the queries ``some``."""
+    for at in range(start, stop, BASE_SLICE):
+        end = min(at + BASE_SLICE, stop)
+        d, slack = _squared(qm[some], bm[at:end])
+        i, j = np.nonzero(d <= (radii[at:end] * radii[at:end])[None, :] + 2 * slack)
+        inside = _pair_distances(qm, some[i], bm, at + j) <= radii[at + j]
+        np.add.at(counts, some[i[inside]], 1)
+
+
 def _ball_count() -> Kernel:
     def kernel(q_ids, qm, b_ids, bm, radii) -> pd.DataFrame:
         counts = np.zeros(len(q_ids), dtype="int64")
         for start in range(0, len(q_ids), QUERY_SLICE):
-            block = qm[start : start + QUERY_SLICE]
-            d, slack = _squared(block, bm)
-            maybe_i, maybe_j = np.nonzero(d <= (radii * radii)[None, :] + 2 * slack)
-            inside = _distance(block[maybe_i], bm[maybe_j]) <= radii[maybe_j]
-            np.add.at(counts, start + maybe_i[inside], 1)
+            _count_inside(counts, qm, np.arange(start, min(start + QUERY_SLICE, len(q_ids))), bm, radii, 0, len(b_ids))
         hit = counts > 0
         return pd.DataFrame({"query_id": q_ids[hit], "n": counts[hit]})
 
@@ -179,9 +223,10 @@ def _id_type(df: DataFrame, id_col: str) -> str:
 
 
 def fits_broadcast(df: DataFrame, vector: str) -> bool:
-    """Checked size: rows times width of the vectors against the broadcast budget."""
+    """Checked size: rows times width of the vectors against the broadcast budget, and the rows against ``SHIPPED_ROWS``."""
     first = df.select(F.size(vector).alias("d")).first()
-    return first is None or df.count() * (first["d"] + 2) * 8 <= broadcast_bytes(df.sparkSession)
+    rows = 0 if first is None else df.count()
+    return rows == 0 or (rows <= SHIPPED_ROWS and rows * (first["d"] + 2) * 8 <= broadcast_bytes(df.sparkSession))
 
 
 def _parts(spark: SparkSession) -> int:
@@ -249,6 +294,13 @@ class Cells:
         return out
 
 
+def at_home(cells: Cells, home: np.ndarray, blocks: int) -> np.ndarray:
+    """Which block a query visits first: that of the cell it lies in."""
+    visit = np.zeros((len(home), blocks), dtype=bool)
+    visit[np.arange(len(home)), cells.first[home]] = True
+    return visit
+
+
 class _Grid:
     """A base table cut into cells around pivots and into blocks of at most about ``BLOCK_ROWS`` rows.
 
@@ -276,7 +328,7 @@ class _Grid:
                     cell = _squared(m, pivots)[0].argmin(axis=1)
                     yield part.assign(cell=cell.astype("int32"), reach=_distance(m, pivots[cell]))
 
-        placed = materialize(b.mapInPandas(assign, f"id {self.kind}, v array<double>, ball double, cell int, reach double"))
+        placed = materialize(b.repartition(_parts(spark), "id").mapInPandas(assign, f"id {self.kind}, v array<double>, ball double, cell int, reach double"))
         stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("reach").alias("lo"), F.max("reach").alias("hi"), F.max("ball").alias("ball")).orderBy("cell").toPandas()
         first, pieces, self.blocks = packed_blocks(stats["n"].to_numpy(), BLOCK_ROWS)
         scale = float(longest or 0.0) + float((pivots * pivots).sum(axis=1).max(initial=0.0))
@@ -285,8 +337,11 @@ class _Grid:
         cut = placed.join(F.broadcast(where), "cell")  # one row per pivot
         self.rows = cut.select("id", "v", "ball", F.col("place").alias("cell"), (F.col("first") + F.pmod(F.xxhash64("id"), F.col("pieces"))).cast("int").alias("block"))
 
-    def _sent(self, queries: DataFrame, choose: Callable, limits: DataFrame | None = None) -> DataFrame:
-        """Queries once per block they must visit: ``(id, v, home, limit, outside, block)``."""
+    def _sent(self, queries: DataFrame, choose: Callable | None, limits: DataFrame | None = None, far: bool = False) -> DataFrame:
+        """Queries once per block they must visit, that of their own cell alone without ``choose``: ``(id, v, home, limit, outside, block)``.
+
+        ``outside`` is the least bound over the blocks not visited, infinite unless ``far`` asks for it.
+        """
         cells, blocks = self.cells, self.blocks
         given = queries.select(q(self.id_col).alias("id"), q(self.vector).cast("array<double>").alias("v"))
         given = given.withColumn("limit", F.lit(float("inf"))) if limits is None else given.join(limits, "id", "left").fillna(float("inf"), ["limit"])
@@ -297,9 +352,12 @@ class _Grid:
                     part = batch.iloc[start : start + PIVOT_SLICE].reset_index(drop=True)
                     d = cells.distances(_matrix(part["v"]))
                     home = d.argmin(axis=1)
-                    bounds = cells.by_block(cells.lower_bounds(d), blocks)
-                    visit = choose(cells, d, home, bounds, part["limit"].to_numpy())
-                    outside = np.where(visit, np.inf, bounds).min(axis=1)
+                    if choose is None:
+                        visit, outside = at_home(cells, home, blocks), np.full(len(home), np.inf)
+                    else:
+                        bounds = cells.lower_bounds(d, home=home)
+                        visit = choose(cells, d, home, bounds, part["limit"].to_numpy())
+                        outside = np.where(visit, np.inf, cells.by_block(bounds, blocks)).min(axis=1) if far else np.full(len(home), np.inf)
                     row, block = np.nonzero(visit)
                     yield part.iloc[row].assign(home=home[row].astype("int32"), outside=outside[row], block=block.astype("int32"))[["id", "v", "home", "limit", "outside", "block"]]
 
@@ -307,36 +365,35 @@ class _Grid:
         return materialize(given.repartition(_parts(self.spark), "id").mapInPandas(send, schema))
 
     def home(self, queries: DataFrame) -> DataFrame:
-        def choose(cells, d, home, bounds, limit):
-            visit = np.zeros(bounds.shape, dtype=bool)
-            visit[np.arange(len(home)), cells.first[home]] = True
-            return visit
-
-        return self._sent(queries, choose)
+        return self._sent(queries, None)
 
     def beyond_home(self, queries: DataFrame, limits: DataFrame) -> DataFrame:
+        blocks = self.blocks
+
         def choose(cells, d, home, bounds, limit):
-            visit = bounds <= limit[:, None]
-            visit[np.arange(len(home)), cells.first[home]] = False
-            return visit
+            return (cells.by_block(bounds, blocks) <= limit[:, None]) & ~at_home(cells, home, blocks)
 
         return self._sent(queries, choose, limits)
 
     def probed(self, queries: DataFrame, probes: int) -> DataFrame:
+        blocks = self.blocks
+
         def choose(cells, d, home, bounds, limit):
             near = np.argpartition(d, min(probes, d.shape[1]) - 1, axis=1)[:, :probes]
-            visit = np.zeros(bounds.shape, dtype=bool)
-            for row, own in enumerate(near):
-                for cell in own:
-                    visit[row, cells.first[cell] : cells.first[cell] + cells.pieces[cell]] = True
+            first, pieces = cells.first[near], cells.pieces[near]
+            visit = np.zeros((len(home), blocks), dtype=bool)
+            for piece in range(int(pieces.max(initial=0))):
+                row, at = np.nonzero(pieces > piece)
+                visit[row, first[row, at] + piece] = True
             return visit
 
-        return self._sent(queries, choose)
+        return self._sent(queries, choose, far=True)
 
     def in_reach(self, queries: DataFrame) -> DataFrame:
+        blocks = self.blocks
+
         def choose(cells, d, home, bounds, limit):
-            margin = cells.lower_bounds(d) - cells.ball[None, :] * (1 + 1e-9)
-            return cells.by_block(margin, bounds.shape[1]) <= 0.0
+            return cells.by_block(bounds - cells.ball[None, :] * (1 + 1e-9), blocks) <= 0.0
 
         return self._sent(queries, choose)
 
@@ -362,46 +419,47 @@ def _nothing(schema: str) -> pd.DataFrame:
     return pd.DataFrame({part.split()[0]: [] for part in schema.split(", ")})
 
 
+def _by_cell(cells: Cells, qm: np.ndarray, home: np.ndarray, b_cells: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(queries, cells, first row, nearest, bounds)`` of slices of the queries, those of one cell together: the cells of a block
+    sorted by cell, which of them has the nearest pivot, and the bounds to all of them."""
+    held, first = np.unique(b_cells, return_index=True)
+    order = np.argsort(home, kind="stable")
+    for start in range(0, len(qm), ASKED_SLICE):
+        some = order[start : start + ASKED_SLICE]
+        m, own = qm[some], home[some]
+        d = np.sqrt(np.maximum(_squared(m, cells.pivots[held])[0], 0.0))
+        yield some, held, first, d.argmin(axis=1), cells.lower_bounds(d, held, own, _distance(m, cells.pivots[own]))
+
+
 def _nearest(k: int, skip_same_id: bool) -> Callable:
-    """Search of a block cell by cell, the least bound first; a query leaves out cells beyond its k-th distance so far."""
+    """Search of a block: a query's nearest cell first, then cell by cell; it leaves out cells beyond its k-th distance so far."""
 
     def kernel(cells: Cells, q_ids, qm, home, limit, b_ids, bm, _balls, b_cells) -> pd.DataFrame:
-        limit = limit.copy()
-        held, starts = np.unique(b_cells, return_index=True)
-        stops = np.r_[starts[1:], len(b_cells)]
-        d = np.sqrt(np.maximum(_squared(qm, cells.pivots[held])[0], 0.0))
-        bounds = cells.lower_bounds(d, held, home, _distance(qm, cells.pivots[home]))
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(q_ids)
-        for c in np.argsort(bounds.min(axis=0), kind="stable"):
-            active = np.flatnonzero(bounds[:, c] <= limit)
-            own, own_ids, start = bm[starts[c] : stops[c]], b_ids[starts[c] : stops[c]], starts[c]
-            for at in range(0, len(active), QUERY_SLICE):
-                some = active[at : at + QUERY_SLICE]
-                near, slack = _squared(qm[some], own)
-                if skip_same_id:
-                    near[q_ids[some][:, None] == own_ids[None, :]] = np.inf
-                if len(own) > k:
-                    most = np.minimum(np.partition(near, k - 1, axis=1)[:, k - 1] + 2 * slack, limit[some] ** 2 * (1 + 1e-12) + 2 * slack)
-                else:
-                    most = limit[some] ** 2 * (1 + 1e-12) + 2 * slack
-                for r in np.flatnonzero((near <= most[:, None]).any(axis=1)):
-                    i = some[r]
-                    rows = np.flatnonzero((near[r] <= most[r]) & np.isfinite(near[r]))
-                    exact = np.r_[best[i][0], _distance(qm[i], own[rows])]
-                    where = np.r_[best[i][1], rows + start]
-                    first = np.lexsort((b_ids[where], exact))[:k]
-                    best[i] = exact[first], where[first]
-                    if len(first) == k:
-                        limit[i] = min(limit[i], exact[first[-1]])
-        sizes = [len(x[0]) for x in best]
-        where = np.concatenate([x[1] for x in best])
-        return pd.DataFrame({"query_id": np.repeat(q_ids, sizes), "base_id": b_ids[where], "distance": np.concatenate([x[0] for x in best])})
+        best = _Best(q_ids, qm, b_ids, bm, k, skip_same_id, limit)
+        for some, _, first, nearest, bounds in _by_cell(cells, qm, home, b_cells):
+            stops = np.r_[first[1:], len(b_cells)]
+            own = np.arange(len(first))[None, :] == nearest[:, None]
+            for others in (False, True):
+                for c in np.argsort(bounds.min(axis=0), kind="stable"):
+                    active = some[(own[:, c] != others) & (bounds[:, c] <= best.limit[some])]
+                    for at in range(0, len(active), QUERY_SLICE):
+                        best.look(active[at : at + QUERY_SLICE], int(first[c]), int(stops[c]))
+        return best.frame()
 
     return kernel
 
 
 def _inside_balls(cells: Cells, q_ids, qm, home, _limit, b_ids, bm, balls, b_cells) -> pd.DataFrame:
-    return _ball_count()(q_ids, qm, b_ids, bm, balls)
+    """Counts of a block cell by cell; a query leaves out cells beyond the largest ball of their rows."""
+    counts = np.zeros(len(q_ids), dtype="int64")
+    for some, held, first, _, bounds in _by_cell(cells, qm, home, b_cells):
+        stops = np.r_[first[1:], len(b_cells)]
+        for c in range(len(held)):
+            active = some[bounds[:, c] <= cells.ball[held[c]] * (1 + 1e-9)]
+            for at in range(0, len(active), QUERY_SLICE):
+                _count_inside(counts, qm, active[at : at + QUERY_SLICE], bm, balls, int(first[c]), int(stops[c]))
+    hit = counts > 0
+    return pd.DataFrame({"query_id": q_ids[hit], "n": counts[hit]})
 
 
 def locality_order(points: np.ndarray) -> np.ndarray:
