@@ -496,9 +496,12 @@ def select_features(
     for number in range(rounds):
         mixed = _shifted(wide, ranked, n, key, columns, seed + number * 97 + 1, "s_")
         vectors = VectorAssembler(inputCols=columns + [f"s_{c}" for c in columns], outputCol=FEATURES).transform(mixed)
+        # the forest reads its rows several times, so they are joined once; kept as they lie, since its samples follow the partitions
+        vectors = vectors.select(FEATURES, LABEL).persist()
         kind = RandomForestClassifier if task == "classification" else RandomForestRegressor
         forest = kind(featuresCol=FEATURES, labelCol=LABEL, numTrees=20, maxDepth=5, seed=seed + number, maxBins=MAX_LEVELS + 2)
-        importance = forest.fit(vectors.select(FEATURES, LABEL)).featureImportances.toArray()
+        importance = forest.fit(vectors).featureImportances.toArray()
+        vectors.unpersist()
         best_shadow = importance[len(names) :].max()
         hits = [h + int(importance[i] > best_shadow) for i, h in enumerate(hits)]
     rows = []
