@@ -27,6 +27,7 @@ from plumbline.session import materialize
 
 FEATURES, SCALED, LABEL, PREDICTION, PROBABILITY = "_features", "_scaled", "_label", "_prediction", "_probability"
 MAX_LEVELS = 200
+WALKED_ROWS = 1_000_000  # steps of attribution walks that a task gets at most, about
 LEAST_SPREAD = 0.1  # share of the typical residual below which no interval shrinks
 # Fixed value: default miscoverage of prediction sets and intervals.
 ALPHA = 0.1
@@ -454,10 +455,13 @@ def shapley_ranking(
         *[q(c) for c in other if c != key], q(key), "_round", "_step", "_order",
         *[F.when(place[c] <= F.col("_step"), q(c)).otherwise(F.col(f"_z_{c}")).cast(kinds[c]).alias(c) for c in features],
     )
-    scored = score(hybrid).select(q(key), "_round", "_step", "_order", "score")
+    scored = score(hybrid).select(q(key), "_round", "_step", F.get("_order", F.col("_step") - 1).alias("_i"), "score")
+    # the walks of a row stay together up to its averages, and a task gets a bounded number of them
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * rounds * (k + 1) // WALKED_ROWS + 1)
     walk = W.partitionBy(key, "_round").orderBy("_step")
-    steps = scored.withColumn("_gain", F.col("score") - F.lag("score").over(walk)).where(F.col("_step") > 0)
-    per_row = steps.groupBy(q(key), F.get("_order", F.col("_step") - 1).alias("_i")).agg(F.avg("_gain").alias("_a"))
+    steps = scored.repartition(parts, q(key)).withColumn("_gain", F.col("score") - F.lag("score").over(walk)).where(F.col("_step") > 0)
+    per_row = steps.groupBy(q(key), "_i").agg(F.avg("_gain").alias("_a"))
     names = constants(rows, list(enumerate(features)), ["_i", "feature"], ["int", "string"])
     return (
         per_row.groupBy("_i").agg(F.avg(F.abs("_a")).alias("mean_abs_attribution"))

@@ -36,3 +36,14 @@ def test_feature_selection_reads_joined_rows(rows, fitted_on):
     found = {r["feature"]: r["hits"] for r in models.select_features(table, "late", "id", rounds=2).collect()}
     assert found["a"] == 2
     assert len(plans) == 2 and all("Join" not in p.split("InMemoryRelation")[0] and "InMemoryRelation" in p for p in plans)
+
+
+def test_attribution_walks_in_bounded_tasks(rows, monkeypatch):
+    score = lambda df: df.withColumn("score", 3 * F.col("a") + F.col("b"))
+    ask = lambda: models.shapley_ranking(score, rows, "id", ["a", "b", "c"], rounds=2)
+    usual = {r["feature"]: r["mean_abs_attribution"] for r in ask().collect()}
+    monkeypatch.setattr(models, "WALKED_ROWS", 100, raising=False)
+    made = ask()
+    assert f"{400 * 2 * 4 // 100 + 1}" in [p.split()[0] for p in made._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression [id#")[1:] for p in [p.split("], ")[1]]]
+    found = {r["feature"]: r["mean_abs_attribution"] for r in made.collect()}
+    assert found == pytest.approx(usual) and found["a"] > found["b"] > found["c"] == 0
