@@ -192,23 +192,21 @@ def _ranked_quantiles(df: DataFrame, columns: list[str], probs: list[float]) ->
         .groupBy("column", F.col("value").alias("v")).agg(F.count("*").alias("n"))
     )
     sizes = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.sum("n").alias("n")).collect()}
-    target = constants(
-        df, [(c, p, p * (sizes[c] - 1)) for c in columns if c in sizes for p in probs],
-        ["column", "prob", "position"], ["string", "double", "double"],
-    )
     empty = constants(
         df, [(c, p, None) for c in columns if c not in sizes for p in probs], ["column", "prob", "value"], ["string", "double", "double"]
     )
-    # each distinct value carries its own grid points, so the grid is joined once per column, not per row
-    grids = target.groupBy("column").agg(F.collect_list(F.struct("prob", "position")).alias("grid"))
-    ordered = running(counts, ["column"], ["v"], ["n"]).join(F.broadcast(grids), "column")
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
-    touched = F.filter(
-        "grid",
-        lambda g: ((F.floor(g["position"]) >= first) & (F.floor(g["position"]) <= last))
-        | ((F.ceil(g["position"]) >= first) & (F.ceil(g["position"]) <= last)),
+    # ranks are cut into as many stretches as grid points; a value meets only the grid points of the stretches its own ranks lie in
+    step = {c: max(n // len(probs), 1) for c, n in sizes.items()}
+    steps = constants(df, list(step.items()), ["column", "step"], ["string", "long"])
+    grid = [(c, p, p * (n - 1)) for c, n in sizes.items() for p in probs]
+    target = constants(
+        df, [(c, p, at, rank, rank // step[c]) for c, p, at in grid for rank in {math.floor(at), math.ceil(at)}],
+        ["column", "prob", "position", "rank", "stretch"], ["string", "double", "double", "long", "long"],
     )
-    hits = ordered.select("column", "v", "n", "cum_n", F.inline(touched))
+    ordered = running(counts, ["column"], ["v"], ["n"]).join(F.broadcast(steps), "column")
+    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
+    placed = ordered.withColumn("stretch", F.explode(F.sequence(F.floor(first / F.col("step")), F.floor(last / F.col("step")))))
+    hits = placed.join(F.broadcast(target), ["column", "stretch"]).where(F.col("rank").between(first, last))
     return _interpolated(hits, ["column", "prob"]).unionByName(empty)
 
 
