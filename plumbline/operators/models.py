@@ -155,6 +155,8 @@ def classification_study(
         fitted, cross = _fit(classifier(name, classes, width, seed), ready, metric, folds, seed)
         models[name] = fitted
         scored = fitted.transform(check)
+        # four metrics read the predictions, so they are made once; kept as they lie
+        scored = scored.select(*[c for c in (LABEL, PREDICTION, PROBABILITY) if c in scored.columns]).persist()
         rows = {"f1": metric.evaluate(scored), "accuracy": metric.evaluate(scored, {metric.metricName: "accuracy"})}
         if cross is not None:
             rows["cross_validated_f1"] = cross
@@ -163,6 +165,7 @@ def classification_study(
             if classes == 2:
                 known = scored.where(F.col(LABEL) < classes)
                 rows["auc"] = auc(known.withColumn("_s", vector_to_array(F.col(PROBABILITY))[1]), "_s", LABEL)
+        scored.unpersist()
         found += [(name, m, float(v)) for m, v in rows.items()]
     return _study(train, features, label, models, found, "f1", max, minimum)
 
