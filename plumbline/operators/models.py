@@ -221,6 +221,8 @@ def survival_study(
     train: DataFrame, test: DataFrame, time: str, event: str, exclude: Sequence[str] = (), minimum: float | None = None
 ) -> Study:
     """Accelerated failure time model, scored by the concordance index of predicted and observed times."""
+    # the fits and the score read the rows many times, so a join behind them is made once per table
+    train, test = materialize(train.drop(*exclude)), materialize(test.drop(*exclude))
     features = fit_features(train, [time, event, *exclude])
 
     def ready(frame: DataFrame) -> DataFrame:
