@@ -15,7 +15,7 @@ from plumbline.operators.common import numeric_columns, q, union_all
 from plumbline.operators.neighbours import BASE_SLICE, _distance, _id_type, _matrix, _pair_distances, _parts, _squared, knn
 from plumbline.operators.profile import OUTLIER_FACTOR, outlier_bounds, outside
 from plumbline.operators.ranks import quantile_map, running
-from plumbline.session import broadcast_bytes
+from plumbline.session import broadcast_bytes, materialize
 
 HELD_BUDGETS = 4  # broadcast budgets that the training rows may take where whole rankings are made in tasks
 RANKED_CELLS = 4_000_000  # distances that a task ranks at a time
@@ -36,12 +36,9 @@ def iqr_outliers(
 
 def knn_outliers(df: DataFrame, share: float, k: int = 5, id_col: str = "id", vector: str = "vector") -> tuple[DataFrame, DataFrame]:
     """``(clean, outliers)``: rows whose distance to their ``k``-th neighbour is above the ``1 - share`` quantile."""
-    reach = (
-        knn(df, df, k, id_col, vector, skip_same_id=True)
-        .groupBy("query_id")
-        .agg(F.max("distance").alias("_reach"))
-        .withColumnRenamed("query_id", id_col)
-    )
+    # written, as the quantile and both results pass over the distances and would each search again
+    found = knn(df, df, k, id_col, vector, skip_same_id=True).groupBy("query_id").agg(F.max("distance").alias("_reach"))
+    reach = materialize(found).withColumnRenamed("query_id", id_col)
     limit = quantile_map(reach, ["_reach"], [1.0 - share])["_reach"][0]
     far = reach.where(F.col("_reach") > F.lit(limit)).select(id_col)
     return df.join(far, id_col, "left_anti"), df.join(far, id_col, "left_semi")
