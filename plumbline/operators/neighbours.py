@@ -6,6 +6,9 @@ gathered or cut into blocks of bounded size. Bounds on the distance of a cell de
 visit and, inside a block, which cells it may leave out. Tasks emit at most ``k`` rows per query and block,
 never all pairs. A query is copied at most once per block, a block once per ``BLOCK_ROWS`` of its visitors.
 Distances are held for one tile of ``QUERY_SLICE`` by ``BASE_SLICE`` rows at a time, whatever the size of the tables.
+
+Rows of at most ``NARROW`` columns are cut into boxes by halving instead, among the blocks and once more inside a block
+(``functions/boxes.py``): the work per query then grows with the logarithm of the rows, not with their square root.
 """
 
 from __future__ import annotations
@@ -16,10 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from plumbline.functions import boxes
 from plumbline.operators.common import q
 from plumbline.operators.ranks import bounded_sample
 from plumbline.session import broadcast_bytes, materialize
@@ -31,6 +36,8 @@ QUERY_SLICE, BASE_SLICE = 128, 4096
 ASKED_SLICE = 4096  # queries of a block whose bounds to its cells are held at a time
 PAIR_SLICE = 16_384  # pairs whose differences are held at a time
 PIVOT_SLICE = 256  # rows whose distances to all pivots are held at a time
+NARROW = 4  # columns up to which rows are cut into boxes
+BOX_SAMPLE = 64  # rows of the sample per block that the boxes are cut from
 
 # (query ids, query matrix, base ids, base matrix, base radii) -> frame of results
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
@@ -173,6 +180,8 @@ def knn(
     schema = f"query_id {_id_type(queries, id_col)}, base_id {_id_type(base, id_col)}, distance double"
     if fits_broadcast(base.select(q(vector)), vector):
         found = _against_all(queries, base, id_col, vector, None, kernel, schema)
+    elif width := _narrow(base, vector):
+        found = _Boxes(base, id_col, vector, None, width).nearest(queries, k, skip_same_id, schema)
     else:
         grid = _Grid(base, id_col, vector, None)
         at_home = materialize(grid.search(grid.home(queries), _nearest(k, skip_same_id), schema))
@@ -207,6 +216,8 @@ def ball_counts(queries: DataFrame, base: DataFrame, radius: str, id_col: str =
     schema = f"query_id {_id_type(queries, id_col)}, n long"
     if fits_broadcast(base.select(q(vector)), vector):
         found = _against_all(queries, base, id_col, vector, radius, _ball_count(), schema)
+    elif width := _narrow(base, vector):
+        found = _Boxes(base, id_col, vector, radius, width).inside(queries, schema)
     else:
         grid = _Grid(base, id_col, vector, radius)
         found = grid.search(grid.in_reach(queries), _inside_balls, schema)
@@ -251,6 +262,189 @@ def _against_all(queries, base, id_col, vector, radius, kernel: Kernel, schema:
     return queries.select(q(id_col).alias("id"), q(vector).cast("array<double>").alias("v")).repartition(_parts(spark), "id").mapInPandas(against_all, schema)
 
 
+def _narrow(base: DataFrame, vector: str) -> int:
+    """The length of all vectors where it is at most ``NARROW``, else 0."""
+    least, most = base.agg(F.min(F.size(q(vector))), F.max(F.size(q(vector)))).first()
+    return most if least == most and 0 < (most or 0) <= NARROW else 0
+
+
+def _points(table: pa.Table | pa.RecordBatch, axes: Sequence[str]) -> np.ndarray:
+    return np.column_stack([table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c).to_numpy() for c in axes])
+
+
+def _id_codes(asked: pa.ChunkedArray, held: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in the order of the ids, nulls last; a null is not the same as any other."""
+    both = pd.concat([ids.to_pandas(integer_object_nulls=True) for ids in (asked, held)], ignore_index=True)
+    codes, known = pd.factorize(both, sort=True)
+    a, b = codes[: len(asked)], codes[len(asked) :]
+    return np.where(a < 0, -1, a), np.where(b < 0, len(known), b)
+
+
+class _Boxes:
+    """A base table of narrow vectors, cut into blocks of at most about ``BLOCK_ROWS`` rows by halving a sample of it.
+
+    Every block has the tight box of its rows. Equal vectors share a block unless they are more than a block holds; then only those
+    that can be among the nearest are kept, or equal balls are counted once with their number.
+    """
+
+    def __init__(self, base: DataFrame, id_col: str, vector: str, radius: str | None, width: int):
+        self.spark = spark = base.sparkSession
+        self.id_col, self.vector, self.radius, self.base = id_col, vector, radius, base
+        self.axes = [f"x{i}" for i in range(width)]
+        b = self._flat(base)
+        if radius is not None:
+            ball = q(radius).cast("double")
+            b = self._flat(base, ball.alias("ball")).where((F.col("ball") >= 0) & ~F.isnan("ball"))
+        rows = b.count()
+        leaves = max(-(-2 * rows // BLOCK_ROWS), 1)
+        wanted = min(BOX_SAMPLE * leaves, max(LEAST_PIVOTS, broadcast_bytes(spark) // (16 * width)))
+        sample = np.array([r[:] for r in bounded_sample(b.where(self._finite()), "id", wanted).select(*self.axes).collect()], dtype="float64").reshape(-1, width)
+        self.tree = boxes.Halves(sample, max(len(sample) // leaves, 1)) if len(sample) else boxes.Halves(np.zeros((1, width)), 1)
+        self.placed = self._placed(b)
+        ends = [f(c).alias(f"{f.__name__}_{c}") for c in self.axes for f in (F.min, F.max)]
+        own = self.placed.groupBy("leaf").agg(F.count("*").alias("n"), *ends, *([] if radius is None else [F.max("ball").alias("ball")])).orderBy("leaf").toPandas()
+        self.stats = own
+        leaf, sizes = own["leaf"].to_numpy(dtype="int64"), own["n"].to_numpy(dtype="int64")
+        self.full = leaf[sizes > BLOCK_ROWS].tolist()
+
+    def _flat(self, df: DataFrame, *more: Column) -> DataFrame:
+        v = q(self.vector).cast("array<double>")
+        return df.select(q(self.id_col).alias("id"), *[F.get(v, F.lit(i)).alias(c) for i, c in enumerate(self.axes)], *more)
+
+    def _finite(self) -> Column:
+        """Rows that have a distance to others."""
+        found = F.lit(True)
+        for c in self.axes:
+            found &= F.abs(F.col(c)) < float("inf")
+        return found
+
+    def _placed(self, flat: DataFrame) -> DataFrame:
+        """Rows with the leaf of the halving they lie in."""
+        tree, axes = self.tree, self.axes
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.append_column("leaf", pa.array(tree.home(_points(batch, axes)), pa.int32()))
+
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema)
+        return materialize(flat.where(self._finite()).repartition(_parts(self.spark), "id").mapInArrow(assign, f"{kinds}, leaf int"))
+
+    def _blocks(self, rows: DataFrame, key: Sequence[str]) -> DataFrame:
+        """Settles the blocks of the leaves, with ``rows`` in the place of those of leaves that are too large, and gives all rows a block."""
+        held = self.placed.where(~F.col("leaf").isin(self.full)).select(*rows.columns).unionByName(materialize(rows)) if self.full else rows
+        sizes = dict(zip(self.stats["leaf"].tolist(), self.stats["n"].tolist()))
+        if self.full:
+            sizes |= {r["leaf"]: r["count"] for r in held.where(F.col("leaf").isin(self.full)).groupBy("leaf").count().collect()}
+        pieces = np.array([-(-sizes[leaf] // BLOCK_ROWS) for leaf in self.stats["leaf"].tolist()], dtype="int64")
+        first = np.cumsum(pieces) - pieces
+        at = np.repeat(np.arange(len(pieces)), pieces)  # the leaf of each block
+        ends = [self.stats[[f"{f}_{c}" for c in self.axes]].to_numpy(dtype="float64")[at] for f in ("min", "max")]
+        self.low, self.high = ends
+        self.balls = None if self.radius is None else self.stats["ball"].to_numpy(dtype="float64")[at]
+        self.where = self.spark.createDataFrame(list(zip(self.stats["leaf"].tolist(), first.tolist(), pieces.tolist())), "leaf int, first int, pieces int")
+        return self._in_block(held, key)
+
+    def _in_block(self, rows: DataFrame, key: Sequence[str]) -> DataFrame:
+        piece = F.pmod(F.xxhash64(*key), F.col("pieces"))
+        return rows.join(F.broadcast(self.where), "leaf").withColumn("block", (F.col("first") + piece).cast("int")).drop("leaf", "first", "pieces")
+
+    def nearest(self, queries: DataFrame, k: int, skip_same_id: bool, schema: str) -> DataFrame:
+        """``(query_id, base_id, distance)`` with the ``k`` nearest rows of every query among others.
+
+        The first round searches the block around each query and tells the queries that have another block within their k-th
+        distance; the second sends these there.
+        """
+        same, axes = queries is self.base, self.axes
+        full = self.placed.where(F.col("leaf").isin(self.full))
+        by_id = W.partitionBy(*axes).orderBy(F.col("id").asc_nulls_last())
+        few = full.withColumn("_rank", F.dense_rank().over(by_id)).where(F.col("_rank") <= k + 1).withColumn("_copy", F.row_number().over(W.partitionBy(*axes, "id").orderBy("id"))).where(F.col("_copy") <= k)
+        rows = self._blocks(few.select(*self.placed.columns) if self.full else self.placed, ["id"])
+        asked = self.placed.select(*[F.col(c).alias(c) for c in self.placed.columns]) if same else self._placed(self._flat(queries))
+        asked = self._in_block(asked, ["id"])
+        low, high = self.low, self.high
+
+        def near(asked: pa.Table, held: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            points, codes = _points(asked, axes), _id_codes(asked.column("id"), held.column("id"))
+            limit = asked.column("limit").to_numpy() if "limit" in asked.column_names else np.full(len(points), np.inf)
+            i, j, d = boxes.nearest(points, codes[0], limit, _points(held, axes), codes[1], k, skip_same_id)
+            reach = limit.copy()
+            last = np.flatnonzero(np.r_[i[1:] != i[:-1], True]) if len(i) else np.zeros(0, np.int64)
+            whole = last[np.diff(np.r_[-1, last]) == k]
+            reach[i[whole]] = np.minimum(reach[i[whole]], d[whole])
+            return points, i, j, d, reach
+
+        def at_home(asked: pa.Table, held: pa.Table) -> pa.Table:
+            points, i, j, d, reach = near(asked, held)
+            block = asked.column("block")[0].as_py() if len(points) else 0
+            more = boxes.others_in_reach(points, reach, low, high, block)
+            columns = {
+                "query_id": pa.concat_arrays([asked.column("id").take(pa.array(x)).combine_chunks() for x in (i, more)]),
+                "base_id": pa.concat_arrays([held.column("id").take(pa.array(j)).combine_chunks(), pa.nulls(len(more), held.schema.field("id").type)]),
+                "distance": pa.array(np.r_[d, reach[more]]),
+            }
+            columns |= {c: pa.concat_arrays([pa.nulls(len(i), pa.float64()), pa.array(points[more, a])]) for a, c in enumerate(axes)}
+            return pa.table({**columns, "home": pa.concat_arrays([pa.nulls(len(i), pa.int32()), pa.array(np.full(len(more), block), pa.int32())])})
+
+        def beyond(asked: pa.Table, held: pa.Table) -> pa.Table:
+            _, i, j, d, _ = near(asked, held)
+            return pa.table({"query_id": asked.column("id").take(pa.array(i)), "base_id": held.column("id").take(pa.array(j)), "distance": pa.array(d)})
+
+        cells = ", ".join(f"{c} double" for c in axes)
+        first = materialize(self._met(asked, rows, at_home, f"{schema}, {cells}, home int"))
+        found = first.where("home is null").select("query_id", "base_id", "distance")
+        step = max(boxes.PAIRS // max(len(low), 1), 1)
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    points = _points(part, axes)[:, None]
+                    visit = boxes.gaps(points, points, low[None], high[None]) <= part.column("limit").to_numpy()[:, None]
+                    visit[np.arange(len(visit)), part.column("home").to_numpy()] = False
+                    row, block = np.nonzero(visit)
+                    yield part.take(pa.array(row)).drop_columns(["home"]).append_column("block", pa.array(block, pa.int32()))
+
+        open_ones = first.where("home is not null").select(F.col("query_id").alias("id"), *axes, F.col("distance").alias("limit"), "home")
+        kind = schema.split(", ")[0].removeprefix("query_id ")
+        visits = materialize(open_ones.repartition(_parts(self.spark), "id").mapInArrow(send, f"id {kind}, {cells}, limit double, block int"))
+        return found.unionByName(self._met(visits, rows, beyond, schema))
+
+    def inside(self, queries: DataFrame, schema: str) -> DataFrame:
+        """``(query_id, n)`` for each block that has balls around the query."""
+        axes, counted = self.axes, F.count("*").cast("long").alias("n")
+        full = self.placed.where(F.col("leaf").isin(self.full)).groupBy(*self.axes, "ball", "leaf").agg(counted)
+        self.placed = self.placed.withColumn("n", F.lit(1).cast("long")).drop("id")
+        rows = self._blocks(full if self.full else self.placed, [*axes, "ball"])
+        tree, low, high, balls = self.tree, self.low, self.high, self.balls
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                points = _points(batch, axes)
+                for row, block in boxes.pairs_in_balls(points, tree.home(points), low, high, balls):
+                    yield batch.take(pa.array(row)).append_column("block", pa.array(block, pa.int32()))
+
+        def count(asked: pa.Table, held: pa.Table) -> pa.Table:
+            n = boxes.inside_balls(_points(asked, axes), _points(held, axes), held.column("ball").to_numpy(), held.column("n").to_numpy())
+            hit = np.flatnonzero(n)
+            return pa.table({"query_id": asked.column("id").take(pa.array(hit)), "n": pa.array(n[hit])})
+
+        flat = self._flat(queries).where(self._finite())
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema)
+        visits = materialize(flat.repartition(_parts(self.spark), "id").mapInArrow(send, f"{kinds}, block int"))
+        return self._met(visits, rows, count, schema)
+
+    def _met(self, visits: DataFrame, rows: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+        """Every visit against its block: both sides are cut so that no task holds more than about ``BLOCK_ROWS`` rows of either."""
+        counts = {r["block"]: r["count"] for r in visits.groupBy("block").count().collect()}  # one row per block
+        slices = self.spark.createDataFrame([(b, max(1, -(-n // BLOCK_ROWS))) for b, n in sorted(counts.items())], "block int, slices int")
+        left = visits.join(F.broadcast(slices), "block").withColumn("slice", F.pmod(F.xxhash64("id", *self.axes), F.col("slices")).cast("int")).drop("slices")
+        right = rows.join(F.broadcast(slices), "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+
+        parts = max(_parts(self.spark), 2 * sum(-(-n // BLOCK_ROWS) for n in counts.values()))  # few groups a task, as they are work, not bytes
+        left, right = (side.repartition(parts, "block", "slice").groupBy("block", "slice") for side in (left, right))
+        return left.cogroup(right).applyInArrow(kernel, schema)
+
+
 @dataclass(frozen=True)
 class Cells:
     """What tasks know of the base table: one row of numbers per cell."""
