@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.special import chi2_tail
 from plumbline.operators.common import constants, long_rows, melt, numeric_columns, q, string_columns, union_all
-from plumbline.operators.neighbours import as_vector, ball_counts, knn, min_max
+from plumbline.operators.neighbours import _parts as task_count, as_vector, ball_counts, knn, min_max
 from plumbline.operators.profile import correlations
 from plumbline.operators.ranks import quantile_map, running
 from plumbline.operators.survival import curve_distance
@@ -193,14 +193,15 @@ def mean_discrepancy(
 ) -> DataFrame:
     """Squared maximum mean discrepancy under a Gaussian kernel, by random Fourier features (Rahimi and Recht 2007).
 
-    Each task sums its feature vectors; a pair of rows is never formed. ``gamma`` defaults to one over the
+    Each task sums its feature vectors; a pair of rows is never formed. Rows are dealt evenly to the tasks, however few
+    files they come from, as each costs ``features`` sines and cosines. ``gamma`` defaults to one over the
     number of columns.
     """
     scale = min_max(real, columns)
     gamma = 1.0 / len(columns) if gamma is None else gamma
     rng = np.random.default_rng(seed)
     weights = rng.normal(0.0, np.sqrt(2.0 * gamma), (len(columns), features))
-    both = _tagged(real, syn, columns).select("_r", as_vector(columns, scale).alias("vector"))
+    both = _tagged(real, syn, columns).repartition(task_count(real.sparkSession)).select("_r", as_vector(columns, scale).alias("vector"))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = {}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from plumbline.functions import boxes
-from plumbline.operators import neighbours
+from plumbline.operators import metrics, neighbours
 from plumbline.session import BROADCAST_BYTES_CONF
 
 RNG = np.random.default_rng(23)
@@ -72,3 +72,12 @@ def test_narrow_tables_are_cut_into_boxes(spark, monkeypatch):
         assert balls == {int(i): int((np.sqrt(((points - p) ** 2).sum(axis=1)) <= 0.03).sum()) for i, p in zip(ids[own], points[own])}
     finally:
         spark.conf.unset(BROADCAST_BYTES_CONF)
+
+
+def test_features_are_summed_by_many_tasks(spark):
+    """Rows that come from one file are dealt to all tasks."""
+    real, syn = (spark.createDataFrame([(float(a), float(b)) for a, b in part], "a double, b double").coalesce(1) for part in (lines(200), lines(150) / 2))
+    found = metrics.mean_discrepancy(real, syn, ["a", "b"])
+    assert f"RoundRobinPartitioning({neighbours._parts(spark)})" in found._jdf.queryExecution().executedPlan().toString()
+    again = metrics.mean_discrepancy(real.repartition(3), syn.repartition(5), ["a", "b"])
+    assert found.first()[0] == pytest.approx(again.first()[0], rel=1e-9)
